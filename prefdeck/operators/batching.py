@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefdeck.functions.arrays import LABEL_TYPE
 from prefdeck.operators.metrics import neg_log_sigmoid
 from prefdeck.operators.pairs import PAIR_KEY, distinct_pairs
-from prefdeck.operators.skew import dense_index, running_total
+from prefdeck.operators.skew import dense_index, keyed, running_total
 
 # Epoch order is by md5, so its first four hex digits cut the prompts into 65,536 even chunks.
 _PREFIX = 4
@@ -19,42 +17,41 @@ _PREFIX = 4
 _CHUNK_BITS = 16
 
 
-def shuffle_key(seed: int, epoch: int, key: Sequence[str] = PAIR_KEY) -> Column:
-    return F.md5(F.concat_ws(":", *key, F.lit(seed + epoch)))
+def shuffle_key(seed: int, epoch: int) -> Column:
+    return F.md5(F.concat_ws(":", "origin", "input_id", F.lit(seed + epoch)))
 
 
-def epoch_order(
-    prompts: DataFrame, seed: int = 0, epoch: int = 0, key: Sequence[str] = PAIR_KEY
-) -> DataFrame:
+def epoch_order(prompts: DataFrame, seed: int = 0, epoch: int = 0) -> DataFrame:
     """Prompts with their place in the shuffled order of this epoch."""
-    keyed = prompts.withColumn("_shuffle", shuffle_key(seed, epoch, key)).withColumn(
+    hashed = prompts.withColumn("_shuffle", shuffle_key(seed, epoch)).withColumn(
         "_prefix", F.substring("_shuffle", 1, _PREFIX)
     )
-    placed = dense_index(keyed, "epoch_pos", order=["_shuffle", *key], chunk=["_prefix"])
+    placed = dense_index(hashed, "epoch_pos", order=["_shuffle", *PAIR_KEY], chunk=["_prefix"])
     return placed.drop("_shuffle", "_prefix")
 
 
 def epoch_positions(samples: DataFrame, seed: int = 0, epoch: int = 0) -> DataFrame:
     """Samples with their dense place in the epoch: prompts shuffled, outputs of a prompt in a row.
 
-    A prompt starts where the sizes of the prompts before it add up to; the place inside the prompt
-    is numbered in chunks of output ids. So neither a huge prompt nor the whole table is ever in
-    one window.
+    The unit is a prompt, or a run of 2**16 output ids of a larger one. Samples are numbered inside
+    their unit, and a unit starts where the sizes of the units before it add up to. So neither a
+    huge prompt nor the whole table is ever in one window.
     """
-    slim = samples.select(*PAIR_KEY, "output_id")
-    sizes = slim.groupBy(*PAIR_KEY).agg(F.count("*").alias("_size"))
-    keyed = sizes.withColumn("_shuffle", shuffle_key(seed, epoch)).withColumn(
+    unit = [*PAIR_KEY, "_chunk"]
+    numbered = (
+        keyed(samples.select(*PAIR_KEY, "output_id"), [*PAIR_KEY, "output_id"])
+        .withColumn("_chunk", F.coalesce(F.shiftright("output_id", _CHUNK_BITS), F.lit(0)))
+        .withColumn("_inside", F.row_number().over(Window.partitionBy(*unit).orderBy("output_id")))
+    )
+    sizes = numbered.groupBy(*unit).agg(F.max("_inside").alias("_size"))
+    hashed = sizes.withColumn("_shuffle", shuffle_key(seed, epoch)).withColumn(
         "_prefix", F.substring("_shuffle", 1, _PREFIX)
     )
     starts = running_total(
-        keyed, F.col("_size"), "_start", order=["_shuffle", *PAIR_KEY], chunk=["_prefix"]
-    ).select(*PAIR_KEY, "_start")
-    chunked = slim.withColumn("_chunk", F.shiftright("output_id", _CHUNK_BITS))
-    inside = dense_index(
-        chunked, "_inside", order=["output_id"], chunk=["_chunk"], keys=PAIR_KEY
-    ).drop("_chunk")
-    return inside.join(starts, PAIR_KEY).select(
-        *PAIR_KEY, "output_id", (F.col("_start") + F.col("_inside")).alias("epoch_pos")
+        hashed, F.col("_size"), "_start", order=["_shuffle", *unit], chunk=["_prefix"]
+    ).select(*unit, "_start")
+    return numbered.join(starts, unit).select(
+        *PAIR_KEY, "output_id", (F.col("_start") + F.col("_inside") - 1).alias("epoch_pos")
     )
 
 
@@ -104,7 +101,7 @@ def _fill_batches(prompts: list[tuple[list, list]], batch_size: int) -> list[tup
     return placed
 
 
-PACKED_SCHEMA = "origin string, input_id bigint, output_id int, batch_id bigint, slot int"
+PACKED_SCHEMA = "input_id bigint, origin string, output_id int, batch_id bigint, slot int"
 
 
 def pack_batches_greedy(
@@ -125,7 +122,7 @@ def pack_batches_greedy(
     placed = epoch_positions(samples, seed, epoch).withColumn(
         "shard", F.floor(F.col("epoch_pos") / F.lit(size))
     )
-    where = placed.select(*PAIR_KEY, "output_id", "shard")
+    where = keyed(placed, [*PAIR_KEY, "output_id", "shard"]).select(*PAIR_KEY, "output_id", "shard")
     inside = (
         distinct_pairs(labels)
         .where(F.col("chosen_id") != F.col("rejected_id"))
@@ -140,25 +137,18 @@ def pack_batches_greedy(
     def pack(key, rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("epoch_pos")
         pairs = pairs.sort_values(["chosen_id", "rejected_id"])
-        by_prompt = {
-            prompt: list(zip(group["chosen_id"], group["rejected_id"]))
-            for prompt, group in pairs.groupby(PAIR_KEY, sort=False)
-        }
-        prompts = [
-            (
-                [(*prompt, output) for output in group["output_id"]],
-                [((*prompt, c), (*prompt, r)) for c, r in by_prompt.get(prompt, [])],
-            )
-            for prompt, group in rows.groupby(PAIR_KEY, sort=False)
-        ]
+        prompts: dict[tuple, tuple[list, list]] = {}
+        for input_id, origin, output in zip(*[rows[c].tolist() for c in (*PAIR_KEY, "output_id")]):
+            prompts.setdefault((input_id, origin), ([], []))[0].append((input_id, origin, output))
+        ends = (*PAIR_KEY, "chosen_id", "rejected_id")
+        for input_id, origin, c, r in zip(*[pairs[name].tolist() for name in ends]):
+            prompts[input_id, origin][1].append(((input_id, origin, c), (input_id, origin, r)))
         first_batch = int(key[0]) * (size // batch_size)
         filled = [
             (*sample, first_batch + batch, slot)
-            for batch, slot, sample in _fill_batches(prompts, batch_size)
+            for batch, slot, sample in _fill_batches(list(prompts.values()), batch_size)
         ]
-        return pd.DataFrame(
-            filled, columns=["origin", "input_id", "output_id", "batch_id", "slot"]
-        )
+        return pd.DataFrame(filled, columns=[*PAIR_KEY, "output_id", "batch_id", "slot"])
 
     return (
         placed.groupBy("shard")
@@ -169,7 +159,9 @@ def pack_batches_greedy(
 
 def in_batch_pairs(batches: DataFrame, labels: DataFrame) -> DataFrame:
     """Distinct labels whose two ends lie in the same batch."""
-    place = batches.select(*PAIR_KEY, "output_id", "batch_id")
+    place = keyed(
+        batches.select(*PAIR_KEY, "output_id", "batch_id"), [*PAIR_KEY, "output_id", "batch_id"]
+    )
     return (
         distinct_pairs(labels)
         .join(place.withColumnRenamed("output_id", "chosen_id"), [*PAIR_KEY, "chosen_id"])
@@ -219,7 +211,9 @@ def batch_loss(
     A batch without a pair has a NULL loss.
     """
     rows = batches.join(scores.select(*PAIR_KEY, "output_id", "reward"), [*PAIR_KEY, "output_id"])
-    ends = rows.select("batch_id", *PAIR_KEY, "output_id", "reward")
+    ends = keyed(rows, [*PAIR_KEY, "output_id", "batch_id"]).select(
+        "batch_id", *PAIR_KEY, "output_id", "reward"
+    )
     pairs = (
         distinct_pairs(labels)
         .join(

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prefdeck.operators.skew import keyed
+
 
 def length_filter(samples: DataFrame, max_length: int, n_tokens: str = "n_tokens") -> DataFrame:
     return samples.where(F.col(n_tokens) <= max_length)
 
 
 def _endpoint(samples: DataFrame, name: str, key: list[str]) -> DataFrame:
-    return samples.select(*key, F.col("output_id").alias(name))
+    return keyed(samples, [*key, "output_id"]).select(*key, F.col("output_id").alias(name))
 
 
 def label_endpoint_filter(labels: DataFrame, samples: DataFrame, key: list[str]) -> DataFrame:

@@ -13,9 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefdeck.operators.pairs import build_pairs
-from prefdeck.operators.skew import HOT_FLOOR_ROWS, hot_groups, with_groups, without_groups
-
-PROMPT = ["origin", "category", "input_id"]
+from prefdeck.operators.skew import (
+    HOT_FLOOR_ROWS,
+    attach_per_group,
+    hot_groups,
+    with_groups,
+    without_groups,
+)
+
+PROMPT = ["input_id", "origin", "category"]
 GROUP = ["origin", "category"]
 
 # A hot prompt is cut into this many reward ranges (a power of two, for the lower-bound search).
@@ -99,10 +105,9 @@ def rank_counts(scores: DataFrame, floor_rows: int = HOT_FLOOR_ROWS) -> DataFram
         F.when(F.col("reward").isNotNull(), F.col("rank")).cast("bigint").alias("rank"),
         F.col("reward").cast("double").alias("reward"),
     )
-    hot = hot_groups(
-        rows, PROMPT, F.min("rank").alias("low"), F.max("rank").alias("high"), floor_rows=floor_rows
-    )
-    return _cold_counts(without_groups(rows, hot, PROMPT)).unionByName(_hot_counts(rows, hot))
+    pairable = F.col("rank").isNotNull() & F.col("reward").isNotNull()
+    hot = hot_groups(rows, PROMPT, counted=pairable, floor_rows=floor_rows)
+    return _cold_counts(without_groups(rows, hot, PROMPT)).unionByName(_hot_counts(with_groups(rows, hot, PROMPT)))
 
 
 def _cold_counts(rows: DataFrame) -> DataFrame:
@@ -119,15 +124,18 @@ def _cold_counts(rows: DataFrame) -> DataFrame:
     return counted.groupBy(*PROMPT).agg(*[F.sum(c).alias(c) for c in _COUNTS])
 
 
-def _hot_counts(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    quantiles = F.array(*[F.lit(i / REWARD_RANGES) for i in range(1, REWARD_RANGES)])
+def _hot_counts(rows: DataFrame) -> DataFrame:
+    # One parsed expression: building 511 literals one by one costs seconds.
+    quantiles = F.expr(
+        "array(" + ", ".join(f"{i / REWARD_RANGES}D" for i in range(1, REWARD_RANGES)) + ")"
+    )
     # Fewer than MAX_HOT_GROUPS rows of REWARD_RANGES doubles: under 17 MB whatever the data.
-    cuts = (
-        with_groups(rows, hot, PROMPT)
-        .groupBy(*PROMPT, "low", "high")
-        .agg(F.percentile_approx("reward", quantiles).alias("cuts"))
+    facts = rows.groupBy(*PROMPT).agg(
+        F.min("rank").alias("low"),
+        F.max("rank").alias("high"),
+        F.percentile_approx("reward", quantiles).alias("cuts"),
     )
-    placed = with_groups(rows, cuts, PROMPT)
+    placed = attach_per_group(rows, facts, PROMPT)
     # Lower bound by halving: how many cuts lie below the reward. Monotone in the reward, so the
     # result is exact wherever the quantiles fall.
     steps = F.array(*[F.lit(REWARD_RANGES >> i) for i in range(1, REWARD_RANGES.bit_length())])
@@ -191,10 +199,9 @@ def rank_metrics(counts: DataFrame, by: Sequence[str] = ("origin",)) -> DataFram
     )
 
 
-def pair_metrics(pairs: DataFrame, by: Sequence[str] = ("origin",)) -> DataFrame:
-    """Strict accuracy, and mean and sample deviation of both sides and of their difference."""
+def _pair_aggregates() -> list[Column]:
     c, r = F.col("chosen_reward"), F.col("rejected_reward")
-    return pairs.groupBy(*by).agg(
+    return [
         F.avg(F.when(c > r, 1.0).otherwise(0.0)).alias("accuracy-labels"),
         F.avg(c).alias("chosen_reward_mean-labels"),
         F.stddev_samp(c).alias("chosen_reward_std-labels"),
@@ -202,24 +209,26 @@ def pair_metrics(pairs: DataFrame, by: Sequence[str] = ("origin",)) -> DataFrame
         F.stddev_samp(r).alias("rejected_reward_std-labels"),
         F.avg(c - r).alias("reward_diverge_mean-labels"),
         F.stddev_samp(c - r).alias("reward_diverge_std-labels"),
-    )
+    ]
 
 
-def calibration_curve(
-    pairs: DataFrame,
-    by: Sequence[str] = ("origin",),
-    n_bins: int = 5,
-    max_diff: float | None = None,
+def pair_metrics(pairs: DataFrame, by: Sequence[str] = ("origin",)) -> DataFrame:
+    """Strict accuracy, and mean and sample deviation of both sides and of their difference."""
+    return pairs.groupBy(*by).agg(*_pair_aggregates())
+
+
+def _binned(
+    pairs: DataFrame, by: list[str], n_bins: int, max_diff: float | None
 ) -> DataFrame:
-    """Per equal-width bin of ``|chosen - rejected|``: accuracy, mean difference and count.
+    """Pairs with ``diff``, ``right`` and ``bin`` (NULL outside all bins).
 
     Bin i is [i*step, (i+1)*step) with step = max/n_bins, so the largest difference lies outside
-    the last bin; a tie counts as right; empty bins are left out. Pairs are folded to one row per
-    (group, bin) on the map side.
+    the last bin; a tie counts as right.
     """
-    by = list(by)
     diffs = pairs.select(
         *by,
+        "chosen_reward",
+        "rejected_reward",
         F.abs(F.col("chosen_reward") - F.col("rejected_reward")).alias("diff"),
         F.when(F.col("chosen_reward") >= F.col("rejected_reward"), 1.0).otherwise(0.0).alias("right"),
     )
@@ -227,7 +236,7 @@ def calibration_curve(
         # One row per group against all pairs: left unhinted, so AQE broadcasts it if its measured
         # size allows and otherwise splits the hot groups of a sort-merge join.
         maxima = diffs.groupBy(*by).agg(F.max("diff").alias("max_diff"))
-        names = {k: f"_m_{k}" for k in by}
+        names = {k: f"_max_{k}" for k in by}
         match = reduce(
             lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
         )
@@ -241,8 +250,22 @@ def calibration_curve(
             for i in range(n_bins)
         ]
     )
+    return diffs.withColumn("bin", bin_no)
+
+
+def calibration_curve(
+    pairs: DataFrame,
+    by: Sequence[str] = ("origin",),
+    n_bins: int = 5,
+    max_diff: float | None = None,
+) -> DataFrame:
+    """Per equal-width bin of ``|chosen - rejected|``: accuracy, mean difference and count.
+
+    Empty bins are left out; pairs are folded to one row per (group, bin) on the map side.
+    """
+    by = list(by)
     return (
-        diffs.withColumn("bin", bin_no)
+        _binned(pairs, by, n_bins, max_diff)
         .where(F.col("bin").isNotNull())
         .groupBy(*by, "bin")
         .agg(
@@ -253,15 +276,47 @@ def calibration_curve(
     )
 
 
+def _sigmoid(x: Column) -> Column:
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
+
+
 def expected_calibration_error(curve: DataFrame, by: Sequence[str] = ("origin",)) -> DataFrame:
     """Count-weighted mean of |accuracy - sigmoid(mean difference)|."""
-    expected = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("mean_diff")))
-    gap = F.abs(F.col("accuracy") - expected)
+    gap = F.abs(F.col("accuracy") - _sigmoid(F.col("mean_diff")))
     return curve.groupBy(*by).agg(
         (F.sum(gap * F.col("n_pairs")) / F.sum("n_pairs")).alias("ece")
     )
 
 
+def pair_summary(
+    pairs: DataFrame,
+    by: Sequence[str] = ("origin",),
+    n_bins: int = 5,
+    max_diff: float | None = None,
+) -> DataFrame:
+    """:func:`pair_metrics` and the calibration error in one aggregate over the pairs."""
+    by = list(by)
+    sums: list[Column] = []
+    gap, total = F.lit(0.0), F.lit(0)
+    for i in range(n_bins):
+        inside = F.col("bin") == i
+        sums += [
+            F.count_if(inside).alias(f"_n{i}"),
+            F.avg(F.when(inside, F.col("right"))).alias(f"_acc{i}"),
+            F.avg(F.when(inside, F.col("diff"))).alias(f"_diff{i}"),
+        ]
+        gap = gap + F.coalesce(
+            F.abs(F.col(f"_acc{i}") - _sigmoid(F.col(f"_diff{i}"))) * F.col(f"_n{i}"), F.lit(0.0)
+        )
+        total = total + F.col(f"_n{i}")
+    wide = _binned(pairs, by, n_bins, max_diff).groupBy(*by).agg(*_pair_aggregates(), *sums)
+    # Without any bin (all differences 0) the error is 0.
+    error = F.when(total > 0, gap / total).otherwise(0.0)
+    return wide.withColumn("expectation_calibration_error-labels", error).drop(
+        *[f"_{name}{i}" for i in range(n_bins) for name in ("n", "acc", "diff")]
+    )
+
+
 def neg_log_sigmoid(difference: Column) -> Column:
     """-log(sigmoid(d)) without overflow at either end."""
     return F.greatest(-difference, F.lit(0.0)) + F.log1p(F.exp(-F.abs(difference)))
@@ -296,18 +351,7 @@ def metric_rows(
     if with_ranks:
         parts.append(_long(rank_metrics(rank_counts(scores, floor_rows), by), by))
     if labels is not None:
-        pairs = build_pairs(labels, scores)
-        parts.append(_long(pair_metrics(pairs, by), by))
-        ece = expected_calibration_error(calibration_curve(pairs, by, n_bins), by)
-        # Groups with pairs but no bin (all differences 0) have an error of 0.
-        groups = pairs.groupBy(*by).agg(F.lit(0.0).alias("none"))
-        filled = (
-            ece.withColumn("none", F.lit(None).cast("double"))
-            .unionByName(groups.withColumn("ece", F.lit(None).cast("double")))
-            .groupBy(*by)
-            .agg(F.coalesce(F.max("ece"), F.max("none")).alias("expectation_calibration_error-labels"))
-        )
-        parts.append(_long(filled, by))
+        parts.append(_long(pair_summary(build_pairs(labels, scores), by, n_bins), by))
     return reduce(DataFrame.unionByName, parts)
 
 

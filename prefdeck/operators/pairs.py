@@ -8,9 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefdeck.functions.text import content_id
-from prefdeck.operators.skew import HOT_FLOOR_ROWS, hot_groups, with_groups, without_groups
+from prefdeck.operators.skew import (
+    HOT_FLOOR_ROWS,
+    attach_per_group,
+    hot_groups,
+    keyed,
+    with_groups,
+    without_groups,
+)
 
-PAIR_KEY = ["origin", "input_id"]
+# The most selective column first: sorts compare an 8-byte prefix of the first key column.
+PAIR_KEY = ["input_id", "origin"]
 
 
 def distinct_pairs(labels: DataFrame) -> DataFrame:
@@ -25,8 +33,12 @@ def dedup_scores(scores: DataFrame, order: Column, carry: Sequence[str] = ()) ->
     string out of the aggregation buffer.
     """
     extra = [c for c in ["category"] if c in scores.columns]
-    return scores.groupBy(*PAIR_KEY, "output_id", *extra).agg(
-        *[F.max_by(c, order).alias(c) for c in ["reward", *carry]]
+    values = ["reward", *carry]
+    last = F.max(F.struct(order.alias("_order"), *values)).alias("_last")
+    return (
+        scores.groupBy(*PAIR_KEY, "output_id", *extra)
+        .agg(last)
+        .select(*PAIR_KEY, "output_id", *extra, *[F.col(f"_last.{c}").alias(c) for c in values])
     )
 
 
@@ -39,18 +51,21 @@ def build_pairs(labels: DataFrame, scores: DataFrame) -> DataFrame:
     """
     key = [*PAIR_KEY, "output_id"]
     extra = [c for c in ["category"] if c in scores.columns]
-    chosen = scores.select(*key, *extra, "reward").withColumnsRenamed(
-        {"output_id": "chosen_id", "reward": "chosen_reward"}
-    )
-    rejected = scores.select(*key, "reward").withColumnsRenamed(
-        {"output_id": "rejected_id", "reward": "rejected_reward"}
+    scored = keyed(scores, key).select(*key, *extra, "reward")
+    chosen = scored.withColumnsRenamed({"output_id": "chosen_id", "reward": "chosen_reward"})
+    rejected = scored.withColumnsRenamed(
+        {"output_id": "rejected_id", "reward": "rejected_reward", "category": "_category"}
     )
     usable = labels.where((F.col("chosen_id") >= 0) & (F.col("rejected_id") >= 0))
-    return (
+    pairs = (
         distinct_pairs(usable)
         .join(chosen, [*PAIR_KEY, "chosen_id"])
         .join(rejected, [*PAIR_KEY, "rejected_id"])
     )
+    if not extra:
+        return pairs
+    # Both lookups read the same columns, so they share one shuffle of the scores.
+    return pairs.withColumn("category", F.coalesce("category", "_category")).drop("_category")
 
 
 def require_pairs(pairs: DataFrame, strict: bool = False) -> DataFrame:
@@ -85,6 +100,7 @@ def ordered_pairs(
     def side(df: DataFrame, suffix: str, cell: Sequence[str]) -> DataFrame:
         return df.select(*keys, *cell, *[F.col(c).alias(f"{c}_{suffix}") for c in columns])
 
+    rows = keyed(rows, [*keys, position])
     hot = hot_groups(rows, keys, floor_rows=floor_rows)
     condition = F.col(f"{position}_a") < F.col(f"{position}_b")
     if on is not None:
@@ -93,11 +109,12 @@ def ordered_pairs(
     cold = without_groups(rows, hot, keys)
     pairs = side(cold, "a", []).join(side(cold, "b", []), list(keys)).where(condition)
 
-    last_block = F.floor((F.col("n_rows") - 1) / F.lit(floor_rows)).cast("int")
-    blocked = with_groups(rows, hot, keys).withColumns(
+    hot_rows = with_groups(rows, hot, keys)
+    sizes = hot_rows.groupBy(*keys).agg(F.max(position).alias("_last_position"))
+    blocked = attach_per_group(hot_rows, sizes, keys).withColumns(
         {
             "_block": F.floor(F.col(position) / F.lit(floor_rows)).cast("int"),
-            "_last_block": last_block,
+            "_last_block": F.floor(F.col("_last_position") / F.lit(floor_rows)).cast("int"),
         }
     )
     # A row of block i is the earlier one in cells (i, i..last), the later one in cells (0..i, i).

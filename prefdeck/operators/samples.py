@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefdeck.operators.fuse import Fused
-from prefdeck.operators.skew import dense_index
+from prefdeck.operators.skew import dense_index, keyed
 from prefdeck.schema import PROMPT_KEY
 
 RESPONSE_KEY = [*PROMPT_KEY, "response_id"]
@@ -67,7 +67,7 @@ def index_labels(annotations: DataFrame, numbered: DataFrame) -> DataFrame:
     Two lookups on the (prompt, response) key; an id the prompt does not know drops out and is
     reported by :func:`unknown_label_ids`.
     """
-    ids = numbered.select(*RESPONSE_KEY, "output_id")
+    ids = keyed(numbered, RESPONSE_KEY).select(*RESPONSE_KEY, "output_id")
     chosen = ids.withColumnsRenamed({"response_id": "id_1", "output_id": "chosen_id"})
     rejected = ids.withColumnsRenamed({"response_id": "id_2", "output_id": "rejected_id"})
     return (

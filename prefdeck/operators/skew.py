@@ -14,42 +14,64 @@ MAX_HOT_GROUPS = 4096
 HOT_FLOOR_ROWS = 100_000
 
 
-def _prefixed(groups: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
-    """``groups`` with its keys renamed, and the null-safe match of the renamed keys."""
+def keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with all ``keys`` set, for a table that is about to meet itself in a join.
+
+    A NULL key matches nothing there. Saying so before the plan forks keeps its branches identical
+    (Spark would otherwise infer the filter for some of them), and identical shuffles run once.
+    """
     condition = F.lit(True)
     for key in keys:
-        groups = groups.withColumnRenamed(key, f"_hot_{key}")
-        condition = condition & F.col(key).eqNullSafe(F.col(f"_hot_{key}"))
-    return groups, condition
-
+        condition = condition & F.col(key).isNotNull()
+    return df.where(condition)
 
-def without_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``df`` outside ``groups``, a table from :func:`hot_groups`."""
-    small, match = _prefixed(groups.select(*keys), keys)
-    return df.join(F.broadcast(small), match, "left_anti")
 
-
-def with_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``df`` inside ``groups``, with the other columns of ``groups`` attached."""
-    small, match = _prefixed(groups, keys)
-    return df.join(F.broadcast(small), match, "inner").drop(*[f"_hot_{key}" for key in keys])
+def _group_hash(keys: Sequence[str]) -> Column:
+    return F.xxhash64(*keys)
 
 
 def hot_groups(
     df: DataFrame,
     keys: Sequence[str],
-    *aggregates: Column,
+    counted: Column | None = None,
     floor_rows: int = HOT_FLOOR_ROWS,
 ) -> DataFrame:
     """Groups with more than ``max(floor_rows, all rows / MAX_HOT_GROUPS)`` rows.
 
-    Returns the keys, ``n_rows`` and the extra ``aggregates``; fewer than MAX_HOT_GROUPS rows.
+    One row ``(hot_key, n_rows)`` per group, fewer than MAX_HOT_GROUPS in all. ``hot_key`` is a
+    64-bit hash of the keys, so counting is a map-side folded aggregate over one number; should two
+    groups share a hash they are merely both treated as hot. ``counted`` (rows where it is true)
+    can name the columns the caller reads anyway: the shuffles below are then the same in both
+    passes and Spark runs them once.
     """
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n_rows"), *aggregates)
+    n_rows = F.count("*") if counted is None else F.count_if(counted)
+    sizes = df.groupBy(_group_hash(keys).alias("hot_key")).agg(n_rows.alias("n_rows"))
     fair_share = sizes.agg(F.sum("n_rows") / F.lit(MAX_HOT_GROUPS)).scalar()
     return sizes.where((F.col("n_rows") > floor_rows) & (F.col("n_rows") > fair_share))
 
 
+def without_groups(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of ``df`` outside the groups of :func:`hot_groups`."""
+    small = F.broadcast(hot.select("hot_key"))
+    return df.join(small, _group_hash(keys) == F.col("hot_key"), "left_anti")
+
+
+def with_groups(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of ``df`` inside the groups of :func:`hot_groups`."""
+    small = F.broadcast(hot.select("hot_key"))
+    return df.join(small, _group_hash(keys) == F.col("hot_key"), "left_semi")
+
+
+def attach_per_group(df: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Attach the columns of ``facts``, a table with one row per *hot* group, to rows of these."""
+    condition = F.lit(True)
+    for key in keys:
+        facts = facts.withColumnRenamed(key, f"_fact_{key}")
+        condition = condition & F.col(key).eqNullSafe(F.col(f"_fact_{key}"))
+    joined = df.join(F.broadcast(facts), condition)
+    return joined.drop(*[f"_fact_{key}" for key in keys])
+
+
 def running_total(
     df: DataFrame,
     value: Column,
@@ -72,7 +94,7 @@ def running_total(
     inside = Window.partitionBy(*keys, *chunk).orderBy(*order)
     earlier = Window.partitionBy(*keys).orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1)
 
-    local = df.withColumn("_value", value).withColumn(
+    local = keyed(df, keys + chunk).withColumn("_value", value).withColumn(
         "_local", combine("_value").over(inside.rowsBetween(Window.unboundedPreceding, -1))
     )
     carried = (

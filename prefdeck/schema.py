@@ -39,4 +39,4 @@ ORD_TYPE = "struct<path:int,block:bigint,row:bigint>"
 IGNORE_ID = -100
 
 # The key of a prompt inside one fused data set.
-PROMPT_KEY = ["origin", "input_key"]
+PROMPT_KEY = ["input_key", "origin"]
