@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefdeck.functions.text import content_id
-from prefdeck.schema import CORRUPT
 
 FORM_TEXTS = "texts"  # {"answer1", "answer2", "preference"}: two answer texts
 FORM_IDS = "ids"  # [id, id, preference]: two response ids
@@ -148,24 +147,9 @@ def invalid_annotations(normalized: DataFrame) -> DataFrame:
     return annotation_rows(normalized).where((F.col("form") == FORM_TEXTS) & bad)
 
 
-def invalid_records(records: DataFrame) -> DataFrame:
-    """Lines that did not fit the record schema, with the reason that can be told apart."""
-    annotations = F.get_json_object(CORRUPT, "$.annotations")
-    return records.where(F.col(CORRUPT).isNotNull()).select(
-        "origin",
-        "ord",
-        F.when(
-            annotations.isNotNull() & ~F.ltrim(annotations).startswith("["),
-            F.lit("annotations is not a list"),
-        )
-        .otherwise(F.lit("not a record of the expected shape"))
-        .alias("reason"),
-        F.col(CORRUPT).alias("line"),
-    )
-
-
 def require_valid(records: DataFrame) -> DataFrame:
-    """Strict mode: the same normalized records, but running them fails on the first bad one."""
+    """Strict mode: the same normalized records, but running them fails on the first annotation
+    :func:`invalid_annotations` would report. Read with ``strict=True`` to fail on bad lines too."""
     normalized = normalize_records(records)
     bad_item = F.exists(
         "items",
@@ -179,9 +163,4 @@ def require_valid(records: DataFrame) -> DataFrame:
     checked = F.when(
         bad_item, F.raise_error(F.lit("annotation preference must be 1 or 2"))
     ).otherwise(F.col("items"))
-    if CORRUPT in records.columns:
-        checked = F.when(
-            F.col(CORRUPT).isNotNull(),
-            F.raise_error(F.concat(F.lit("malformed record: "), F.col(CORRUPT))),
-        ).otherwise(checked)
     return normalized.withColumn("items", checked)

@@ -26,20 +26,23 @@ def check_source_extension(paths: str | Sequence[str]) -> list[str]:
 
 
 def read_preferences(
-    spark: SparkSession, paths: str | Sequence[str], origin: str | None = None
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    origin: str | None = None,
+    strict: bool = False,
 ) -> DataFrame:
     """One or many JSONL paths as one set of records, tagged with ``origin`` and ``ord``.
 
     Each listed path is its own scan, so ``ord.path`` is its place in the list; inside a path the
-    order is that of the file splits. Lines that do not fit the schema keep their text in
-    ``_corrupt_record`` (see ``invalid_records``).
+    order is that of the file splits. A field that does not fit the schema is NULL; with ``strict``
+    it fails the job. :func:`invalid_lines` lists such lines.
     """
     listed = check_source_extension(paths)
     name = origin if origin is not None else ",".join(listed)
-    schema = T.StructType([*RECORD_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
+    mode = "FAILFAST" if strict else "PERMISSIVE"
 
     def scan(place: int, path: str) -> DataFrame:
-        rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+        rows = spark.read.schema(RECORD_SCHEMA).option("mode", mode).json(path)
         return rows.select(
             F.lit(name).alias("origin"),
             F.struct(
@@ -48,12 +51,33 @@ def read_preferences(
                 F.monotonically_increasing_id().alias("row"),
             ).alias("ord"),
             F.col("_metadata.file_path").alias("file_path"),
-            *schema.fieldNames(),
+            *RECORD_SCHEMA.fieldNames(),
         )
 
     return reduce(DataFrame.unionByName, [scan(i, path) for i, path in enumerate(listed)])
 
 
+def invalid_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Lines that are no record of the expected shape: ``file_path, reason, line``.
+
+    Parses each line as a whole. (A scan reads only the fields a query uses and would see only the
+    faults in those.)
+    """
+    schema = T.StructType([*RECORD_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    annotations = F.get_json_object("value", "$.annotations")
+    reason = F.when(
+        annotations.isNotNull() & ~F.ltrim(annotations).startswith("["), "annotations is not a list"
+    ).otherwise("not a record of the expected shape")
+    return (
+        spark.read.text(check_source_extension(paths))
+        .where(F.trim("value") != "")
+        .withColumn("record", F.from_json("value", schema, options))
+        .where(F.col(f"record.{CORRUPT}").isNotNull())
+        .select(F.col("_metadata.file_path"), reason.alias("reason"), F.col("value").alias("line"))
+    )
+
+
 def read_named_sets(
     spark: SparkSession, sets: Mapping[str, str | Sequence[str]] | str | Sequence[str]
 ) -> DataFrame:
