@@ -5,8 +5,11 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+HERE = os.path.dirname(os.path.abspath(__file__))
+PATHS = [os.path.dirname(HERE), HERE]
+sys.path[:0] = PATHS
+# Python workers import the test modules too.
+os.environ["PYTHONPATH"] = os.pathsep.join([*PATHS, os.environ.get("PYTHONPATH", "")])
 
 from pyspark.sql import SparkSession  # noqa: E402
 
