@@ -193,8 +193,8 @@ def chat_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vote between each turn and the next one of its conversation, decided by coin; every fifth
-    conversation also has votes of a turn against itself (identical answers)."""
+    """A vote between each turn and the next one of its conversation, decided by coin, and a vote of
+    each turn against itself (identical answers)."""
     rows = chat_samples(spark, sf_dir).select("origin", "input_id", "output_id")
     after = rows.withColumn("output_id", F.col("output_id") - 1)
     flip = coin(F.concat_ws(":", "input_id", "output_id"))
@@ -205,7 +205,7 @@ def chat_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(flip, this).otherwise(following).alias("chosen_id"),
         F.when(flip, following).otherwise(this).alias("rejected_id"),
     )
-    same = rows.where(F.col("input_id") % 5 == 0).select(
+    same = rows.select(
         "origin", "input_id", this.alias("chosen_id"), this.alias("rejected_id")
     )
     return votes.unionByName(same)

@@ -232,7 +232,7 @@ raw_labels AS (
     CASE WHEN substr(md5(a.input_id || ':' || a.output_id), 1, 1) < '8'
          THEN b.output_id ELSE a.output_id END AS rejected_id
   FROM turns a JOIN turns b ON a.input_id = b.input_id AND b.output_id = a.output_id + 1
-  UNION ALL SELECT origin, input_id, output_id, output_id FROM turns WHERE input_id % 5 = 0),
+  UNION ALL SELECT origin, input_id, output_id, output_id FROM turns),
 kept AS (SELECT * FROM turns WHERE n_tokens <= {MAX_TOKENS}),
 usable AS (
   SELECT l.* FROM raw_labels l

@@ -298,7 +298,8 @@ def explode_responses(spark, sf_dir):
 @query
 def index_labels(spark, sf_dir):
     annotations = records.all_annotations(fx.normalized_documents(spark, sf_dir))
-    return samples.index_labels(annotations, _numbered(spark, sf_dir)).select(
+    responses = fuse.dedup_responses(fuse.response_rows(fx.normalized_documents(spark, sf_dir)))
+    return samples.index_labels(annotations, samples.number_outputs(responses)).select(
         "input_key", "chosen_id", "rejected_id"
     )
 

@@ -26,17 +26,20 @@ def assign_input_ids(inputs: DataFrame) -> DataFrame:
     return inputs.join(numbered.select(*PROMPT_KEY, "input_id"), PROMPT_KEY)
 
 
-def assign_output_ids(responses: DataFrame) -> DataFrame:
-    """Dense ``output_id`` of each response in its prompt, in first-seen order.
+def number_outputs(responses: DataFrame) -> DataFrame:
+    """Keys of the responses with their dense place in the prompt, in first-seen order.
 
-    Numbers the slim (key, place) columns only; the texts are joined back on the key they are
-    already partitioned by.
+    Numbers the slim (key, place) columns; texts never pass the window.
     """
     slim = _with_split(responses.select(*RESPONSE_KEY, "first_ord"), "first_ord.ord")
-    numbered = dense_index(
+    return dense_index(
         slim, "output_id", order=["first_ord"], chunk=["_split"], keys=PROMPT_KEY
     ).select(*RESPONSE_KEY, F.col("output_id").cast("int").alias("output_id"))
-    return responses.join(numbered, RESPONSE_KEY)
+
+
+def assign_output_ids(responses: DataFrame) -> DataFrame:
+    """Responses with their ``output_id``, joined back on the key they are already grouped by."""
+    return responses.join(number_outputs(responses), RESPONSE_KEY)
 
 
 def category_dictionary(inputs: DataFrame) -> DataFrame:
@@ -64,18 +67,23 @@ def attach_ranks(responses: DataFrame, ranks: DataFrame, compat: bool = False) -
 def index_labels(annotations: DataFrame, numbered: DataFrame) -> DataFrame:
     """Annotations with preference '1' as (chosen_id, rejected_id) output positions.
 
-    Two lookups on the (prompt, response) key; an id the prompt does not know drops out and is
-    reported by :func:`unknown_label_ids`.
+    Two lookups on the (prompt, response) key. Both sides of each come straight out of a shuffle on
+    that key, so AQE splits a response that a large share of all annotations names. An id the
+    prompt does not know drops out and is reported by :func:`unknown_label_ids`. An ``input_id`` in
+    ``numbered`` is carried over.
     """
-    ids = keyed(numbered, RESPONSE_KEY).select(*RESPONSE_KEY, "output_id")
+    extra = [c for c in ["input_id"] if c in numbered.columns]
+    ids = keyed(numbered, RESPONSE_KEY).select(*RESPONSE_KEY, "output_id", *extra)
     chosen = ids.withColumnsRenamed({"response_id": "id_1", "output_id": "chosen_id"})
-    rejected = ids.withColumnsRenamed({"response_id": "id_2", "output_id": "rejected_id"})
+    rejected = ids.drop(*extra).withColumnsRenamed(
+        {"response_id": "id_2", "output_id": "rejected_id"}
+    )
     return (
         annotations.where(F.col("preference") == "1")
         .select(*PROMPT_KEY, "id_1", "id_2")
         .join(chosen, [*PROMPT_KEY, "id_1"])
         .join(rejected, [*PROMPT_KEY, "id_2"])
-        .select(*PROMPT_KEY, "chosen_id", "rejected_id")
+        .select(*PROMPT_KEY, *extra, "chosen_id", "rejected_id")
     )
 
 
@@ -87,15 +95,29 @@ def unknown_label_ids(annotations: DataFrame, responses: DataFrame) -> DataFrame
     return ends.join(responses.select(*RESPONSE_KEY), RESPONSE_KEY, "left_anti")
 
 
-def explode_responses(fused: Fused, compat_ranks: bool = False) -> DataFrame:
-    """One row per (prompt, response) with integer ids, texts, category, rank and system prompt."""
-    inputs = assign_input_ids(fused.inputs)
-    categories = category_dictionary(fused.inputs)
-    responses = attach_ranks(assign_output_ids(fused.responses), fused.ranks, compat_ranks)
-    inputs = inputs.join(categories, "category", "left").select(
-        *PROMPT_KEY, "input_id", "input", "category", "category_id", "sys_prompt"
+def sample_ids(fused: Fused, compat_ranks: bool = False) -> DataFrame:
+    """Keys, integer ids, ranks and prompt fields of every sample; no answer text.
+
+    The prompt fields are looked up per prompt. The category lookup comes last on the prompt side,
+    so both sides are shuffled for the join and AQE can split a prompt with very many responses.
+    """
+    prompts = (
+        assign_input_ids(fused.inputs)
+        .join(category_dictionary(fused.inputs), "category", "left")
+        .select(*PROMPT_KEY, "input_id", "input", "category", "category_id", "sys_prompt")
+    )
+    return attach_ranks(number_outputs(fused.responses), fused.ranks, compat_ranks).join(
+        prompts, PROMPT_KEY
     )
-    return responses.join(inputs, PROMPT_KEY).select(
+
+
+def explode_responses(fused: Fused, compat_ranks: bool = False) -> DataFrame:
+    """One row per (prompt, response) with integer ids, texts, category, rank and system prompt.
+
+    The answer texts join last, on their unique key.
+    """
+    texts = fused.responses.select(*RESPONSE_KEY, "output")
+    return sample_ids(fused, compat_ranks).join(texts, RESPONSE_KEY).select(
         *PROMPT_KEY,
         "input_id",
         "output_id",

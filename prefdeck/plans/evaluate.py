@@ -11,11 +11,10 @@ from prefdeck.operators.fuse import Fused, fuse_by_prompt
 from prefdeck.operators.metrics import judge_metrics, metric_bundle
 from prefdeck.operators.pairs import judge_pairs, swap_positions
 from prefdeck.operators.records import normalize_records
-from prefdeck.operators.samples import explode_responses, index_labels
+from prefdeck.operators.samples import explode_responses, index_labels, sample_ids
 from prefdeck.operators.scoring import judge_responses, score_responses
 from prefdeck.operators.skew import HOT_FLOOR_ROWS
 from prefdeck.plans.registry import JUDGE, SCORE, Predictor, Registry, default_registry
-from prefdeck.schema import PROMPT_KEY
 from prefdeck.session import materialize
 
 
@@ -25,13 +24,10 @@ def prepare(records: DataFrame, compat_ranks: bool = False) -> tuple[Fused, Data
     return fused, explode_responses(fused, compat_ranks)
 
 
-def sample_labels(fused: Fused, samples: DataFrame) -> DataFrame:
+def sample_labels(fused: Fused) -> DataFrame:
     """Labels over integer ids: ``origin, input_id, chosen_id, rejected_id``."""
-    ids = samples.select(*PROMPT_KEY, "input_id").distinct()
-    return (
-        index_labels(fused.annotations, samples)
-        .join(ids, PROMPT_KEY)
-        .select("origin", "input_id", "chosen_id", "rejected_id")
+    return index_labels(fused.annotations, sample_ids(fused)).select(
+        "origin", "input_id", "chosen_id", "rejected_id"
     )
 
 

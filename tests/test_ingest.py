@@ -55,7 +55,7 @@ def test_three_shapes_in_one_file(mixed):
     assert {r.input: (r.category, r.category_id) for r in rows.values()} == {"Q1": ("k2", 0), "Q2": ("k1", 1)}
     assert [rows["Q2", i]["rank"] for i in range(3)] == [2, 1, None]
     assert {r.sys_prompt for k, r in rows.items() if k[0] == "Q2"} == {"be brief"}
-    labels = {(r.input_id, r.chosen_id, r.rejected_id) for r in sample_labels(fused, flat).collect()}
+    labels = {(r.input_id, r.chosen_id, r.rejected_id) for r in sample_labels(fused).collect()}
     assert labels == {(0, 0, 1), (0, 2, 1), (1, 0, 1)}
 
 
@@ -88,7 +88,7 @@ def test_identical_answers_become_one_response_and_a_self_label(spark, tmp_path)
     row = {"input": "Q", "answer1": "same", "answer2": "same", "preference": "1"}
     fused, flat = prepare(jsonl.read_preferences(spark, write(tmp_path / "s.jsonl", [row])))
     assert [r.response_id for r in flat.collect()] == [md5("same")]
-    assert [(r.chosen_id, r.rejected_id) for r in sample_labels(fused, flat).collect()] == [(0, 0)]
+    assert [(r.chosen_id, r.rejected_id) for r in sample_labels(fused).collect()] == [(0, 0)]
 
 
 def test_prompt_keyed_flat_record_does_not_qualify(spark, tmp_path):
@@ -128,7 +128,7 @@ def test_unknown_label_ids(spark, tmp_path):
     fused, flat = prepare(jsonl.read_preferences(spark, write(tmp_path / "u.jsonl", [row])))
     unknown = samples.unknown_label_ids(fused.annotations, fused.responses)
     assert [r.response_id for r in unknown.collect()] == ["nobody"]
-    assert sample_labels(fused, flat).count() == 0
+    assert sample_labels(fused).count() == 0
 
 
 def test_rank_once(spark, tmp_path):
@@ -189,3 +189,52 @@ def test_named_sets_and_origins(spark, tmp_path):
     assert train is test
     assert jsonl.read_train_and_eval(spark, one, None)[1] is None
     assert origins(jsonl.read_train_and_eval(spark, one, {"v": two})[1]) == {"v": 2}
+
+
+def test_hot_prompt_and_hot_answer_are_split_by_skew_joins(spark):
+    """One prompt holds two thirds of the answers and one answer all its votes. With the limits of
+    AQE scaled down to the test, its joins are split and the result is that of unsplit joins."""
+    rows = spark.range(6000).select(
+        F.lit("o").alias("origin"),
+        F.struct(
+            F.lit(0).alias("path"), F.floor(F.col("id") / 500).cast("bigint").alias("block"), F.col("id").alias("row")
+        ).alias("ord"),
+        F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("q"), F.col("id"))).alias("input"),
+        F.lit(None).cast("string").alias("prompt"),
+        F.lit(None).cast("string").alias("sys_prompt"),
+        F.array(F.lit("c")).alias("category"),
+        F.lit("base").alias("answer1"),
+        F.concat(F.lit("other "), F.col("id")).alias("answer2"),
+        (1 + F.col("id") % 2).cast("string").alias("preference"),
+        F.lit(None).cast("array<struct<id:string,content:string>>").alias("responses"),
+        F.lit(None).cast("array<string>").alias("annotations"),
+        F.lit(None).cast("map<string,string>").alias("rank"),
+    )
+    fused = fuse.fuse_by_prompt(records.normalize_records(rows))
+
+    def run():
+        result = []
+        for df in (samples.explode_responses(fused), sample_labels(fused)):
+            result.append((sorted(map(str, df.collect())), df._jdf.queryExecution().executedPlan().toString()))
+        return result
+
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    plain = run()
+    try:
+        for key, value in small.items():
+            spark.conf.set(key, value)
+        split = run()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+    assert [rows for rows, _ in plain] == [rows for rows, _ in split]
+    assert len(plain[0][0]) == 6000 + 2001 and len(plain[1][0]) == 6000
+    for _, plan in split:
+        assert "skew=true" in plan.split("Initial Plan")[0]
