@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,37 +34,53 @@ def _letter(text: Column) -> Column:
     return _verdict(lowered.endswith("a"), lowered.endswith("b"))
 
 
-def _json_choice(text: Column, key: str) -> Column:
-    trimmed = strip(text)
-    # The parser takes text after the first value, so the text is parsed as a field and as the
-    # only element of a list; it passes both only if it is exactly one value.
-    field = F.try_parse_json(F.concat(F.lit('{"v":'), trimmed, F.lit("}")))
-    element = F.try_parse_json(F.concat(F.lit("["), trimmed, F.lit("]")))
-    one_object = (
-        trimmed.startswith("{")
-        & trimmed.endswith("}")
-        & F.try_variant_get(element, "$[0]", "variant").isNotNull()
-        & F.try_variant_get(element, "$[1]", "variant").isNull()
-    )
-    path = f"$.v['{key}']"
-    kind = F.schema_of_variant(F.try_variant_get(field, path, "variant"))
-    as_text = F.try_variant_get(field, path, "string")
-    integer_text = F.regexp_extract(strip(as_text), r"^(?:[+-]?[0-9]+(?:_[0-9]+)*)$", 0)
-    choice = (
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _chosen_number(found: Column) -> Column:
+    """The integer a JSON value of ``(kind, as_text)`` stands for: numbers are cut towards zero,
+    booleans are 0 or 1, strings must be integer literals; NULL otherwise."""
+    kind, as_text = found["kind"], found["as_text"]
+    literal = F.regexp_extract(strip(as_text), r"^(?:[+-]?[0-9]+(?:_[0-9]+)*)$", 0)
+    number = as_text.try_cast("double")
+    return (
         F.when(kind == "BOOLEAN", F.when(as_text == "true", 1).otherwise(0))
-        .when(
-            kind == "STRING",
-            F.replace(integer_text, F.lit("_"), F.lit("")).try_cast("bigint"),
-        )
+        .when(kind == "STRING", F.replace(literal, F.lit("_"), F.lit("")).try_cast("bigint"))
         .when(
             (kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL"),
-            # int() cuts towards zero
-            F.when(as_text.try_cast("double") >= 0, F.floor(as_text.try_cast("double"))).otherwise(
-                F.ceil(as_text.try_cast("double"))
-            ),
+            F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)),
         )
     )
-    return F.when(one_object, _verdict(choice == 1, choice == 2)).otherwise(F.lit("error"))
+
+
+def _json_choice(text: Column, key: str) -> Column:
+    path = f"$.v['{key}']"
+
+    def read(trimmed: Column) -> Column:
+        # The parser takes text after the first value, so the text is parsed as a field and as the
+        # only element of a list; it passes both only if it is exactly one value.
+        element = F.try_parse_json(F.concat(F.lit("["), trimmed, F.lit("]")))
+        field = F.try_parse_json(F.concat(F.lit('{"v":'), trimmed, F.lit("}")))
+        one_value = _once(
+            element,
+            lambda v: F.try_variant_get(v, "$[0]", "variant").isNotNull()
+            & F.try_variant_get(v, "$[1]", "variant").isNull(),
+        )
+        found = _once(
+            F.try_variant_get(field, path, "variant"),
+            lambda v: F.struct(
+                F.schema_of_variant(v).alias("kind"),
+                F.try_variant_get(v, "$", "string").alias("as_text"),
+            ),
+        )
+        choice = _once(found, _chosen_number)
+        verdict = _once(choice, lambda n: _verdict(n == 1, n == 2))
+        is_object = trimmed.startswith("{") & trimmed.endswith("}")
+        return F.when(is_object, F.when(one_value, verdict))
+
+    return F.coalesce(_once(strip(text), read), F.lit("error"))
 
 
 VERDICT_STYLES = ("bracket", "bracket_explain", "json_choice", "exact_choice", "letter")
