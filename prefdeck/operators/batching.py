@@ -87,6 +87,8 @@ def _fill_batches(prompts: list[tuple[list, list]], batch_size: int) -> list[tup
             room = batch_size - len(placed) % batch_size
             chosen: dict = {}
             for pair in open_labels:
+                if len(chosen) == room:
+                    break
                 missing = [end for end in pair if end not in chosen]
                 if len(chosen) + len(missing) <= room:
                     chosen.update(dict.fromkeys(missing))
