@@ -15,11 +15,11 @@ from prefdeck.llm.bytewords import STEP, U, mix
 from prefdeck.llm.common import batch, concat_schema, flat_bytes, map_arrow, text_column, text_slices
 
 MIN_LENGTH = 100
-GRAM = 36  # bytes of an anchor
-SLICE_BYTES = 1 << 20
+GRAM = 32  # bytes of an anchor
+SLICE_BYTES = 1 << 18
 LONG_TEXT = 1 << 23  # a longer text is handled in overlapping parts
 SORT_BYTES = 1 << 21
-HOT_ANCHOR = 2_000  # occurrences of an anchor beyond which its windows are compared by digest
+HOT_ANCHOR = 5_000  # occurrences of an anchor beyond which its windows are compared by digest
 
 _POSITION = U((1 << 24) - 1)
 
@@ -37,17 +37,21 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     if starts < 1:
         return none.astype(U), none, none, none
     # Hashes of 1, 2, 4, ... bytes from each place on, put together to `gram` bytes.
-    step = mix(data.astype(U) + U(1))
-    have, whole, size = None, 0, 1
+    step, have, whole, size = data.astype(U) + U(1), None, 0, 1
+    power = int(STEP)
     while whole < gram:
+        factor = U(power)
         if gram & size:
-            have = step[: n - whole] if have is None else have[: n - whole - size + 1] * STEP + step[whole : whole + n - whole - size + 1]
-            have = mix(have)
+            if have is None:
+                have = step
+            else:
+                m = n - whole - size + 1
+                have = have[:m] * factor + step[whole : whole + m]
             whole += size
-        if whole < gram:
-            step = mix(step[:-size] * STEP + step[size:] * U(3))
-            size *= 2
-    have = have[: n - gram + 1]
+        step = step[:-size] * factor + step[size:]
+        size *= 2
+        power = power * int(STEP) & (1 << 64) - 1
+    have = mix(have[: n - gram + 1])
     keys = (have & ~_POSITION) | np.arange(len(have), dtype=U)
     best, width = keys, 1
     while 2 * width <= span:
@@ -57,18 +61,18 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
         rest = span - width
         best = np.minimum(best[: len(best) - rest], best[rest:])
     place = (best[:starts] & _POSITION).astype(np.int64)
-    text = np.repeat(np.arange(len(offsets) - 1), np.maximum(0, np.diff(offsets) - length + 1))
     # Starts of windows inside their text, text by text.
     room = np.maximum(0, np.diff(offsets) - length + 1)
-    window = np.arange(room.sum()) - np.repeat(np.cumsum(room) - room, room) + np.repeat(offsets[:-1], room)
-    if not len(window):
-        return none.astype(U), none, none, none
-    at = place[window]
-    new = np.ones(len(window), bool)
-    new[1:] = (at[1:] != at[:-1]) | (text[1:] != text[:-1])
-    head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(window)) - 1
-    return have[at[head]], window[head], window[tail], text[head]
+    inside = np.zeros(starts, bool)
+    for begin, size in zip(offsets[:-1][room > 0].tolist(), room[room > 0].tolist()):
+        inside[begin : begin + size] = True
+    new = np.ones(starts, bool)
+    new[1:] = (place[1:] != place[:-1]) | ~inside[:-1]
+    head = np.flatnonzero(new & inside)
+    over = np.ones(starts, bool)
+    over[:-1] = (place[1:] != place[:-1]) | ~inside[1:]
+    tail = np.flatnonzero(over & inside)
+    return have[place[head]], head, tail, np.searchsorted(offsets, head, "right") - 1
 
 
 def _parts(data: np.ndarray, offsets: np.ndarray, length: int):
@@ -135,13 +139,14 @@ SPANS = "k1 long, k2 long, low long, high long"
 
 
 def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """``h, k1, n``: anchors of each document and how often it has them."""
+    """``h, k1, n``: anchors of each document and how often it has them. All columns of ``texts`` go
+    in, so that this reads the same shuffle as the later joins."""
     fields = concat_schema(h=pa.int64(), k1=pa.int64(), n=pa.int32())
 
     def emit(batches):
         for rows in batches:
-            data, offsets = flat_bytes(rows.column(1))
-            k1 = rows.column(0).to_numpy()
+            data, offsets = flat_bytes(rows.column(3))
+            k1 = rows.column(1).to_numpy()
             for part, at, low, _ in _parts(data, offsets, length):
                 h, _, _, text = anchors(part, at, length, gram)
                 order = np.lexsort((h, text))
@@ -152,7 +157,7 @@ def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 count = np.diff(np.append(head, len(h)))
                 yield batch(fields, h[head].view(np.int64), k1[low + text[head]], count.astype(np.int32))
 
-    return map_arrow(texts.select("k1", "text"), emit, "h long, k1 long, n int")
+    return map_arrow(texts, emit, "h long, k1 long, n int")
 
 
 def _occurrences(found: DataFrame, wanted: str, length: int, gram: int) -> DataFrame:
@@ -320,7 +325,7 @@ def remove_repeats(
     occur once are dropped; the bytes around the others are shuffled by anchor, so that every group
     of equal windows meets in one task, where suffix order and longest previous factors decide.
     Anchors with more than ``hot`` occurrences take :func:`_hot_spans` instead. Texts are shuffled
-    once, by id, and that shuffle serves both joins.
+    once, by id, and that shuffle serves all joins.
     """
     text = text_column(docs, text_col)
     held = [F.struct(*carry).alias("carry")] if carry else []
@@ -334,7 +339,23 @@ def remove_repeats(
     schema = T.StructType.fromDDL(_RESULT)
     if carry:
         schema = schema.add("carry", texts.schema["carry"].dataType)
-    rows = _anchor_rows(texts, min_length, gram)
+    # Copies of a whole text fold first: only the earliest goes on, found by id in the one shuffle
+    # of texts. Building a hash table of the other side spares sorting the texts.
+    place = F.struct("known", "k1", "k2")
+    digests = texts.select(
+        place.alias("place"), F.sha2("text", 256).alias("d"), F.octet_length("text").cast("long").alias("size")
+    )
+    best = digests.groupBy("d").agg(F.min("place").alias("best"))
+    first = best.select("best.k1", F.col("best.k2").alias("k2_first"))
+    copies = (
+        digests.join(best, "d")
+        .where((F.col("place") != F.col("best")) & (F.col("size") >= min_length))
+        .select("place.k1", "place.k2", F.lit(0).cast("long").alias("low"), F.col("size").alias("high"))
+    )
+    unique = texts.join(first.hint("shuffle_hash"), "k1").where(
+        F.col("k2").bitwiseXOR(F.col("k2_first")) == 0  # not a join key: every join deals texts by k1 alone
+    ).select(texts.columns)
+    rows = _anchor_rows(unique, min_length, gram)
     repeated = (
         rows.groupBy("h").agg(F.sum("n").alias("total")).where("total > 1").select("h", (F.col("total") > hot).alias("is_hot"))
     )
@@ -347,10 +368,10 @@ def remove_repeats(
             F.collect_list(F.when(F.col("is_hot"), F.col("h"))).alias("hot"),
         )
     )
-    found = texts.join(per_text, "k1")
+    found = unique.join(per_text.hint("shuffle_hash"), "k1")
     spans = _cold_spans(_occurrences(found, "cold", min_length, gram), min_length).unionByName(
         _hot_spans(_occurrences(found, "hot", min_length, gram), min_length)
-    )
+    ).unionByName(copies)
     per_text_spans = spans.groupBy("k1").agg(F.collect_list(F.struct("k2", "low", "high")).alias("spans"))
 
     def cut(batches):
@@ -373,5 +394,5 @@ def remove_repeats(
             done = batch(_RESULT_FIELDS, *(map(list, zip(*out)) if out else [[]] * 6))
             yield done.append_column("carry", rows.column(5)) if carry else done
 
-    joined = texts.join(per_text_spans, "k1", "left").select("known", "k1", "k2", "text", "spans", *["carry" for _ in held])
+    joined = texts.join(per_text_spans.hint("shuffle_hash"), "k1", "left").select("known", "k1", "k2", "text", "spans", *["carry" for _ in held])
     return map_arrow(joined, cut, schema).withColumnRenamed("id", id_col)
