@@ -19,7 +19,7 @@ GRAM = 32  # bytes of an anchor
 SLICE_BYTES = 1 << 18
 LONG_TEXT = 1 << 23  # a longer text is handled in overlapping parts
 SORT_BYTES = 1 << 21
-HOT_ANCHOR = 5_000  # occurrences of an anchor beyond which its windows are compared by digest
+HOT_ANCHOR = 20_000  # occurrences of an anchor (3 MB) beyond which its windows are compared by digest
 
 _POSITION = U((1 << 24) - 1)
 
