@@ -11,8 +11,11 @@ import numpy as np
 
 from prefdeck.llm.common import worker_state
 
-MEMO_WORDS = 400_000  # words remembered by a worker; the memo starts anew beyond that
+# Words remembered by a worker, some 200 MB in all; a memo starts anew beyond that.
+MEMO_WORDS, MEMO_STEMS = 600_000, 800_000
 MEMO_BYTES = 64  # longer words are encoded each time
+JOINED = 2_000  # words encoded in one call
+SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 @dataclass(frozen=True)
@@ -20,13 +23,16 @@ class TokenizerFile:
     """A tokenizer file, found on each worker by the name it has in an installed package.
 
     ``folder``: where the file lies, or None for the installed ``public_tokenizers``.
-    ``words_alone``: the tokenizer drops white space and encodes each word between spaces by itself,
-    so the ids of a text are those of its words in a row. False encodes whole texts.
+    ``words_alone``: the tokenizer folds case, drops white space, and encodes each word between
+    spaces by itself, there the letters apart from the signs behind them. The ids of a text are then
+    those of its words in a row. False encodes whole texts. ``mark``: a special token whose string
+    splits a text before anything else, so that many words can be encoded in one call.
     """
 
     name: str
     folder: str | None = None
     words_alone: bool = False
+    mark: str | None = None
 
     def path(self) -> str:
         if self.folder:
@@ -44,15 +50,16 @@ class TokenizerFile:
         return worker_state(f"encoder {self}", lambda: Encoder(self))
 
 
-WORD_BPE = TokenizerFile("word_bpe_49k.json", words_alone=True)
+WORD_BPE = TokenizerFile("word_bpe_49k.json", words_alone=True, mark="<|endoftext|>")
 
 
 class Encoder:
     """Ids as little-endian unsigned 32-bit numbers, without begin, end or added special tokens."""
 
     def __init__(self, file: TokenizerFile) -> None:
-        self.words_alone = file.words_alone
+        self.words_alone, self.mark = file.words_alone, file.mark
         self.memo: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
         if file.name.endswith(".model"):
             import sentencepiece
 
@@ -67,12 +74,59 @@ class Encoder:
             self._ids = lambda texts: [
                 e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)
             ]
+            self.mark_id = model.token_to_id(file.mark) if file.mark else None
 
     def _packed(self, texts: list[bytes]) -> list[bytes]:
         return [
             np.array(ids, "<u4").tobytes() for ids in self._ids([t.decode("utf-8") for t in texts])
         ]
 
+    def _many(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of words without special strings: joined by the mark, and split at its id."""
+        if not self.mark:
+            return self._packed(words)
+        out: list[bytes] = []
+        for at in range(0, len(words), JOINED):
+            part = words[at : at + JOINED]
+            text = f" {self.mark} ".join(w.decode("utf-8") for w in part)
+            ids = np.array(self._ids([text])[0], "<u4")
+            edges = [-1, *np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
+            if len(edges) != len(part) + 1:
+                raise ValueError("the mark occurs inside a word")
+            packed = ids.tobytes()
+            out += [packed[4 * a + 4 : 4 * b] for a, b in zip(edges[:-1], edges[1:])]
+        return out
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of distinct words. A word is its stem and the signs behind it; stems recur far
+        more often than words, so they have a memo of their own."""
+        stems, tails = [], []
+        for word in words:
+            stem = word.rstrip(SIGNS)
+            tail = word[len(stem) :]
+            if b"<|" in word:  # may hold a special string
+                stem, tail = word, b""
+            elif stem.isalnum():  # ASCII only
+                stem = stem.lower()
+            elif not (tail and stem and stem.decode("utf-8")[-1].isalpha()):
+                stem, tail = word, b""
+            stems.append(stem)
+            tails.append(tail)
+        if len(self.stems) > MEMO_STEMS:
+            self.stems = {}
+        known = self.stems
+        known[b""] = b""
+        missing = [p for p in set(stems).union(tails) if p not in known]
+        plain = [p for p in missing if b"<|" not in p]
+        special = [p for p in missing if b"<|" in p]
+        known.update(zip(plain, self._many(plain)))
+        known.update(zip(special, self._packed(special)))
+        out = [known[a] + known[b] for a, b in zip(stems, tails)]
+        for p in missing:
+            if len(p) > MEMO_BYTES:
+                del known[p]
+        return out
+
     def encode(self, texts: Sequence[bytes]) -> list[bytes]:
         if not self.words_alone:
             return self._packed(list(texts))
@@ -80,7 +134,7 @@ class Encoder:
         words = set().union(*split)
         missing = list(words.difference(self.memo))
         if missing:
-            new = dict(zip(missing, self._packed(missing)))
+            new = dict(zip(missing, self._words(missing)))
             if len(self.memo) + len(new) > MEMO_WORDS:
                 new.update((w, self.memo[w]) for w in words if w in self.memo)
                 self.memo = {}
