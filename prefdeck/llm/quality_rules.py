@@ -27,7 +27,7 @@ FEATURES = (
 
 # Metric, and how far beyond the fences of its group a document may still lie: small differences
 # are no reason to reject where a group hardly varies.
-METRICS = {"symbol_rate": 0.15, "word_length": 1.5, "dup_line_rate": 0.25, "repeat_rate": 0.15}
+METRICS = {"symbol_rate": 0.15, "word_length": 1.5, "dup_line_rate": 0.4, "repeat_rate": 0.25}
 
 
 def _repeated(data: np.ndarray, text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

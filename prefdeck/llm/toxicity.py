@@ -26,6 +26,8 @@ HOMOGLYPHS = {
 }
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i"}
 
+LENGTH_WEIGHT = 0.25  # how much a text's length dampens its matches
+
 _ODD = re.compile("[" + "".join(HOMOGLYPHS) + "]")
 _GLYPHS = str.maketrans(HOMOGLYPHS)
 # A digit or sign is a letter only where it touches one.
@@ -98,7 +100,7 @@ def weigh(text: str, machine, length_scale: float) -> tuple[float, int]:
     if not kept:
         return 0.0, 0
     words = text.count(" ") + 1
-    return sum(kept) / (1.0 + math.log1p(words / length_scale)), len(kept)
+    return sum(kept) / (1.0 + LENGTH_WEIGHT * math.log1p(words / length_scale)), len(kept)
 
 
 _SCORES = concat_schema(id=pa.int64(), score=pa.float64(), n_matches=pa.int64())
@@ -143,7 +145,8 @@ def learn_lexicon(
 
     Words are counted by documents of each label in Spark. The ``candidates`` with the most
     significant log-odds are then taken one by one: each time the word that explains most toxic
-    documents that no word so far explains, while it is rare among the others. A word that merely
+    documents that no word so far explains, while it is rare among the others. Copies of a text count
+    once. A word that merely
     stands beside toxic ones therefore gains nothing. Word pairs that hold a lexicon word and occur
     in several clean documents, but in no toxic one, become exception phrases. Without toxic
     documents the lexicon is empty and every score is the floor of the curve.
@@ -153,6 +156,7 @@ def learn_lexicon(
         docs.select(F.col(id_col).alias("doc_id"), text_column(docs, text_col).alias("text"))
         .join(F.broadcast(sample), "doc_id")
         .select("text", "label")
+        .dropDuplicates(["text"])
     )
     both = texts.groupBy("label").count().collect()
     n = {int(r["label"]): r["count"] for r in both}
@@ -209,7 +213,8 @@ def learn_lexicon(
             by_word.setdefault(w, []).append(i)
     holders = {w: np.array(ids) for w, ids in by_word.items()}
     open_ = labels == 1
-    support = max(3, toxic // 500)
+    # Labels are noisy: a word must explain more documents than chance lets one of very many do.
+    support = max(5, toxic // 100)
     weights: dict[str, float] = {}
     while holders and len(weights) < max_words:
         gains = {w: (int(open_[ids].sum()), -int((labels[ids] == 0).sum())) for w, ids in holders.items()}
