@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -26,6 +27,9 @@ HOMOGLYPHS = {
 }
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i"}
 
+# A word is listed if its log-likelihood ratio reaches this (chance: about one in 10^6), and if so
+# many of its uses are toxic.
+SURPRISE, PRECISION = 24.0, 0.8
 LENGTH_WEIGHT = 0.25  # how much a text's length dampens its matches
 
 _ODD = re.compile("[" + "".join(HOMOGLYPHS) + "]")
@@ -137,109 +141,93 @@ def learn_lexicon(
     sample: DataFrame,
     exceptions: Sequence[str] = (),
     max_words: int = 500,
-    candidates: int = 2_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> Lexicon:
     """A lexicon from ``sample (doc_id, label)``, a table of bounded size (it is broadcast).
 
-    Words are counted by documents of each label in Spark. The ``candidates`` with the most
-    significant log-odds are then taken one by one: each time the word that explains most toxic
-    documents that no word so far explains, while it is rare among the others. Copies of a text count
-    once. A word that merely
-    stands beside toxic ones therefore gains nothing. Word pairs that hold a lexicon word and occur
-    in several clean documents, but in no toxic one, become exception phrases. Without toxic
-    documents the lexicon is empty and every score is the floor of the curve.
+    Words are counted in Spark by the number of different neighbourhoods (the words before and
+    after their first use in a document) in which documents of each label use them, so a family of
+    near copies counts a word once or twice, not once per copy. The ``max_words`` words with the
+    largest log-likelihood ratio are listed, if they are surprising enough and mostly toxic; their
+    weight is the log-odds. Word pairs that hold a listed word and occur in several clean documents,
+    but in no toxic one, become exception phrases. Without toxic documents the lexicon is empty and
+    every score is the floor of the curve.
     """
-    spark = docs.sparkSession
     texts = stored(
         docs.select(F.col(id_col).alias("doc_id"), text_column(docs, text_col).alias("text"))
         .join(F.broadcast(sample), "doc_id")
         .select("text", "label")
         .dropDuplicates(["text"])
     )
-    both = texts.groupBy("label").count().collect()
-    n = {int(r["label"]): r["count"] for r in both}
-    toxic, clean = n.get(1, 0), n.get(0, 0)
+    sizes = {int(r["label"]): r["count"] for r in texts.groupBy("label").count().collect()}
+    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic:
         return Lexicon({}, tuple(map(fold, exceptions)), slope=1.0, intercept=-6.0)
 
-    fields = concat_schema(word=pa.string(), label=pa.int32())
+    fields = concat_schema(word=pa.string(), label=pa.int32(), context=pa.int64())
 
-    def distinct_words(batches):
+    def first_uses(batches):
         for rows in batches:
-            words, labels = [], []
+            found, labels, contexts = [], [], []
             for text, label in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                found = set(_WORD.findall(fold(text)))
-                words += found
-                labels += [label] * len(found)
-            yield batch(fields, words, labels)
+                words = ["", *_WORD.findall(fold(text)), ""]
+                first: dict[str, int] = {}
+                for i in range(1, len(words) - 1):
+                    first.setdefault(words[i], i)
+                found += first
+                labels += [label] * len(first)
+                contexts += [zlib.crc32(f"{words[i - 1]} {words[i + 1]}".encode()) for i in first.values()]
+            yield batch(fields, found, labels, contexts)
 
     counts = (
-        map_arrow(texts, distinct_words, "word string, label int")
+        map_arrow(texts, first_uses, "word string, label int, context long")
+        .distinct()
         .groupBy("word")
-        .agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
+        .agg(F.sum("label").cast("double").alias("a"), F.sum(1 - F.col("label")).cast("double").alias("b"))
     )
-    a, b = F.col("a") + 0.5, F.col("b") + 0.5
-    odds = F.log(a / (toxic + 1 - a)) - F.log(b / (clean + 1 - b))
+    both_labels, n = F.col("a") + F.col("b"), toxic + clean
+
+    def term(k, share: float):
+        return F.when(k > 0, k * F.log(k / (both_labels * share))).otherwise(0.0)
+
+    surprise = 2 * (term(F.col("a"), toxic / n) + term(F.col("b"), clean / n if clean else 1.0))
+    rate = (F.col("a") + 0.5) / (both_labels + 1)
     ranked = (
-        counts.where((F.length("word") > 1) & (F.col("a") >= 3))
-        .withColumn("z", odds / F.sqrt(1 / a + 1 / b))
-        .where("z > 3")
-        .orderBy(F.desc("z"), "word")
-        .limit(candidates)
+        counts.where(F.length("word") > 1)
+        .withColumn("surprise", surprise)
+        .where((F.col("surprise") >= SURPRISE) & (rate >= PRECISION))
+        .orderBy(F.desc("surprise"), "word")
+        .limit(max_words)
     )
-    names = [r["word"] for r in ranked.select("word").collect()]
-    place = {w: i for i, w in enumerate(names)}
-    listed = concat_schema(label=pa.int32(), words=pa.list_(pa.int32()), n_words=pa.int64(), pairs=pa.list_(pa.string()))
+    weights = {
+        r["word"]: round(math.log((r["a"] + 0.5) / (toxic + 1)) - math.log((r["b"] + 0.5) / (clean + 1)), 4)
+        for r in ranked.collect()
+    }
+    listed = concat_schema(label=pa.int32(), pair=pa.string())
 
-    def which(batches):
+    def word_pairs(batches):
         for rows in batches:
-            labels, found, sizes, pairs = rows.column(1), [], [], []
-            for text in rows.column(0).to_pylist():
+            labels, pairs = [], []
+            for text, label in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
                 words = _WORD.findall(fold(text))
-                hits = [i for i, w in enumerate(words) if w in place]
-                found.append(sorted({place[words[i]] for i in hits}))
-                sizes.append(text.count(" ") + 1)
-                pairs.append(sorted({f"{words[j]} {words[j + 1]}" for i in hits for j in (i - 1, i) if 0 <= j < len(words) - 1})[:200])
-            yield batch(listed, labels, found, sizes, pairs)
-
-    seen = map_arrow(texts, which, "label int, words array<int>, n_words long, pairs array<string>")
-    rows = seen.collect()  # bounded by the sample
-    labels = np.array([r["label"] for r in rows])
-    by_word: dict[int, list[int]] = {}
-    for i, r in enumerate(rows):
-        for w in r["words"]:
-            by_word.setdefault(w, []).append(i)
-    holders = {w: np.array(ids) for w, ids in by_word.items()}
-    open_ = labels == 1
-    # Labels are noisy: a word must explain more documents than chance lets one of very many do.
-    support = max(5, toxic // 100)
-    weights: dict[str, float] = {}
-    while holders and len(weights) < max_words:
-        gains = {w: (int(open_[ids].sum()), -int((labels[ids] == 0).sum())) for w, ids in holders.items()}
-        word = max(gains, key=lambda w: (gains[w], -w))
-        fresh, bad = gains[word][0], -gains[word][1]
-        ids = holders.pop(word)
-        if fresh < support:
-            break
-        rate = (fresh + 0.5) / (open_.sum() + 1), (bad + 0.5) / (clean + 1)
-        if fresh < 10 * bad or rate[0] <= 3 * rate[1]:
-            continue
-        weights[names[word]] = round(math.log(((labels[ids] == 1).sum() + 0.5) / (toxic + 1)) - math.log(rate[1]), 4)
-        open_[ids] = False
-
-    good: dict[str, int] = {}
-    bad_pairs = set()
-    for r in rows:
-        for pair in r["pairs"]:
-            if set(pair.split()) & weights.keys():
-                if r["label"]:
-                    bad_pairs.add(pair)
-                else:
-                    good[pair] = good.get(pair, 0) + 1
-    learned = sorted(p for p, k in good.items() if k >= 3 and p not in bad_pairs)
+                hits = [i for i, w in enumerate(words) if w in weights]
+                mine = {f"{words[j]} {words[j + 1]}" for i in hits for j in (i - 1, i) if 0 <= j < len(words) - 1}
+                pairs += mine
+                labels += [label] * len(mine)
+            yield batch(listed, labels, pairs)
+
+    harmless = (
+        map_arrow(texts, word_pairs, "label int, pair string")
+        .groupBy("pair")
+        .agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
+        .where("a = 0 and b >= 3")
+        .orderBy(F.desc("b"), "pair")
+        .limit(max_words)
+    )
+    learned = {r["pair"] for r in harmless.collect()}
     lexicon = Lexicon(weights, tuple(sorted({*map(fold, exceptions), *learned})))
+
     pair_fields = concat_schema(label=pa.int32(), x=pa.float64())
 
     def sums(batches):
