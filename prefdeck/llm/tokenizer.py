@@ -11,8 +11,8 @@ import numpy as np
 
 from prefdeck.llm.common import worker_state
 
-# Words remembered by a worker, some 200 MB in all; a memo starts anew beyond that.
-MEMO_WORDS, MEMO_STEMS = 600_000, 800_000
+# Words remembered by a worker, some 100 MB in all; a memo starts anew beyond that.
+MEMO_WORDS, MEMO_STEMS = 150_000, 300_000
 MEMO_BYTES = 64  # longer words are encoded each time
 JOINED = 2_000  # words encoded in one call
 SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
