@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefdeck.llm.bytewords import ALPHANUMERIC, LOWER, find_words, hash_words
-from prefdeck.llm.common import batch, concat_schema, flat_bytes, map_arrow, stored, text_column, text_slices
+from prefdeck.llm.common import batch, concat_schema, flat_bytes, map_arrow, shared_folder, stored, text_column, text_slices
 
 SLICE_BYTES = 1 << 20
 BLOCK_WINDOWS = 200_000  # distinct test windows that are searched together: bounds what is broadcast
@@ -146,8 +146,8 @@ def search_block(texts: DataFrame, phrases: Phrases, within: int = 0) -> Search
 
     Counts of all test terms are taken over the whole corpus. Each phrase then reads the list of its
     rarest term, shifted by the term's offset in the phrase, and intersects it with the shifted list
-    of the next rarest. ``within`` > 0 lets the second differ from its place by so many words, in
-    either direction (proximity). Phrases with a term that occurs nowhere are dropped. The number of
+    of the next rarest. With ``within`` > 0 (proximity) the lists are not shifted, and the two terms
+    may be as far apart as the longest phrase and ``within`` more words allow. Phrases with a term that occurs nowhere are dropped. The number of
     candidates is at most the total length of the rarest lists.
     """
     spark = texts.sparkSession
@@ -161,7 +161,7 @@ def search_block(texts: DataFrame, phrases: Phrases, within: int = 0) -> Search
             continue
         (t1, o1), (t2, o2) = rare[0], rare[-1]
         needed |= {t1, t2}
-        plan.append((i, t1, o1, t2, o2))
+        plan.append((i, t1, 0, t2, 0) if within else (i, t1, o1, t2, o2))
     if not plan:
         return None
     index = stored(postings(texts, np.array(sorted(needed), np.int64)))
@@ -177,8 +177,13 @@ def search_block(texts: DataFrame, phrases: Phrases, within: int = 0) -> Search
         .select("key", "phrase", (F.col("p") - F.col("o2")).alias("start2"))
     )
     if within:
-        shifts = F.explode(F.sequence(F.lit(-within), F.lit(within)))
-        second = second.select("key", "phrase", (F.col("start2") + shifts).alias("start2")).distinct()
+        reach = _reach(phrases, within)
+        shifts = F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("shift")
+        second = (
+            second.select("key", "phrase", "start2", shifts)
+            .select("key", "phrase", (F.col("start2") + F.col("shift")).alias("start2"))
+            .distinct()
+        )
     both = first.join(
         second,
         (first["key"] == second["key"]) & (first["phrase"] == second["phrase"]) & (first["start"] == second["start2"]),
@@ -189,6 +194,10 @@ def search_block(texts: DataFrame, phrases: Phrases, within: int = 0) -> Search
     return Search(both.select("key", "phrase", "start").distinct(), phrases)
 
 
+def _reach(phrases: Phrases, within: int) -> int:
+    return max(len(ts) for ts in phrases.terms()) + within - 1
+
+
 def _blocks(windows: DataFrame, most: int):
     """Distinct phrases in blocks of bounded size, each small enough for every worker."""
     phrases = stored(windows.select("phrase").distinct())
@@ -205,7 +214,7 @@ def verify(texts: DataFrame, search: Search, within: int = 0) -> DataFrame:
     """``key, phrase, low, high``: matches among the candidates, as ranges of word positions.
 
     Exact phrases stand word for word at their start. With ``within``, a match is a shortest range
-    around the candidate of at most the phrase's length plus ``within`` words that holds all its
+    around a candidate's rare term of at most the phrase's length plus ``within`` words that holds all its
     words, as often as the phrase does, in any order.
     """
     phrases = texts.sparkSession.sparkContext.broadcast(search.phrases.texts)
@@ -226,7 +235,7 @@ def verify(texts: DataFrame, search: Search, within: int = 0) -> DataFrame:
                         if words[start : start + len(terms)] == terms:
                             out.add((key, phrases.value[i], start, start + len(terms)))
                         continue
-                    found = _shortest(words, terms, start, within)
+                    found = _shortest(words, terms, start, within)  # start: where a rare term stands
                     if found:
                         out.add((key, phrases.value[i], *found))
             yield batch(_MATCH_FIELDS, *(map(list, zip(*sorted(out))) if out else [[]] * 4))
@@ -236,18 +245,19 @@ def verify(texts: DataFrame, search: Search, within: int = 0) -> DataFrame:
 
 
 def _shortest(words: list[bytes], terms: list[bytes], start: int, within: int) -> tuple[int, int] | None:
-    """The shortest range near ``start`` that holds all ``terms``, leftmost of equals."""
+    """The shortest range around ``start`` that holds all ``terms``, leftmost of equals."""
     need: dict[bytes, int] = defaultdict(int)
     for t in terms:
         need[t] += 1
-    low, missing, best = max(0, start - within), len(terms), None
+    reach = len(terms) + within
+    low, missing, best = max(0, start - reach + 1), len(terms), None
     left = low
-    for right in range(low, min(len(words), start + len(terms) + within)):
+    for right in range(low, min(len(words), start + reach)):
         if words[right] in need:
             missing -= need[words[right]] > 0
             need[words[right]] -= 1
         while missing == 0:
-            if right + 1 - left <= len(terms) + within and (best is None or right + 1 - left < best[1] - best[0]):
+            if right + 1 - left <= reach and (best is None or right + 1 - left < best[1] - best[0]):
                 best = (left, right + 1)
             if words[left] in need:
                 need[words[left]] += 1
@@ -288,13 +298,15 @@ def matches(
 
 
 def _all_matches(texts: DataFrame, windows: DataFrame, within: int, block: int) -> DataFrame:
-    spark = texts.sparkSession
-    out = spark.createDataFrame([], "key long, phrase string, low long, high long")
+    """The matches of all blocks, each appended to one table in the shared folder."""
+    spark, schema = texts.sparkSession, "key long, phrase string, low long, high long"
+    path = shared_folder(spark)
+    spark.createDataFrame([], schema).write.parquet(path)
     for phrases in _blocks(windows, block):
         search = search_block(texts, phrases, within)
         if search:
-            out = out.unionByName(verify(texts, search, within))
-    return out
+            verify(texts, search, within).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def contamination(
@@ -314,7 +326,7 @@ def contamination(
     """
     windows = stored(benchmark_windows(benchmark, window, item_col, text_col))
     texts = _keyed(docs, id_col, text_col)
-    found = stored(_all_matches(texts.select("key", "text"), windows, 0, block))
+    found = _all_matches(texts.select("key", "text"), windows, 0, block)
 
     spots = found.groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("spots"))
     merged = F.aggregate(

@@ -58,22 +58,20 @@ def pagerank(
     edges ``(u, v, weight)``.
 
     Rank of nodes without out-links returns to the seeds. A round joins ranks to edges on the
-    source and sums by target, map-side first; it is written to the shared folder every few rounds,
-    which keeps the plan short. Nodes without rank have no row. Without seeds there are no rows.
+    source and sums by target, map-side first; it is written to the shared folder, which keeps the
+    plan short. Nodes without rank have no row. Without seeds there are no rows.
     """
     total = seeds.agg(F.sum("seed").alias("t")).scalar()
     start = stored(seeds.where("seed > 0").select("node", (F.col("seed") / total).alias("seed")))
     out = edges.groupBy("u").agg(F.sum("weight").alias("out"))
     shares = stored(edges.join(out, "u").select("u", "v", (F.col("weight") / F.col("out")).alias("share")))
     ranks = start.select("node", F.col("seed").alias("rank"))
-    for i in range(rounds):
+    for _ in range(rounds):
         moved = (
             ranks.join(shares, ranks["node"] == shares["u"])
             .select(F.col("v").alias("node"), (F.col("rank") * F.col("share") * damping).alias("rank"))
         )
         kept = F.coalesce(moved.agg(F.sum("rank").alias("k")).scalar(), F.lit(0.0))
         back = start.select("node", (F.col("seed") * (F.lit(1.0) - kept)).alias("rank"))
-        ranks = moved.unionByName(back).groupBy("node").agg(F.sum("rank").alias("rank"))
-        if i % 3 == 2 or i == rounds - 1:
-            ranks = stored(ranks)
+        ranks = stored(moved.unionByName(back).groupBy("node").agg(F.sum("rank").alias("rank")))
     return ranks.select("node", F.col("rank").alias(name))
