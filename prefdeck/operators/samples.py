@@ -13,8 +13,10 @@ RESPONSE_KEY = [*PROMPT_KEY, "response_id"]
 
 
 def _with_split(df: DataFrame, ordinal: str) -> DataFrame:
-    """The file split an ordinal lies in: a bounded chunk that follows the order."""
-    return df.withColumn("_split", F.struct(f"{ordinal}.path", f"{ordinal}.block"))
+    """The file split an ordinal lies in (all of it but the row): a bounded chunk that follows the
+    order, one per file at least."""
+    parts = [part for part in df.select(f"{ordinal}.*").columns if part != "row"]
+    return df.withColumn("_split", F.struct(*[f"{ordinal}.{part}" for part in parts]))
 
 
 def assign_input_ids(inputs: DataFrame) -> DataFrame:

@@ -33,8 +33,8 @@ def read_preferences(
 ) -> DataFrame:
     """One or many JSONL paths as one set of records, tagged with ``origin`` and ``ord``.
 
-    Each listed path is its own scan, so ``ord.path`` is its place in the list; inside a path the
-    order is that of the file splits. A field that does not fit the schema is NULL; with ``strict``
+    Each listed path is its own scan, so ``ord.path`` is its place in the list; inside a path (a folder
+    or a glob) files follow their names, and lines their splits. A field that does not fit the schema is NULL; with ``strict``
     it fails the job. :func:`invalid_lines` lists such lines.
     """
     listed = check_source_extension(paths)
@@ -47,6 +47,7 @@ def read_preferences(
             F.lit(name).alias("origin"),
             F.struct(
                 F.lit(place).alias("path"),
+                F.col("_metadata.file_path").alias("file"),
                 F.col("_metadata.file_block_start").alias("block"),
                 F.monotonically_increasing_id().alias("row"),
             ).alias("ord"),

@@ -32,5 +32,11 @@ def write_metrics_json(metrics: DataFrame, path: str, mode: str = "error") -> No
 
 
 def export_training_batches(batches: DataFrame, path: str, epoch: int, mode: str = "error") -> None:
-    """Write packed and padded batches to parquet under ``epoch=<epoch>``."""
-    batches.withColumn("epoch", F.lit(epoch)).write.mode(mode).partitionBy("epoch").parquet(path)
+    """Write packed and padded batches to parquet in the folder ``epoch=<epoch>`` below ``path``.
+
+    ``mode`` concerns that folder alone: no epoch can touch another. A batch is in one file, its rows
+    in a row, batches in order inside each file.
+    """
+    order = [c for c in ("batch_id", "slot") if c in batches.columns]
+    kept_together = batches.repartition("batch_id").sortWithinPartitions(*order)
+    kept_together.write.mode(mode).parquet(f"{path.rstrip('/')}/epoch={epoch}")

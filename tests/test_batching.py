@@ -135,6 +135,12 @@ def test_export_round_trip(spark, tmp_path):
         F.countDistinct(F.size("input_ids")).alias("a"), F.countDistinct(F.size("labels")).alias("b")
     )
     assert widths.where("a <> 1 OR b <> 1").count() == 0
+    export_training_batches(padded.limit(4), path, epoch=3)
+    export_training_batches(padded.limit(2), path, epoch=3, mode="overwrite")
+    counts = {r["epoch"]: r["count"] for r in spark.read.parquet(path).groupBy("epoch").count().collect()}
+    assert counts == {2: 13, 3: 2}
+    files = back.select("batch_id", F.input_file_name().alias("file")).distinct()
+    assert files.count() == back.select("batch_id").distinct().count()
     expanded = {(r.input_id, r.chosen_id, r.rejected_id) for r in expand_label_rows(back).collect()}
     inside = batching.in_batch_pairs(batches, labels).collect()
     assert expanded == {(r.input_id, r.chosen_id, r.rejected_id) for r in inside}

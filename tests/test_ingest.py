@@ -238,3 +238,13 @@ def test_hot_prompt_and_hot_answer_are_split_by_skew_joins(spark):
     assert len(plain[0][0]) == 6000 + 2001 and len(plain[1][0]) == 6000
     for _, plan in split:
         assert "skew=true" in plan.split("Initial Plan")[0]
+
+
+def test_files_of_a_glob_are_numbered_apart_and_in_name_order(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"part{i}.jsonl").write_text(json.dumps({"input": f"q{i}", "answer1": "a", "answer2": "b", "preference": "1"}) + "\n")
+    fused, _ = prepare(jsonl.read_preferences(spark, str(tmp_path / "*.jsonl"), origin="o"))
+    chunks = samples._with_split(fused.inputs.select("first_ord"), "first_ord").select("_split").distinct()
+    assert chunks.count() == 5
+    ids = samples.assign_input_ids(fused.inputs).select("input", "input_id").collect()
+    assert {r["input"]: r["input_id"] for r in ids} == {f"q{i}": i for i in range(5)}
