@@ -136,6 +136,8 @@ _OCCURRENCE = concat_schema(
 )
 _SPANS = concat_schema(k1=pa.int64(), k2=pa.int64(), low=pa.int64(), high=pa.int64())
 SPANS = "k1 long, k2 long, low long, high long"
+# Kinds of spans: removed; removed unless it is listed as FIRST as well; earliest occurrence.
+MATCH, COPY, FIRST = 0, 1, 2
 
 
 def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -258,28 +260,31 @@ def _hot_spans(occurrences: DataFrame, length: int) -> DataFrame:
 
     Equal byte spans fold to their earliest place with a map-side minimum; the windows of what is
     left are compared by digest in the same way. Every occurrence but the earliest of a span is a
-    copy as a whole.
+    copy as a whole: all are listed as COPY and the earliest ones as FIRST besides, and they cancel
+    out where the spans of a document meet (:func:`removed_spans`), so no join goes over them.
     """
     place = F.struct("known", "k1", "k2", "start")
-    hot = occurrences.withColumn("d", F.sha2("span", 256)).withColumn("place", place)
-    first = hot.groupBy("d").agg(F.min("place").alias("best"))
-    joined = hot.join(first, "d")
-    copies = joined.where("place <> best").select(
-        "k1", "k2", F.col("start").alias("low"), (F.col("start") + F.octet_length("span")).alias("high")
+    ends = [F.col("start").alias("low"), (F.col("start") + F.octet_length("span")).alias("high")]
+    copies = occurrences.select("k1", "k2", *ends, F.lit(COPY).alias("kind"))
+    first = (
+        occurrences.groupBy(F.sha2("span", 256).alias("d"))
+        .agg(F.min(F.struct(place.alias("place"), "span")).alias("best"))
+        .select("best.place.*", "best.span")
     )
-    window = (
-        joined.where("place = best")
-        .select("known", "k1", "k2", "start", "span", F.explode(F.sequence(F.lit(0), F.octet_length("span") - length)).alias("o"))
-        .select(
-            F.struct("known", "k1", "k2", (F.col("start") + F.col("o")).alias("at")).alias("place"),
-            F.sha2(F.substring("span", F.col("o") + 1, F.lit(length)), 256).alias("w"),
-        )
+    firsts = first.select("k1", "k2", *ends, F.lit(FIRST).alias("kind"))
+    window = first.withColumn("o", F.explode(F.sequence(F.lit(0), F.octet_length("span") - length))).select(
+        F.struct("known", "k1", "k2", (F.col("start") + F.col("o")).alias("at")).alias("place"),
+        F.sha2(F.substring("span", F.col("o") + 1, F.lit(length)), 256).alias("w"),
     )
     earliest = window.groupBy("w").agg(F.min("place").alias("best"))
     matched = window.join(earliest, "w").where("place <> best").select(
-        "place.k1", "place.k2", F.col("place.at").alias("low"), (F.col("place.at") + length).alias("high")
+        "place.k1",
+        "place.k2",
+        F.col("place.at").alias("low"),
+        (F.col("place.at") + length).alias("high"),
+        F.lit(MATCH).alias("kind"),
     )
-    return copies.unionByName(matched)
+    return copies.unionByName(firsts).unionByName(matched)
 
 
 _RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
@@ -301,6 +306,16 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join(kept), runs
 
 
+def removed_spans(spans: pa.StructArray, k2: int) -> list[tuple[int, int]]:
+    """The spans to remove from the text ``k2`` among the listed ``(k2, low, high, kind)``."""
+    own = spans.field(0).to_numpy() == k2
+    kind = spans.field(3).to_numpy()[own]
+    ends = np.stack([spans.field(1).to_numpy()[own], spans.field(2).to_numpy()[own]], axis=1)
+    firsts = set(map(tuple, ends[kind == FIRST].tolist()))
+    copies = [span for span in map(tuple, ends[kind == COPY].tolist()) if span not in firsts]
+    return list(map(tuple, ends[kind == MATCH].tolist())) + copies
+
+
 def remove_repeats(
     docs: DataFrame,
     min_length: int = MIN_LENGTH,
@@ -369,10 +384,11 @@ def remove_repeats(
         )
     )
     found = unique.join(per_text.hint("shuffle_hash"), "k1")
-    spans = _cold_spans(_occurrences(found, "cold", min_length, gram), min_length).unionByName(
+    cold_spans = _cold_spans(_occurrences(found, "cold", min_length, gram), min_length).unionByName(copies)
+    spans = cold_spans.withColumn("kind", F.lit(MATCH)).unionByName(
         _hot_spans(_occurrences(found, "hot", min_length, gram), min_length)
-    ).unionByName(copies)
-    per_text_spans = spans.groupBy("k1").agg(F.collect_list(F.struct("k2", "low", "high")).alias("spans"))
+    )
+    per_text_spans = spans.groupBy("k1").agg(F.collect_list(F.struct("k2", "low", "high", "kind")).alias("spans"))
 
     def cut(batches):
         for rows in batches:
@@ -382,11 +398,7 @@ def remove_repeats(
             out = []
             for i in range(len(known)):
                 text = data[i].as_py()
-                mine = []
-                if found[i].is_valid:
-                    values = found[i].values
-                    own = values.field(0).to_numpy() == k2[i]
-                    mine = list(zip(values.field(1).to_numpy()[own].tolist(), values.field(2).to_numpy()[own].tolist()))
+                mine = removed_spans(found[i].values, k2[i]) if found[i].is_valid else []
                 kept, runs = cut_spans(text, mine)
                 out.append(
                     (k1[i] if known[i] else None, len(text), len(text) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None)
