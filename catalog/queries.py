@@ -155,8 +155,10 @@ def calibration_curve(spark, sf_dir):
 
 @query
 def expected_calibration_error(spark, sf_dir):
-    curve = metrics.calibration_curve(_pairs(spark, sf_dir), ["origin", "category"])
-    return _round(metrics.expected_calibration_error(curve, ["origin", "category"]), "ece")
+    by = ["origin", "category"]
+    rows = _pairs(spark, sf_dir)
+    curve = metrics.calibration_curve(rows, by)
+    return _round(metrics.expected_calibration_error(curve, by, pairs=rows), "ece")
 
 
 @query

@@ -30,6 +30,19 @@ def epoch_order(prompts: DataFrame, seed: int = 0, epoch: int = 0) -> DataFrame:
     return placed.drop("_shuffle", "_prefix")
 
 
+def unkeyed_samples(samples: DataFrame) -> DataFrame:
+    """Samples without origin, input or output id: they have no place in an epoch."""
+    return samples.where("origin IS NULL OR input_id IS NULL OR output_id IS NULL")
+
+
+def require_keyed(samples: DataFrame) -> DataFrame:
+    """The same samples; running them fails on the first that :func:`unkeyed_samples` would report."""
+    missing = F.col("origin").isNull() | F.col("input_id").isNull() | F.col("output_id").isNull()
+    failure = F.raise_error(F.lit("a sample lacks its origin, input_id or output_id"))
+    kind = samples.schema["output_id"].dataType
+    return samples.withColumn("output_id", F.when(missing, failure.cast(kind)).otherwise(F.col("output_id")))
+
+
 def epoch_positions(samples: DataFrame, seed: int = 0, epoch: int = 0) -> DataFrame:
     """Samples with their dense place in the epoch: prompts shuffled, outputs of a prompt in a row.
 
@@ -59,7 +72,8 @@ def pack_batches(samples: DataFrame, batch_size: int, seed: int = 0, epoch: int
     """Consecutive batches along the epoch order, from running sizes alone.
 
     Every sample once, every batch full but the last, and only pairs of prompts that lie across a
-    batch border are parted.
+    batch border are parted. Samples without a key are left out, see :func:`unkeyed_samples` and
+    :func:`require_keyed`.
     """
     return epoch_positions(samples, seed, epoch).select(
         *PAIR_KEY,

@@ -80,7 +80,9 @@ def passthrough_scalars(normalized: DataFrame, columns: list[str]) -> DataFrame:
 def rank_rows(normalized: DataFrame) -> DataFrame:
     """One row per (prompt, response id) of the rank maps, with its place in the map.
 
-    A prompt should carry one map (see :func:`rank_once`); with several the first record wins.
+    A prompt should carry one map (see :func:`rank_once`); with several the first record wins per
+    response. Places then repeat, and :func:`~prefdeck.operators.pairs.judge_pairs` orders equal
+    ones by response id.
     """
     rows = normalized.select(
         *PROMPT_KEY, "ord", F.posexplode("rank").alias("rank_pos", "response_id", "rank_text")
@@ -97,6 +99,12 @@ def rank_rows(normalized: DataFrame) -> DataFrame:
     )
 
 
+def unknown_rank_ids(ranks: DataFrame, responses: DataFrame) -> DataFrame:
+    """Ranked ids that name no response of their prompt; they take no part in any comparison."""
+    key = [*PROMPT_KEY, "response_id"]
+    return ranks.join(responses.select(*key), key, "left_anti")
+
+
 def rank_once(normalized: DataFrame) -> DataFrame:
     """Prompts that carry more than one rank map (an error in strict use)."""
     return (

@@ -1,6 +1,7 @@
 """Ranking, pair and calibration metrics as aggregates.
 
 Results are long tables ``(origin, category, metric, value)``; a NULL category is the whole origin.
+An origin with a row that lacks a category is measured as a whole, without categories.
 Undefined values (deviation of one row, mean of nothing) are NULL.
 """
 
@@ -280,12 +281,30 @@ def _sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
-def expected_calibration_error(curve: DataFrame, by: Sequence[str] = ("origin",)) -> DataFrame:
-    """Count-weighted mean of |accuracy - sigmoid(mean difference)|."""
+def expected_calibration_error(
+    curve: DataFrame, by: Sequence[str] = ("origin",), pairs: DataFrame | None = None
+) -> DataFrame:
+    """Count-weighted mean of |accuracy - sigmoid(mean difference)|.
+
+    A group whose differences are all 0 has no bins and so no row in ``curve``; with ``pairs`` it
+    gets its row here, with an error of 0.
+    """
     gap = F.abs(F.col("accuracy") - _sigmoid(F.col("mean_diff")))
-    return curve.groupBy(*by).agg(
+    errors = curve.groupBy(*by).agg(
         (F.sum(gap * F.col("n_pairs")) / F.sum("n_pairs")).alias("ece")
     )
+    if pairs is None:
+        return errors
+    return _for_groups(pairs.select(*by).distinct(), errors, by).withColumn(
+        "ece", F.coalesce("ece", F.lit(0.0))
+    )
+
+
+def _for_groups(groups: DataFrame, facts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Every group once, with its row of ``facts`` or NULLs. Both sides have a row per group."""
+    own = {k: f"_own_{k}" for k in by}
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in own.items()])
+    return groups.join(facts.withColumnsRenamed(own), match, "left").drop(*own.values())
 
 
 def pair_summary(
@@ -345,13 +364,16 @@ def metric_rows(
     n_bins: int = 5,
     floor_rows: int = HOT_FLOOR_ROWS,
 ) -> DataFrame:
-    """All metrics that apply, long, one set per group of ``by``."""
+    """All metrics that apply, long, one set per group of ``by``. A group without usable pairs has
+    NULL for the metrics of pairs."""
     by = list(by)
-    parts = [_long(reward_stats(scores, by), by)]
+    stats = reward_stats(scores, by)
+    parts = [_long(stats, by)]
     if with_ranks:
         parts.append(_long(rank_metrics(rank_counts(scores, floor_rows), by), by))
     if labels is not None:
-        parts.append(_long(pair_summary(build_pairs(labels, scores), by, n_bins), by))
+        summary = pair_summary(build_pairs(labels, scores), by, n_bins)
+        parts.append(_long(_for_groups(stats.select(*by), summary, by), by))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -373,14 +395,32 @@ def macro_metrics(category_rows: DataFrame, skip_undefined: bool = False) -> Dat
     )
 
 
+def category_mode(rows: DataFrame) -> DataFrame:
+    """``rows`` with the category NULL throughout an origin that lacks it in some row.
+
+    The names of these origins come as one value from a scan for rows without category; there are as
+    many as data sets at most.
+    """
+    lacking = (
+        rows.where(F.col("category").isNull()).agg(F.collect_set("origin").alias("origins")).scalar()
+    )
+    return rows.withColumn("category", F.when(~F.array_contains(lacking, F.col("origin")), F.col("category")))
+
+
 def with_macro(category_rows: DataFrame, skip_undefined: bool = False) -> DataFrame:
-    """The category rows and their macro rows in one pass (two grouping sets over a small table)."""
+    """The category rows and their macro rows in one pass (two grouping sets over a small table).
+
+    A NULL category must be the only one of its origin (see :func:`category_mode`): its row is the
+    macro row.
+    """
     mean = F.avg("value")
     if not skip_undefined:
         mean = F.when(F.count("value") == F.count("*"), mean)
     return category_rows.groupingSets(
         [["origin", "metric", "category"], ["origin", "metric"]], "origin", "metric", "category"
-    ).agg(mean.alias("value")).select("origin", "category", "metric", "value")
+    ).agg(mean.alias("value"), F.grouping("category").alias("_whole")).where(
+        (F.col("_whole") == 1) | F.col("category").isNotNull()
+    ).select("origin", "category", "metric", "value")
 
 
 def metric_bundle(
@@ -392,13 +432,14 @@ def metric_bundle(
     n_bins: int = 5,
     floor_rows: int = HOT_FLOOR_ROWS,
 ) -> DataFrame:
-    """The whole bag. With categories the un-suffixed metrics are the category means."""
+    """The whole bag. With categories the un-suffixed metrics are the category means; origins that
+    lack categories have their plain metrics instead."""
     options = dict(labels=labels, with_ranks=with_ranks, n_bins=n_bins, floor_rows=floor_rows)
     if not with_categories:
         return metric_rows(scores, by=["origin"], **options).select(
             "origin", F.lit(None).cast("string").alias("category"), "metric", "value"
         )
-    return with_macro(metrics_by_category(scores, **options), skip_undefined)
+    return with_macro(metrics_by_category(category_mode(scores), **options), skip_undefined)
 
 
 def train_eval_metrics(
@@ -447,7 +488,7 @@ def judge_metrics(judged: DataFrame) -> DataFrame:
     by the md5 of their text. A prompt without pairs has no rows here and is not counted.
     """
     right = F.when(F.col("judgment") == F.col("preference"), 1).otherwise(0)
-    per_question = judged.groupBy("origin", "category", F.md5("question").alias("question_key")).agg(
+    per_question = category_mode(judged).groupBy("origin", "category", F.md5("question").alias("question_key")).agg(
         F.sum(right).alias("n_right"), F.count("*").alias("n_judged")
     )
     wide = per_question.groupBy(*GROUP).agg(

@@ -8,17 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefdeck.functions.text import content_id
-from prefdeck.operators.skew import (
-    HOT_FLOOR_ROWS,
-    attach_per_group,
-    hot_groups,
-    keyed,
-    with_groups,
-    without_groups,
-)
+from prefdeck.operators.skew import keyed
 
 # The most selective column first: sorts compare an 8-byte prefix of the first key column.
 PAIR_KEY = ["input_id", "origin"]
+# Rows of a prompt that are paired with as many others in one cell of the pair join: at most some
+# two million pairs each.
+PAIR_BLOCK_ROWS = 2_000
 
 
 def distinct_pairs(labels: DataFrame) -> DataFrame:
@@ -82,56 +78,44 @@ def require_pairs(pairs: DataFrame, strict: bool = False) -> DataFrame:
 def ordered_pairs(
     rows: DataFrame,
     keys: Sequence[str],
-    position: str,
+    order: Sequence[str],
     carry: Sequence[str],
     on: Column | None = None,
-    floor_rows: int = HOT_FLOOR_ROWS,
+    block_rows: int = PAIR_BLOCK_ROWS,
 ) -> DataFrame:
-    """Every two rows of a group, earlier ``position`` as ``_a`` and later as ``_b``.
+    """Every two rows of a group, the earlier by ``order`` as ``_a`` and the later as ``_b``.
 
     The pairs themselves are the wanted output (a judge has to see each one), so the work is that
-    of the output. It is spread evenly even if one group holds most rows: the rows of a hot group
-    are cut into blocks by position and joined block against block, each cell of that triangle
-    being its own join key. Positions must be dense in the group. ``on`` is a condition over the
-    ``_a`` / ``_b`` columns.
+    of the output, and a group of n rows gives n * n / 2 of them. Groups are dealt by hash into about
+    n / ``block_rows`` blocks and joined block against block, each cell being its own join key: no
+    key ever holds more than about ``block_rows`` rows a side, and a group of one block is one cell.
+    Group sizes come from one folded count of the keys. ``order`` must tell the rows of a group apart
+    and is never NULL in a pair. ``on`` is a condition over the ``_a`` / ``_b`` columns. Carry narrow columns
+    only: a row is copied to every cell of its block.
     """
-    columns = list(dict.fromkeys([position, *carry]))
+    columns = list(dict.fromkeys([*order, *carry]))
+    rows = keyed(rows, [*keys, *order]).select(*keys, *columns)
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("_blocks"))
+    blocked = rows.join(sizes, list(keys)).withColumn(
+        "_block", F.pmod(F.xxhash64(*order), F.col("_blocks")).cast("int")
+    )
+    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
 
-    def side(df: DataFrame, suffix: str, cell: Sequence[str]) -> DataFrame:
-        return df.select(*keys, *cell, *[F.col(c).alias(f"{c}_{suffix}") for c in columns])
+    def side(df: DataFrame, suffix: str) -> DataFrame:
+        return df.select(*keys, "_from", "_to", *[F.col(c).alias(f"{c}_{suffix}") for c in columns])
 
-    rows = keyed(rows, [*keys, position])
-    hot = hot_groups(rows, keys, floor_rows=floor_rows)
-    condition = F.col(f"{position}_a") < F.col(f"{position}_b")
+    # Rows of block i take part as _a in the cells (i, *) and as _b in the cells (*, i).
+    first = side(blocked.withColumn("_to", every).withColumn("_from", F.col("_block")), "a")
+    second = side(blocked.withColumn("_from", every).withColumn("_to", F.col("_block")), "b")
+    condition = F.struct(*[F.col(f"{c}_a").alias(c) for c in order]) < F.struct(
+        *[F.col(f"{c}_b").alias(c) for c in order]
+    )
     if on is not None:
         condition = condition & on
-
-    cold = without_groups(rows, hot, keys)
-    pairs = side(cold, "a", []).join(side(cold, "b", []), list(keys)).where(condition)
-
-    hot_rows = with_groups(rows, hot, keys)
-    sizes = hot_rows.groupBy(*keys).agg(F.max(position).alias("_last_position"))
-    blocked = attach_per_group(hot_rows, sizes, keys).withColumns(
-        {
-            "_block": F.floor(F.col(position) / F.lit(floor_rows)).cast("int"),
-            "_last_block": F.floor(F.col("_last_position") / F.lit(floor_rows)).cast("int"),
-        }
-    )
-    # A row of block i is the earlier one in cells (i, i..last), the later one in cells (0..i, i).
-    earlier = blocked.withColumn("_to", F.explode(F.sequence("_block", "_last_block")))
-    later = blocked.withColumn(
-        "_from", F.explode(F.sequence(F.lit(0), F.col("_block")))
-    ).withColumn("_to", F.col("_block"))
-    hot_pairs = (
-        side(earlier.withColumn("_from", F.col("_block")), "a", ["_from", "_to"])
-        .join(side(later, "b", ["_from", "_to"]), [*keys, "_from", "_to"])
-        .where(condition)
-        .drop("_from", "_to")
-    )
-    return pairs.unionByName(hot_pairs)
+    return first.join(second, [*keys, "_from", "_to"]).where(condition).drop("_from", "_to")
 
 
-def rank_pairs(scores: DataFrame, floor_rows: int = HOT_FLOOR_ROWS) -> DataFrame:
+def rank_pairs(scores: DataFrame, block_rows: int = PAIR_BLOCK_ROWS) -> DataFrame:
     """Every pair of a prompt with different ranks, the better-ranked response as chosen.
 
     For looking at pairs. The metrics count them without forming them (``rank_counts``).
@@ -139,10 +123,10 @@ def rank_pairs(scores: DataFrame, floor_rows: int = HOT_FLOOR_ROWS) -> DataFrame
     pairs = ordered_pairs(
         scores,
         PAIR_KEY,
-        "output_id",
+        ["output_id"],
         ["category", "rank", "reward"],
         on=F.col("rank_a") != F.col("rank_b"),
-        floor_rows=floor_rows,
+        block_rows=block_rows,
     )
     a_better = F.col("rank_a") < F.col("rank_b")
 
@@ -161,33 +145,40 @@ def rank_pairs(scores: DataFrame, floor_rows: int = HOT_FLOOR_ROWS) -> DataFrame
 
 
 def judge_pairs(
-    responses: DataFrame, keys: Sequence[str], floor_rows: int = HOT_FLOOR_ROWS
+    responses: DataFrame, keys: Sequence[str], block_rows: int = PAIR_BLOCK_ROWS
 ) -> DataFrame:
     """Every pair of a prompt with different ranks, with both texts, in rank-map order.
 
-    ``responses`` has ``keys, rank_pos, response_id, rank, output, category, question``. Ids and
-    ranks are paired first; the question is carried, the texts come along as they are the output.
+    ``responses`` has ``keys, rank_pos, response_id, rank, output, category, question``; ids are
+    unique in a prompt. Equal places (of merged rank maps) follow the ids. Ids and ranks are paired
+    first; the texts join afterwards, on (keys, id).
     """
+    ranked = responses.where(F.col("rank").isNotNull())
     pairs = ordered_pairs(
-        responses.where(F.col("rank").isNotNull()),
+        ranked,
         keys,
-        "rank_pos",
-        ["response_id", "rank", "output", "category", "question"],
+        ["rank_pos", "response_id"],
+        ["rank"],
         on=F.col("rank_a") != F.col("rank_b"),
-        floor_rows=floor_rows,
-    )
-    return pairs.select(
+        block_rows=block_rows,
+    ).select(
         *keys,
-        F.col("category_a").alias("category"),
-        F.col("question_a").alias("question"),
         F.col("response_id_a").alias("id_a"),
         F.col("response_id_b").alias("id_b"),
-        F.col("output_a").alias("answer_a"),
-        F.col("output_b").alias("answer_b"),
         F.when(F.col("rank_a") < F.col("rank_b"), F.lit("A"))
         .otherwise(F.lit("B"))
         .alias("preference"),
     )
+    texts = keyed(ranked, [*keys, "response_id"])
+    first = texts.select(
+        *keys, F.col("response_id").alias("id_a"), F.col("output").alias("answer_a"), "category", "question"
+    )
+    second = texts.select(*keys, F.col("response_id").alias("id_b"), F.col("output").alias("answer_b"))
+    return (
+        pairs.join(first, [*keys, "id_a"])
+        .join(second, [*keys, "id_b"])
+        .select(*keys, "category", "question", "id_a", "id_b", "answer_a", "answer_b", "preference")
+    )
 
 
 def coin(key: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +57,19 @@ def normalize_records(records: DataFrame) -> DataFrame:
     """Give every record ``input_text``, its 128-bit ``input_key`` and typed ``items``.
 
     A flat pair becomes one item and replaces any annotations of the record. The key is the md5
-    of the prompt, so later shuffles move 32 characters instead of the prompt.
+    of the prompt, so later shuffles move 32 characters instead of the prompt. A record without a
+    prompt (a broken line reads as one) is left out here, once for all that follows, and reported by
+    :func:`records_without_prompt`.
     """
+    return _normalized(records.where(prompt_text().isNotNull()))
+
+
+def records_without_prompt(records: DataFrame) -> DataFrame:
+    """Records that :func:`normalize_records` leaves out."""
+    return records.where(prompt_text().isNull())
+
+
+def _normalized(records: DataFrame) -> DataFrame:
     flat = is_flat_pair()
     items = F.when(
         flat, F.array(_item(FORM_TEXTS, F.col("answer1"), F.col("answer2"), F.col("preference")))
@@ -137,30 +150,44 @@ def all_annotations(normalized: DataFrame) -> DataFrame:
     )
 
 
+def _is_bad(item: Callable[[str], Column]) -> Column:
+    """Text form: no preference of 1 or 2, or an answer is missing. Id form: fewer than three parts."""
+    lacking = item("first").isNull() | item("second").isNull()
+    texts = lacking | F.coalesce(~item("preference").isin("1", "2"), F.lit(True))
+    return F.when(item("form") == FORM_TEXTS, texts).otherwise(lacking | item("preference").isNull())
+
+
 def invalid_annotations(normalized: DataFrame) -> DataFrame:
-    """Text-form annotations whose preference is not 1 or 2, or that lack an answer."""
-    bad = (
-        F.coalesce(~F.col("preference").isin("1", "2"), F.lit(True))
-        | F.col("first").isNull()
-        | F.col("second").isNull()
-    )
-    return annotation_rows(normalized).where((F.col("form") == FORM_TEXTS) & bad)
+    """Text-form annotations whose preference is not 1 or 2, or that lack an answer, and id-form
+    annotations of fewer than three parts."""
+    return annotation_rows(normalized).where(_is_bad(F.col))
+
+
+def _rank_number(text: Column) -> Column:
+    return F.trim(text).try_cast("int")
+
+
+def invalid_ranks(normalized: DataFrame) -> DataFrame:
+    """Entries of rank maps that are no integer: ``response_id, rank_text``. They count as no rank."""
+    entries = normalized.select("origin", "input_key", "ord", F.explode("rank").alias("response_id", "rank_text"))
+    return entries.where(_rank_number(F.col("rank_text")).isNull())
 
 
 def require_valid(records: DataFrame) -> DataFrame:
-    """Strict mode: the same normalized records, but running them fails on the first annotation
-    :func:`invalid_annotations` would report. Read with ``strict=True`` to fail on bad lines too."""
-    normalized = normalize_records(records)
-    bad_item = F.exists(
-        "items",
-        lambda item: (item["form"] == FORM_TEXTS)
-        & (
-            F.coalesce(~item["preference"].isin("1", "2"), F.lit(True))
-            | item["first"].isNull()
-            | item["second"].isNull()
-        ),
+    """Strict mode: the same normalized records, but running them fails on the first record without
+    prompt, annotation or rank that :func:`records_without_prompt`, :func:`invalid_annotations` or
+    :func:`invalid_ranks` would report. Read with ``strict=True`` to fail on bad lines too."""
+    normalized = _normalized(records)
+    bad_item = F.exists("items", lambda item: _is_bad(lambda name: item[name]))
+    bad_rank = F.exists(F.map_values("rank"), lambda text: _rank_number(text).isNull())
+
+    def failing(message: str) -> Column:
+        return F.raise_error(F.lit(message))
+
+    checked = (
+        F.when(F.col("input_text").isNull(), failing("a record has no prompt"))
+        .when(bad_item, failing("annotation preference must be 1 or 2, and a tuple has three parts"))
+        .when(bad_rank, failing("a rank is not an integer"))
+        .otherwise(F.col("items"))
     )
-    checked = F.when(
-        bad_item, F.raise_error(F.lit("annotation preference must be 1 or 2"))
-    ).otherwise(F.col("items"))
     return normalized.withColumn("items", checked)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,21 +19,25 @@ def repartition_for_calls(
     df: DataFrame,
     rows_per_partition: int = 2,
     n_rows: int | None = None,
-    max_partitions: int = 20_000,
 ) -> DataFrame:
     """Small even partitions, so that slow remote calls overlap and a retry repeats little.
 
-    ``n_rows`` saves the count. The partition count is limited for the scheduler's sake; partitions
-    then simply hold more rows.
+    ``n_rows``, if known, saves running ``df`` once more for its count.
     """
     total = df.count() if n_rows is None else n_rows
-    return df.repartition(max(1, min(total // rows_per_partition, max_partitions)))
+    return df.repartition(max(1, total // rows_per_partition))
 
 
 def _map_batches(
-    df: DataFrame, column: str, kind: T.DataType, factory: Callable, batch_size: int | None
+    df: DataFrame,
+    column: str,
+    kind: T.DataType,
+    factory: Callable,
+    batch_size: int | None,
+    keep: Sequence[str] | None,
 ) -> DataFrame:
-    schema = T.StructType([*df.schema.fields, T.StructField(column, kind)])
+    kept = df.columns if keep is None else list(keep)
+    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(column, kind)])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = None
@@ -42,27 +46,35 @@ def _map_batches(
             for start in range(0, len(frame), step):
                 part = frame.iloc[start : start + step]
                 call = call or factory()
-                yield part.assign(**{column: list(call(part))})
+                yield part[kept].assign(**{column: list(call(part))})
 
     return df.mapInPandas(run, schema)
 
 
 def score_responses(
-    samples: DataFrame, scorer: Column | ScoreFactory, batch_size: int | None = None
+    samples: DataFrame,
+    scorer: Column | ScoreFactory,
+    batch_size: int | None = None,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Attach ``reward`` to each (input, output) row."""
+    """Attach ``reward`` to each (input, output) row; ``keep`` names the columns that come back with
+    it (all by default). Texts need not come back from Python."""
     if isinstance(scorer, Column):
-        return samples.withColumn("reward", scorer.cast("double"))
-    return _map_batches(samples, "reward", T.DoubleType(), scorer, batch_size)
+        return samples.select(*(samples.columns if keep is None else keep), scorer.cast("double").alias("reward"))
+    return _map_batches(samples, "reward", T.DoubleType(), scorer, batch_size, keep)
 
 
 def judge_responses(
-    pairs: DataFrame, judge: Column | JudgeFactory, batch_size: int = 64
+    pairs: DataFrame,
+    judge: Column | JudgeFactory,
+    batch_size: int = 64,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Attach the raw ``judge_text``; always a column, also for a batch of one row."""
+    """Attach the raw ``judge_text``; always a column, also for a batch of one row. ``keep`` as in
+    :func:`score_responses`."""
     if isinstance(judge, Column):
-        return pairs.withColumn("judge_text", judge.cast("string"))
-    return _map_batches(pairs, "judge_text", T.StringType(), judge, batch_size)
+        return pairs.select(*(pairs.columns if keep is None else keep), judge.cast("string").alias("judge_text"))
+    return _map_batches(pairs, "judge_text", T.StringType(), judge, batch_size, keep)
 
 
 def scores_to_samples(samples: DataFrame, scores: DataFrame) -> DataFrame:

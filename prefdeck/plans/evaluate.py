@@ -39,20 +39,18 @@ def evaluate_scorer(
     Python scorers are run once: their output is written to the checkpoint folder before the
     metrics read it in more than one branch.
     """
-    scored = score_responses(samples, predictor.implementation, predictor.batch_size)
-    scored = scored.select("origin", "category", "input_id", "output_id", "rank", "reward")
+    kept = ["origin", "category", "input_id", "output_id", "rank"]
+    scored = score_responses(samples, predictor.implementation, predictor.batch_size, keep=kept)
     if callable(predictor.implementation):
         scored = materialize(scored)
     return metric_bundle(scored, with_categories=True, floor_rows=floor_rows)
 
 
-def judged_pairs(
-    samples: DataFrame, predictor: Predictor, floor_rows: int = HOT_FLOOR_ROWS
-) -> DataFrame:
+def judged_pairs(samples: DataFrame, predictor: Predictor) -> DataFrame:
     """Pairs with positions swapped by coin, judged, and the verdict read."""
     rows = samples.withColumn("question", F.col("input"))
     pairs = swap_positions(
-        judge_pairs(rows, ["origin", "input_id"], floor_rows),
+        judge_pairs(rows, ["origin", "input_id"]),
         F.concat_ws(":", "origin", "question", "id_a", "id_b"),
     )
     prompt = render_judge_prompts(
@@ -74,5 +72,5 @@ def evaluate(
     if predictor.kind == SCORE:
         return evaluate_scorer(samples, predictor, floor_rows)
     if predictor.kind == JUDGE:
-        return judge_metrics(judged_pairs(samples, predictor, floor_rows))
+        return judge_metrics(judged_pairs(samples, predictor))
     raise NotImplementedError(f"predictor kind {predictor.kind!r}")

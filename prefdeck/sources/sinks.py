@@ -31,6 +31,16 @@ def write_metrics_json(metrics: DataFrame, path: str, mode: str = "error") -> No
     )
 
 
+def write_metrics_document(metrics: DataFrame, path: str, mode: str = "error") -> None:
+    """Write one indented JSON document, origin -> metrics, as a text file in the folder ``path``."""
+    entries = F.sort_array(F.collect_list(F.struct("origin", "pairs")))
+    pairs = F.sort_array(F.map_entries("metrics")).alias("pairs")
+    whole = F.transform(entries, lambda e: F.struct(e["origin"], F.map_from_entries(e["pairs"])))
+    text = F.to_json(F.map_from_entries(whole), {"pretty": "true", "ignoreNullFields": "false"})
+    document = metric_documents(metrics).select("origin", pairs).agg(text.alias("value"))
+    document.coalesce(1).write.mode(mode).text(path)
+
+
 def export_training_batches(batches: DataFrame, path: str, epoch: int, mode: str = "error") -> None:
     """Write packed and padded batches to parquet in the folder ``epoch=<epoch>`` below ``path``.
 

@@ -95,7 +95,6 @@ def test_repartition_for_calls(spark):
     df = spark.range(10)
     assert scoring.repartition_for_calls(df).rdd.getNumPartitions() == 5
     assert scoring.repartition_for_calls(df, 4, n_rows=9).rdd.getNumPartitions() == 2
-    assert scoring.repartition_for_calls(df, max_partitions=3).rdd.getNumPartitions() == 3
     assert scoring.repartition_for_calls(spark.range(1)).count() == 1
 
 
