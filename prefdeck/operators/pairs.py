@@ -101,8 +101,13 @@ def ordered_pairs(
     )
     every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
 
+    # Cells are a few MB but may hold millions of pairs: a stated number of partitions keeps AQE from
+    # putting them together, and a merge join from running where the rows of a prompt already are.
+    n_tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def side(df: DataFrame, suffix: str) -> DataFrame:
-        return df.select(*keys, "_from", "_to", *[F.col(c).alias(f"{c}_{suffix}") for c in columns])
+        renamed = [F.col(c).alias(f"{c}_{suffix}") for c in columns]
+        return df.select(*keys, "_from", "_to", *renamed).repartition(n_tasks, *keys, "_from", "_to")
 
     # Rows of block i take part as _a in the cells (i, *) and as _b in the cells (*, i).
     first = side(blocked.withColumn("_to", every).withColumn("_from", F.col("_block")), "a")
@@ -112,7 +117,7 @@ def ordered_pairs(
     )
     if on is not None:
         condition = condition & on
-    return first.join(second, [*keys, "_from", "_to"]).where(condition).drop("_from", "_to")
+    return first.join(second.hint("merge"), [*keys, "_from", "_to"]).where(condition).drop("_from", "_to")
 
 
 def rank_pairs(scores: DataFrame, block_rows: int = PAIR_BLOCK_ROWS) -> DataFrame:
