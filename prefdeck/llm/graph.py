@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from prefdeck.llm.common import stored
 
+SETTLED = 1e-6  # summed change of rank in a round, of a sum of 1, that ends PageRank
+
 
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(
@@ -75,3 +77,35 @@ def pagerank(
         back = start.select("node", (F.col("seed") * (F.lit(1.0) - kept)).alias("rank"))
         ranks = stored(moved.unionByName(back).groupBy("node").agg(F.sum("rank").alias("rank")))
     return ranks.select("node", F.col("rank").alias(name))
+
+
+def settled_pagerank(edges: DataFrame, seeds: DataFrame, damping: float, name: str, settled: float = SETTLED) -> DataFrame:
+    """The ranks that ``pagerank`` comes to with ever more rounds, on the same tables.
+
+    They are the sum of what the seeds pass on over 0, 1, 2... links, scaled to 1. A round adds one
+    link, so links without cycles are done after the longest path. Otherwise rounds follow until the
+    ranks change by less than ``settled`` in sum (of 1) and no node gains its first rank: each node
+    that seeds reach has one, however far.
+    """
+    total = seeds.agg(F.sum("seed").alias("t")).scalar()
+    out = edges.groupBy("u").agg(F.sum("weight").alias("out"))
+    shares = stored(edges.join(out, "u").select("u", "v", (F.col("weight") / F.col("out")).alias("share")))
+    share = F.col("seed") / total
+    ranks = stored(seeds.where("seed > 0").select("node", share.alias("rank"), share.alias("last")))
+    while True:
+        row = ranks.agg(F.sum("rank").alias("all"), F.sum("last").alias("last"), F.count_if(F.col("last") == F.col("rank")).alias("new")).first()
+        if not row["last"]:
+            break
+        if row["all"] > row["last"] and not row["new"]:
+            before = (F.col("rank") - F.col("last")) / (row["all"] - row["last"])
+            if ranks.agg(F.sum(F.abs(F.col("rank") / row["all"] - before))).first()[0] < settled:
+                break
+        moved = (
+            ranks.where("last > 0").join(shares, F.col("node") == shares["u"])
+            .select(F.col("v").alias("node"), (F.col("last") * F.col("share") * damping).alias("last"))
+        )
+        every = ranks.select("node", "rank", F.lit(0.0).alias("last")).unionByName(
+            moved.select("node", F.col("last").alias("rank"), "last")
+        )
+        ranks = stored(every.groupBy("node").agg(F.sum("rank").alias("rank"), F.sum("last").alias("last")))
+    return ranks.select("node", (F.col("rank") / F.lit(row["all"] or 1.0)).alias(name))

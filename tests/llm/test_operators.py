@@ -338,6 +338,16 @@ def test_pagerank_by_power_iteration(spark):
     assert got == pytest.approx(rank)
 
 
+def test_distrust_comes_down_a_long_chain(spark):
+    """12 hosts link one to the next, the last one to a blocked page."""
+    names = [*(f"http://h{i}.net/" for i in range(12)), "http://www.bad.com/de/1"]
+    rows = [(i, url, f'<a href="{to}">t</a>') for i, (url, to) in enumerate(zip(names, [*names[1:], "mailto:x@y.z"]))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = url_filters.judge_urls(df, RULES).collect()
+    assert {r.verdict for r in got} == {"block"} and len(got) == 13
+    assert sum(r.distrust for r in got) == pytest.approx(1)
+
+
 def test_archives_come_back(spark, pages):
     got = warc.archive_pages(pages).collect()
     winner = {"": 9, "same": 7}
