@@ -258,8 +258,8 @@ def judge_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def feature_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The k-th vector with label 5 or more against the k-th with a smaller one."""
+def _numbered_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors with label 5 or more are chosen; ``k`` numbers each side by ``vec_id``."""
     vectors = table(spark, sf_dir, "embeddings").select(
         "vec_id",
         "embedding",
@@ -269,16 +269,40 @@ def feature_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = dense_index(
         vectors.drop("embedding"), "k", order=["vec_id"], chunk=["chunk"], keys=["is_chosen"]
     ).select("vec_id", "k")
-    rows = vectors.join(numbered, "vec_id")
+    return vectors.join(numbered, "vec_id")
+
+
+def _sides(rows: DataFrame, *on) -> tuple[DataFrame, DataFrame]:
     chosen = rows.where("is_chosen").select(
-        "k", F.col("vec_id").alias("chosen_vec"), F.col("embedding").alias("chosen_features")
+        *on, F.col("vec_id").alias("chosen_vec"), F.col("embedding").alias("chosen_features")
     )
     rejected = rows.where("not is_chosen").select(
-        "k", F.col("vec_id").alias("rejected_vec"), F.col("embedding").alias("rejected_features")
+        *on, F.col("vec_id").alias("rejected_vec"), F.col("embedding").alias("rejected_features")
     )
+    return chosen, rejected
+
+
+def feature_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The k-th vector with label 5 or more against the k-th with a smaller one, as its SQL has it.
+
+    What the larger side has beyond the smaller one is in no pair; see ``all_feature_pairs``.
+    """
+    chosen, rejected = _sides(_numbered_vectors(spark, sf_dir), "k")
     return chosen.join(rejected, "k")
 
 
+def all_feature_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every labelled vector in a pair: the k-th of the larger side against the (k modulo size)-th
+    of the smaller one. With one side empty there are no pairs."""
+    rows = _numbered_vectors(spark, sf_dir)
+    sizes = table(spark, sf_dir, "embeddings").agg(
+        F.least(F.count_if(F.col("label") >= 5), F.count_if(F.col("label") < 5)).alias("smaller")
+    )
+    smaller = sizes.select(F.when(F.col("smaller") > 0, F.col("smaller"))).scalar()
+    chosen, rejected = _sides(rows.withColumn("place", F.col("k") % smaller), "place")
+    return chosen.join(rejected, "place").drop("place")
+
+
 def evaluation_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean event value per type and day, as the evaluations of a run."""
     return (

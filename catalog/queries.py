@@ -635,13 +635,13 @@ def linear_reward(spark, sf_dir):
 
 @query
 def fit_linear_reward_head(spark, sf_dir):
-    model = head.fit_linear_reward_head(fx.feature_pairs(spark, sf_dir), reg_param=0.01)
+    model = head.fit_linear_reward_head(fx.all_feature_pairs(spark, sf_dir), reg_param=0.01)
     weights = [float(w) for w in model.coefficients]
     reward = {
         f"{side}_reward": head.linear_reward(f"{side}_features", weights)
         for side in ("chosen", "rejected")
     }
-    scored = fx.feature_pairs(spark, sf_dir).withColumns(reward).withColumn("origin", F.lit("head"))
+    scored = fx.all_feature_pairs(spark, sf_dir).withColumns(reward).withColumn("origin", F.lit("head"))
     return _round(metrics.bradley_terry_loss(scored), "bt_loss")
 
 

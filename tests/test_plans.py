@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from catalog import queries
 from prefdeck.operators import metrics, scoring
 from prefdeck.plans import head
 from prefdeck.plans.evaluate import evaluate, prepare
@@ -194,3 +195,24 @@ def test_metrics_do_not_join_a_prompt_with_itself(spark, sf_dir):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert not [j for j in joins if "input_id" in j and "hot_key" not in j and "_fact_" not in j]
+
+
+@pytest.mark.parametrize("labels", [[7] * 3 + [1] * 20, [7] * 20 + [1] * 3, [7] * 5])
+def test_head_is_fitted_on_every_vector(spark, tmp_path, monkeypatch, labels):
+    rows = [(i, [float(i % 5), float(label)], label) for i, label in enumerate(labels)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    seen = []
+
+    class Fitted(Exception):
+        pass
+
+    def fit(pairs, **_):
+        seen.extend(pairs.select("chosen_vec", "rejected_vec").collect())
+        raise Fitted
+
+    monkeypatch.setattr(queries.head, "fit_linear_reward_head", fit)
+    with pytest.raises(Fitted):
+        queries.QUERIES["fit_linear_reward_head"](spark, str(tmp_path))
+    both = len(set(labels)) == 2
+    assert len(seen) == (20 if both else 0)
+    assert {v for pair in seen for v in pair} == (set(range(23)) if both else set())
