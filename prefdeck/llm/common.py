@@ -12,7 +12,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -75,6 +75,18 @@ def text_column(df: DataFrame, name: str):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to be no column of ``df``."""
+    while name.lower() in [c.lower() for c in df.columns]:
+        name = f"_{name}"
+    return name
+
+
+def row_digest(df: DataFrame) -> Column:
+    """128 bits of all columns of a row; NULL and empty differ."""
+    return F.unhex(F.md5(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})))
+
+
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column, and where each row starts (one entry more at the end)."""
     column = pc.fill_null(column.cast(pa.large_binary()), b"")

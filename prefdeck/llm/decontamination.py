@@ -8,11 +8,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefdeck.llm.bytewords import ALPHANUMERIC, LOWER, find_words, hash_words
-from prefdeck.llm.common import batch, concat_schema, flat_bytes, map_arrow, shared_folder, stored, text_column, text_slices
+from prefdeck.llm.common import (
+    batch, concat_schema, flat_bytes, map_arrow, shared_folder, stored, text_column, text_slices, unused_name,
+)
 
 SLICE_BYTES = 1 << 20
 BLOCK_WINDOWS = 200_000  # distinct test windows that are searched together: bounds what is broadcast
@@ -103,12 +105,12 @@ def term_counts(texts: DataFrame, terms: np.ndarray) -> DataFrame:
 def postings(texts: DataFrame, terms: np.ndarray) -> DataFrame:
     """The positional inverted index of ``texts (key, text)`` for ``terms``: ``term, key, positions``
     with word positions from 0, ascending."""
-    fields = concat_schema(term=pa.int64(), key=pa.int64(), positions=pa.list_(pa.int32()))
+    fields = concat_schema(term=pa.int64(), key=pa.binary(), positions=pa.list_(pa.int32()))
     shared = texts.sparkSession.sparkContext.broadcast(terms)
 
     def emit(batches):
         for rows, low, text, found, position in _located(shared.value, batches):
-            keys = rows.column(0).to_numpy()
+            keys = rows.column(0)
             order = np.lexsort((position, found, text))
             text, found, position = text[order], found[order], position[order]
             new = np.ones(len(text), bool)
@@ -117,9 +119,9 @@ def postings(texts: DataFrame, terms: np.ndarray) -> DataFrame:
             lists = pa.ListArray.from_arrays(
                 pa.array(np.append(head, len(text)), pa.int32()), pa.array(position, pa.int32())
             )
-            yield batch(fields, found[head], keys[low + text[head]], lists)
+            yield batch(fields, found[head], keys.take(pa.array(low + text[head])), lists)
 
-    return map_arrow(texts, emit, "term long, key long, positions array<int>")
+    return map_arrow(texts, emit, "term long, key binary, positions array<int>")
 
 
 def _rarest(terms: list[int], counts: dict[int, int]) -> list[tuple[int, int]] | None:
@@ -207,7 +209,7 @@ def _blocks(windows: DataFrame, most: int):
         yield Phrases(tuple(sorted(r["phrase"] for r in phrases.where(block == i).collect())))
 
 
-_MATCH_FIELDS = concat_schema(key=pa.int64(), phrase=pa.string(), low=pa.int64(), high=pa.int64())
+_MATCH_FIELDS = concat_schema(key=pa.binary(), phrase=pa.string(), low=pa.int64(), high=pa.int64())
 
 
 def verify(texts: DataFrame, search: Search, within: int = 0) -> DataFrame:
@@ -241,7 +243,7 @@ def verify(texts: DataFrame, search: Search, within: int = 0) -> DataFrame:
             yield batch(_MATCH_FIELDS, *(map(list, zip(*sorted(out))) if out else [[]] * 4))
 
     joined = texts.join(listed, "key").select("key", "text", "places")
-    return map_arrow(joined, emit, "key long, phrase string, low long, high long").distinct()
+    return map_arrow(joined, emit, "key binary, phrase string, low long, high long").distinct()
 
 
 def _shortest(words: list[bytes], terms: list[bytes], start: int, within: int) -> tuple[int, int] | None:
@@ -266,11 +268,18 @@ def _shortest(words: list[bytes], terms: list[bytes], start: int, within: int) -
     return best
 
 
+def _key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """128 bits of id and text: tells rows with one id but different texts apart, not true copies."""
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit("-"))
+    return F.unhex(F.md5(F.concat(name, F.lit(":"), text_column(docs, text_col))))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``key, id, text``; the key tells rows with one id but different texts apart, not true copies."""
-    text = text_column(docs, text_col)
-    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn(
-        "key", F.xxhash64("id", F.xxhash64("text"), F.octet_length("text"))
+    """``key, id, text``."""
+    return docs.select(
+        _key(docs, id_col, text_col).alias("key"),
+        F.col(id_col).cast("long").alias("id"),
+        text_column(docs, text_col).alias("text"),
     )
 
 
@@ -299,7 +308,7 @@ def matches(
 
 def _all_matches(texts: DataFrame, windows: DataFrame, within: int, block: int) -> DataFrame:
     """The matches of all blocks, each appended to one table in the shared folder."""
-    spark, schema = texts.sparkSession, "key long, phrase string, low long, high long"
+    spark, schema = texts.sparkSession, "key binary, phrase string, low long, high long"
     path = shared_folder(spark)
     spark.createDataFrame([], schema).write.parquet(path)
     for phrases in _blocks(windows, block):
@@ -309,21 +318,10 @@ def _all_matches(texts: DataFrame, windows: DataFrame, within: int, block: int)
     return spark.read.schema(schema).parquet(path)
 
 
-def contamination(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    window: int = 13,
-    block: int = BLOCK_WINDOWS,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    item_col: str = "item_id",
+def _judged(
+    docs: DataFrame, benchmark: DataFrame, window: int, block: int, id_col: str, text_col: str, item_col: str
 ) -> DataFrame:
-    """``id, n_words, n_hit, n_items, items_sha256, contaminated`` per row of ``docs``.
-
-    A word is hit inside any occurrence of a window. A NULL, empty or wordless text has no words and
-    no hits. Repeated rows (NULL ids too) each give a row; an item id listed twice counts once, and
-    a NULL item id reads 'null'. Other columns are ignored; an empty benchmark hits nothing.
-    """
+    """``key, id`` and what :func:`contamination` says, per row."""
     windows = stored(benchmark_windows(benchmark, window, item_col, text_col))
     texts = _keyed(docs, id_col, text_col)
     found = _all_matches(texts.select("key", "text"), windows, 0, block)
@@ -347,7 +345,8 @@ def contamination(
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     empty = F.array().cast("array<string>")
     return counted.join(hits, "key", "left").select(
-        F.col("id").alias(id_col),
+        "key",
+        "id",
         "n_words",
         n_hit.alias("n_hit"),
         F.size(F.coalesce("items", empty)).cast("long").alias("n_items"),
@@ -356,9 +355,45 @@ def contamination(
     )
 
 
+def contamination(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = 13,
+    block: int = BLOCK_WINDOWS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+) -> DataFrame:
+    """``id, n_words, n_hit, n_items, items_sha256, contaminated`` per row of ``docs``.
+
+    A word is hit inside any occurrence of a window. A NULL, empty or wordless text has no words and
+    no hits. Repeated rows (NULL ids too) each give a row; an item id listed twice counts once, and
+    a NULL item id reads 'null'. Other columns are ignored; an empty benchmark hits nothing.
+    """
+    judged = _judged(docs, benchmark, window, block, id_col, text_col, item_col)
+    return judged.drop("key").withColumnRenamed("id", id_col)
+
+
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = 13,
+    block: int = BLOCK_WINDOWS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+) -> DataFrame:
+    """Rows of ``docs``, with all their columns, that :func:`contamination` leaves. Rows are judged by
+    id and text together, so NULL and repeated ids are no obstacle."""
+    judged = _judged(docs, benchmark, window, block, id_col, text_col, item_col)
+    name = unused_name(docs, "key")
+    bad = judged.where("contaminated").select(F.col("key").alias(name)).distinct()
+    return docs.withColumn(name, _key(docs, id_col, text_col)).join(bad, name, "left_anti").select(*docs.columns)
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """``key, id, n_words`` per row of ``texts (key, id, text)``."""
-    fields = concat_schema(key=pa.int64(), id=pa.int64(), n_words=pa.int64())
+    fields = concat_schema(key=pa.binary(), id=pa.int64(), n_words=pa.int64())
 
     def emit(batches):
         for rows in batches:
@@ -368,4 +403,4 @@ def count_words(texts: DataFrame) -> DataFrame:
                 words = find_words(part, offsets[low : high + 1] - offsets[low], ALPHANUMERIC)
                 yield batch(fields, rows.column(0)[low:high], rows.column(1)[low:high], words.counts)
 
-    return map_arrow(texts.select("key", "id", "text"), emit, "key long, id long, n_words long")
+    return map_arrow(texts.select("key", "id", "text"), emit, "key binary, id long, n_words long")

@@ -185,7 +185,11 @@ def place_pieces(pieces: DataFrame, capacity: Capacity) -> DataFrame:
     histogram = {
         r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()
     }
-    layout = spark.sparkContext.broadcast(best_fit(histogram, capacity))
+    layout = best_fit(histogram, capacity)
+    # Arrays only: workers need not be able to import this package.
+    shared = spark.sparkContext.broadcast(
+        (layout.length, layout.first_rank, layout.first_bin, layout.per_bin, layout.offset, layout.n_bins)
+    )
 
     before = Window.partitionBy("length").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
@@ -200,7 +204,7 @@ def place_pieces(pieces: DataFrame, capacity: Capacity) -> DataFrame:
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        bins, offsets = layout.value.place(length.to_numpy(), rank.to_numpy())
+        bins, offsets = Layout(*shared.value).place(length.to_numpy(), rank.to_numpy())
         return pd.DataFrame({"sequence_id": bins, "offset": offsets})
 
     return ranked.withColumn("_place", place("length", "_rank")).select(

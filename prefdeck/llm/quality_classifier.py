@@ -134,13 +134,15 @@ def pool(data: np.ndarray, offsets: np.ndarray, words: WordVectors) -> np.ndarra
 
 def document_features(texts: DataFrame, words: WordVectors) -> DataFrame:
     """``id, x`` per row of ``texts (id, text)``."""
-    shared = texts.sparkSession.sparkContext.broadcast(words)
+    # Arrays only: workers need not be able to import this package.
+    shared = texts.sparkSession.sparkContext.broadcast((words.vectors, words.weights))
 
     def emit(batches):
+        table = WordVectors(*shared.value)
         for rows in batches:
             data, offsets = flat_bytes(rows.column(1))
             for low, high in text_slices(offsets, SLICE_BYTES):
-                x = pool(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], shared.value)
+                x = pool(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], table)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.arange(len(x) + 1) * N_FEATURES, pa.int32()), pa.array(x.ravel(), pa.float32())
                 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,9 +27,24 @@ FEATURES = (
     "n_dup_lines long, n_repeat_words long, n_lines long"
 )
 
-# Metric, and how far beyond the fences of its group a document may still lie: small differences
-# are no reason to reject where a group hardly varies.
-METRICS = {"symbol_rate": 0.15, "word_length": 1.5, "dup_line_rate": 0.4, "repeat_rate": 0.25}
+@dataclass(frozen=True)
+class Fence:
+    """A document fails above ``Q(high) + reach * (Q(high) - Q(low))`` of its group's quantiles Q and,
+    if ``both``, below the same on the other side. Nothing is added to what the sketches say."""
+
+    low: float
+    high: float
+    reach: float
+    both: bool = False
+
+
+# Rates that are zero in most documents need quantiles far up, where the group's own habit shows.
+METRICS = {
+    "symbol_rate": Fence(0.5, 0.9, 3.0),
+    "word_length": Fence(0.25, 0.75, 6.0, both=True),
+    "dup_line_rate": Fence(0.5, 0.99, 1.0),
+    "repeat_rate": Fence(0.5, 0.99, 2.0),
+}
 
 
 def _repeated(data: np.ndarray, text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,13 +125,15 @@ def _rates(df: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(rated: DataFrame, whisker: float, prior_rows: int, k: int) -> DataFrame:
-    """``lang, source`` and ``<metric>_low``, ``<metric>_high`` per group of ``rated``.
+def thresholds(rated: DataFrame, prior_rows: int, k: int) -> DataFrame:
+    """``lang, source`` and ``<metric>_low`` (NULL: none), ``<metric>_high`` per group of ``rated``.
 
-    Quartiles come from KLL sketches, built map-side per language and source and merged up to
-    languages and to the corpus. A group's quartiles are drawn toward those of its language, and
+    Quantiles come from KLL sketches, built map-side per language and source and merged up to
+    languages and to the corpus. A group's quantiles are drawn toward those of its language, and
     these toward the corpus, as if each had ``prior_rows`` more rows of the kind above; a group of a
-    few rows thus takes over its language's. Fences lie ``whisker`` interquartile ranges outside.
+    few rows thus takes over its language's. A sketch compacts at random once its group has more rows
+    than it holds (some hundreds at ``k`` 200), so a fence may move by a rank error of about 1.3 per
+    cent of the rows from run to run.
     """
     by_source = stored(
         rated.groupBy("lang", "source").agg(
@@ -123,40 +142,61 @@ def thresholds(rated: DataFrame, whisker: float, prior_rows: int, k: int) -> Dat
     )
     merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(m, F.lit(k)).alias(m) for m in METRICS]]
 
-    def quartiles(df: DataFrame, prefix: str) -> list[Column]:
+    def quantiles(df: DataFrame, prefix: str) -> list[Column]:
         return [
             F.kll_sketch_get_quantile_double(df[m], F.lit(q)).alias(f"{prefix}{m}_{name}")
-            for m in METRICS
-            for name, q in (("q1", 0.25), ("q3", 0.75))
+            for m, fence in METRICS.items()
+            for name, q in (("low", fence.low), ("high", fence.high))
         ]
 
     langs = by_source.groupBy("lang").agg(*merged)
     corpus = by_source.agg(*merged)
-    top = corpus.select(F.struct(*quartiles(corpus, "c_"))).scalar()
-    lang = langs.select("lang", F.col("n").alias("l_n"), *quartiles(langs, "l_"))
-    own = by_source.select("lang", "source", "n", *quartiles(by_source, ""))
+    top = corpus.select(F.struct(*quantiles(corpus, "c_"))).scalar()
+    lang = langs.select("lang", F.col("n").alias("l_n"), *quantiles(langs, "l_"))
+    own = by_source.select("lang", "source", "n", *quantiles(by_source, ""))
     joined = own.join(
         lang.withColumnRenamed("lang", "l_lang"), F.col("lang").eqNullSafe(F.col("l_lang"))
     ).withColumn("c", top)
     out = []
-    for m, slack in METRICS.items():
+    for m, fence in METRICS.items():
         def level(name: str) -> Column:
             upper = (F.col("l_n") * F.col(f"l_{m}_{name}") + prior_rows * F.col(f"c.c_{m}_{name}")) / (F.col("l_n") + prior_rows)
             return (F.col("n") * F.col(f"{m}_{name}") + prior_rows * upper) / (F.col("n") + prior_rows)
 
-        q1, q3 = level("q1"), level("q3")
+        low, high = level("low"), level("high")
+        reach = fence.reach * (high - low)
         out += [
-            (q1 - whisker * (q3 - q1) - slack).alias(f"{m}_low"),
-            (q3 + whisker * (q3 - q1) + slack).alias(f"{m}_high"),
+            (low - reach if fence.both else F.lit(None).cast("double")).alias(f"{m}_low"),
+            (high + reach).alias(f"{m}_high"),
         ]
     return joined.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *out)
 
 
+def beyond_fences(rated: DataFrame, fences: DataFrame) -> DataFrame:
+    """``rated`` with ``outside``: the metrics by which a row lies outside the fences of its group."""
+    same = F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source"))
+    failed = [
+        F.when((F.col(m) < F.col(f"{m}_low")) | (F.col(m) > F.col(f"{m}_high")), F.lit(m)) for m in METRICS
+    ]
+    outside = F.array_compact(F.array(*failed)).alias("outside")
+    return rated.join(fences, same, "left").select(*[rated[c] for c in rated.columns], outside)
+
+
+def _judged(
+    docs: DataFrame, min_words: int, most_repeat_percent: int, prior_rows: int, sketch_k: int,
+    id_col: str, text_col: str, lang_col: str, source_col: str,
+) -> DataFrame:
+    base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words"))
+    measured = stored(features(docs, id_col, text_col, lang_col, source_col))
+    rated = _rates(measured).withColumn("base_failed", base)
+    fences = stored(thresholds(rated.where("not base_failed"), prior_rows, sketch_k))
+    return beyond_fences(rated, fences)
+
+
 def quality_rules(
     docs: DataFrame,
     min_words: int = 20,
     most_repeat_percent: int = 30,
-    whisker: float = 3.0,
     prior_rows: int = 200,
     sketch_k: int = 200,
     id_col: str = "doc_id",
@@ -164,24 +204,23 @@ def quality_rules(
     lang_col: str = "lang",
     source_col: str = "source",
 ) -> DataFrame:
-    """``id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept``.
+    """``id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, outside``.
 
     Fixed rules come first (``base_failed``); the others are fences per language and source, from
-    sketches over all documents, joined back to every row. A NULL or empty text has no words and
-    fails. NULL languages and sources are groups like others. Repeated rows each give a row; other
-    columns are ignored; no rows give none.
+    sketches over all documents that pass the fixed rules, joined back to every row. ``outside`` names
+    the metrics beyond their fence. A NULL or empty text has no words and fails. NULL languages and
+    sources are groups like others. Repeated rows each give a row; other columns are ignored; no rows
+    give none.
     """
-    measured = stored(features(docs, id_col, text_col, lang_col, source_col))
-    rated = _rates(measured)
-    fences = stored(thresholds(rated, whisker, prior_rows, sketch_k))
-    inside = F.lit(True)
-    for m in METRICS:
-        inside = inside & F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high"))
-    base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words"))
-    joined = rated.join(
-        fences, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left"
-    )
-    return joined.select(
+    judged = _judged(docs, min_words, most_repeat_percent, prior_rows, sketch_k, id_col, text_col, lang_col, source_col)
+    return judged.select(
         F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base.alias("base_failed"), (~base & F.coalesce(inside, F.lit(True))).alias("kept"),
+        "base_failed", (~F.col("base_failed") & (F.size("outside") == 0)).alias("kept"), "outside",
     )
+
+
+def rejections(judged: DataFrame) -> DataFrame:
+    """How many rows of :func:`quality_rules` pass the fixed rules but lie beyond each fence: ``metric,
+    n_rejected, n_alone`` (rejected by this metric only)."""
+    rows = judged.where("not base_failed").select(F.explode("outside").alias("metric"), F.size("outside").alias("n"))
+    return rows.groupBy("metric").agg(F.count("*").alias("n_rejected"), F.count_if(F.col("n") == 1).alias("n_alone"))

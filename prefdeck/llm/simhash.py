@@ -9,15 +9,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from prefdeck.llm.bytewords import LOWER
-from prefdeck.llm.common import batch, concat_schema, flat_bytes, map_arrow, stored, text_column
+from prefdeck.llm.common import flat_bytes, map_arrow, row_digest, stored, text_column, unused_name
 from prefdeck.llm.graph import components
 
 BITS = 64
 HASH_SEED = 42
 HOT_BLOCK = 512  # distinct fingerprints in one block beyond which it is not joined pair by pair
-_PRINTS = concat_schema(id=pa.int64(), fp=pa.int64())
 
 
 def fingerprint(words: list[bytes], shingle: int) -> int:
@@ -39,20 +39,23 @@ def fingerprint(words: list[bytes], shingle: int) -> int:
     return int.from_bytes(np.packbits(bits).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, fp`` per row; A-Z counts as a-z, words stand between ASCII white space."""
+def fingerprints(texts: DataFrame, shingle: int) -> DataFrame:
+    """The columns of ``texts`` but ``text``, and ``fp``, per row; A-Z counts as a-z, words stand between
+    ASCII white space."""
+    carried = [c for c in texts.columns if c != "text"]
 
     def prints(batches):
         for rows in batches:
-            data, offsets = flat_bytes(rows.column(1))
+            data, offsets = flat_bytes(rows.column(len(carried)))
             lowered = LOWER[data].tobytes()
             fps = [
                 fingerprint(lowered[a:b].split(), shingle) for a, b in zip(offsets[:-1], offsets[1:])
             ]
-            yield batch(_PRINTS, rows.column(0), np.array(fps, np.uint64).view(np.int64))
+            found = pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([*rows.columns[: len(carried)], found], [*carried, "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long"), text_column(docs, text_col))
-    return map_arrow(rows, prints, "id long, fp long")
+    schema = StructType([*(texts.schema[c] for c in carried), StructField("fp", LongType())])
+    return map_arrow(texts.select(*carried, "text"), prints, schema)
 
 
 def _blocks(n_blocks: int) -> list[int]:
@@ -148,12 +151,10 @@ def near_duplicates(
     of NULL ids alone has a NULL id. Repeated rows each give a row; other columns are ignored; no
     rows give none.
     """
-    prints = stored(fingerprints(docs, shingle, id_col, text_col))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_column(docs, text_col).alias("text"))
+    prints = stored(fingerprints(texts, shingle))
     classes = stored(prints.groupBy("fp").agg(F.min("id").alias("low")))
-    rooted = components(close_pairs(classes.select("fp"), distance, n_blocks))
-    grouped = classes.join(rooted, classes["fp"] == rooted["node"], "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root")
-    )
+    grouped = _rooted(classes, distance, n_blocks)
     lowest = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
     named = grouped.join(lowest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(
@@ -161,3 +162,41 @@ def near_duplicates(
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+def _rooted(classes: DataFrame, distance: int, n_blocks: int) -> DataFrame:
+    """``classes (fp, low)`` with the ``root`` of the component of each fingerprint."""
+    rooted = components(close_pairs(classes.select("fp"), distance, n_blocks))
+    return classes.join(rooted, classes["fp"] == rooted["node"], "left").select(
+        "fp", "low", F.coalesce("root", "fp").alias("root")
+    )
+
+
+def drop_near_duplicates(
+    docs: DataFrame,
+    shingle: int = 3,
+    distance: int = 2,
+    n_blocks: int = 4,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """One row of ``docs``, with all its columns, of each component of :func:`near_duplicates`: that
+    with the smallest id.
+
+    NULL ids come last. Of rows with the same id, the one with the smallest digest of all columns
+    stays; rows equal in every column count as one. All texts without words are one component.
+    Rows are told apart by a 128-bit digest of all columns, which no later job can number
+    otherwise. Equal rows fold map-side before texts are shuffled, once.
+    """
+    key = unused_name(docs, "key")
+    keyed = docs.withColumn(key, row_digest(docs))
+    texts = keyed.select(
+        F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("id"), F.col(key).alias("row")).alias("low"),
+        text_column(docs, text_col).alias("text"),
+    )
+    prints = stored(fingerprints(texts, shingle))
+    classes = stored(prints.groupBy("fp").agg(F.min("low").alias("low")))
+    lowest = _rooted(classes, distance, n_blocks).groupBy("root").agg(F.min("low").alias("low"))
+    kept = lowest.select(F.col("low.row").alias(key))
+    distinct = keyed.groupBy(key).agg(F.first(F.struct(*docs.columns)).alias("row"))
+    return distinct.join(kept, key).select("row.*")

@@ -140,7 +140,6 @@ def learn_lexicon(
     docs: DataFrame,
     sample: DataFrame,
     exceptions: Sequence[str] = (),
-    max_words: int = 500,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> Lexicon:
@@ -148,9 +147,9 @@ def learn_lexicon(
 
     Words are counted in Spark by the number of different neighbourhoods (the words before and
     after their first use in a document) in which documents of each label use them, so a family of
-    near copies counts a word once or twice, not once per copy. The ``max_words`` words with the
-    largest log-likelihood ratio are listed, if they are surprising enough and mostly toxic; their
-    weight is the log-odds. Word pairs that hold a listed word and occur in several clean documents,
+    near copies counts a word once or twice, not once per copy. Words that are surprising enough
+    (SURPRISE, a log-likelihood ratio) and mostly toxic (PRECISION) are listed, however many; their
+    weight is the log-odds. Each has some ten uses at least, so the list is bounded by the sample. Word pairs that hold a listed word and occur in several clean documents,
     but in no toxic one, become exception phrases. Without toxic documents the lexicon is empty and
     every score is the floor of the curve.
     """
@@ -197,8 +196,6 @@ def learn_lexicon(
         counts.where(F.length("word") > 1)
         .withColumn("surprise", surprise)
         .where((F.col("surprise") >= SURPRISE) & (rate >= PRECISION))
-        .orderBy(F.desc("surprise"), "word")
-        .limit(max_words)
     )
     weights = {
         r["word"]: round(math.log((r["a"] + 0.5) / (toxic + 1)) - math.log((r["b"] + 0.5) / (clean + 1)), 4)
@@ -222,8 +219,6 @@ def learn_lexicon(
         .groupBy("pair")
         .agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
         .where("a = 0 and b >= 3")
-        .orderBy(F.desc("b"), "pair")
-        .limit(max_words)
     )
     learned = {r["pair"] for r in harmless.collect()}
     lexicon = Lexicon(weights, tuple(sorted({*map(fold, exceptions), *learned})))
