@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import prefdeck  # noqa: E402
-from prefdeck.llm import decontamination, near_copies, packing, suffix_dedup, toxicity  # noqa: E402
+from prefdeck.llm import decontamination, packing, simhash, suffix_dedup, toxicity  # noqa: E402
 from prefdeck.llm.common import stored, table  # noqa: E402
 from prefdeck.llm.queries import SEQUENCE_TOKENS, TOXIC_CUT, fold_of  # noqa: E402
 from prefdeck.llm.tokenizer import WORD_BPE  # noqa: E402
@@ -24,12 +24,6 @@ cloudpickle.register_pickle_by_value(prefdeck)
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _unused(docs: DataFrame, name: str) -> str:
-    while name in docs.columns:
-        name = f"_{name}"
-    return name
-
-
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below the cut. NULL and empty texts stay."""
     usable = fold_of(F.col("doc_id"), 3) != 1
@@ -37,23 +31,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts linked at a Jaccard similarity of 0.8 or more between
-    their 5-word shingles: that with the smallest id.
-
-    Rows are told apart by id and text, which no later job can number otherwise; NULL ids come last,
-    and of rows with the same id and text one stays. All texts without words are one group.
-    """
-    key = _unused(docs, "key")
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    groups = near_copies.near_copies(keyed, id_col=key)
-    choice = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", key)
-    first = (
-        groups.join(keyed.select(key, "doc_id"), key)
-        .groupBy("component_id")
-        .agg(F.min(choice).alias("best"))
-        .select(F.col("best")[key].alias(key))
-    )
-    return keyed.join(first, key, "left_semi").dropDuplicates([key]).drop(key)
+    """One document of each group whose fingerprints over 3-word shingles are linked at 2 or fewer of 64
+    bits: that with the smallest id, NULL ids last. All texts without words are one group."""
+    return simhash.drop_near_duplicates(docs, shingle=3, distance=2)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,11 +52,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contamination rule leaves. Rows are judged by id and text together."""
-    key = _unused(docs, "key")
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    judged = decontamination.contamination(keyed, table(spark, sf_dir, "benchmark"), id_col=key)
-    bad = judged.where("contaminated").select(key).distinct()
-    return keyed.join(bad, key, "left_anti").select(*docs.columns)
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
