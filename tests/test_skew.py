@@ -74,8 +74,8 @@ def test_nan_reward_is_comparable_but_on_neither_side(spark):
         assert counts(metrics.rank_counts(df, floor_rows=floor_rows)) == {("o", "c", 1): (3, 3, 1, 0)}
 
 
-@pytest.mark.parametrize("floor_rows", [100_000, 17, 5])
-def test_ordered_pairs_hot_or_not(spark, floor_rows):
+@pytest.mark.parametrize("block_rows", [100_000, 17, 5])
+def test_ordered_pairs_in_blocks_of_any_size(spark, block_rows):
     rng = random.Random(3)
     sizes = {1: 60, 2: 7, 3: 1, 4: 18}
     rows = [
@@ -88,7 +88,7 @@ def test_ordered_pairs_hot_or_not(spark, floor_rows):
         for a, b in itertools.combinations(rows, 2)
         if a[2] == b[2] and a[4] != b[4]
     )
-    found = pairs.rank_pairs(spark.createDataFrame(rows, SCORES), floor_rows=floor_rows)
+    found = pairs.rank_pairs(spark.createDataFrame(rows, SCORES), block_rows=block_rows)
     got = sorted((r.input_id, r.chosen_id, r.rejected_id) for r in found.collect())
     assert got == expected
 
