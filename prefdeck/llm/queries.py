@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefdeck.llm import (
-    decontamination, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, toxicity,
+    decontamination, filter_audit, merkle, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, toxicity,
     url_filters, warc,
 )
 from prefdeck.llm.common import table
@@ -18,6 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 SEQUENCE_TOKENS = 2048
 QUALITY_CUT, TOXIC_CUT = 0.3, 0.7
+MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED = (5.0, 2.0, 1.0), 3.0, 0
 RULES = (
     url_filters.Rule("allow", "org", "/"),
     url_filters.Rule("block", "example.org", "/es/"),
@@ -80,10 +81,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_CUT).cast("int").alias("predicted"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(
+        table(spark, sf_dir, "documents"),
+        tampered={"text": merkle.folded_case(F.col("text"))},
+        where=fold_of(F.col("doc_id"), 3) == 0,
+    )
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_EPOCHS, seed=MIX_SEED)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_quality_classifier, op3_benchmark_decontamination, op4_token_counts,
         op5_suffix_array_dedup, op6_simhash_near_dedup, op7_quality_rules, op8_url_filters, op9_warc, op10_toxicity,
+        op11_merkle_manifest, op12_source_mixing, op13_filter_audit,
     )
 }
