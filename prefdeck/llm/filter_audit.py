@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import permutations
 
 import numpy as np
@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from prefdeck.llm.bytewords import NOT_SPACE, find_words
 from prefdeck.llm.common import batch, concat_schema, flat_bytes, map_arrow, stored, text_column, text_slices
-from prefdeck.operators.skew import dense_index
 
 SHARD_BYTES = 4 << 20  # text of a shard, or one longer text
 FILTERS = "ABCDE"
 MIN_WORDS, DISTINCT_PERCENT, UPPER_PERCENT = 50, 65, 5
 SIGNS = b"#$%&*|"
+MOST_CLASHES = 1_000
 
 _SHARD = concat_schema(
     docs=pa.list_(pa.int64()), parts=pa.list_(pa.string()), texts=pa.list_(pa.binary()),
@@ -88,11 +88,45 @@ def matrix_shards(
     return map_arrow(rows, emit, SHARDS)
 
 
-def dictionary(words: DataFrame) -> DataFrame:
-    """``word, term``: the distinct words of ``words (word)``, numbered from 0 without gaps."""
-    hashed = words.select("word").distinct().withColumn("hash", F.md5("word"))
-    chunked = hashed.withColumn("chunk", F.substring("hash", 1, 3))
-    return dense_index(chunked, "term", order=["hash", "word"], chunk=["chunk"]).select("word", "term")
+def word_code(word: Column) -> Column:
+    """63 bits of a hash, so that negative codes are free."""
+    return F.shiftrightunsigned(F.xxhash64(word), 1)
+
+
+def clashing_words(words: DataFrame, code: Callable[[Column], Column]) -> dict[bytes, int]:
+    """Negative codes for those of ``words (word)``, which may repeat, that share their hash with a smaller
+    word.
+
+    Chance gives n ** 2 / 2 ** 64 of them: one among four billion words. Far more would mean that the
+    hash is no good, and is an error.
+    """
+    distinct = words.select("word").distinct().select(code(F.col("word")).alias("code"))
+    shared = distinct.groupBy("code").agg(F.count("*").alias("n")).where("n > 1")
+    codes = [row["code"] for row in shared.limit(MOST_CLASHES + 1).collect()]
+    if len(codes) > MOST_CLASHES:
+        raise ValueError("too many words share a hash")
+    if not codes:
+        return {}
+    found = words.select("word", code(F.col("word")).alias("code")).where(F.col("code").isin(codes)).distinct()
+    by_code: dict[int, list[bytes]] = {}
+    for row in found.collect():
+        by_code.setdefault(row["code"], []).append(bytes(row["word"]))
+    later = [w for c in sorted(by_code) for w in sorted(by_code[c])[1:]]
+    return {w: -1 - i for i, w in enumerate(later)}
+
+
+def dictionary(words: DataFrame, code: Callable[[Column], Column] = word_code) -> Callable[[Column], Column]:
+    """The global dictionary of ``words (word)``, which may repeat: the code of a word, as a column of it.
+
+    Equal words have equal codes and different words different ones, in every shard: a code is a hash
+    unless another word of the table has the same, which is found out by counting. So no shard has
+    to look its words up in a table of all words; only distinct words are shuffled, once folded.
+    """
+    clashes = clashing_words(words, code)
+    if not clashes:
+        return code
+    listed = F.create_map(*[F.lit(x) for word, number in clashes.items() for x in (bytearray(word), number)])
+    return lambda word: F.coalesce(F.element_at(listed, word).cast("long"), code(word))
 
 
 _MATRIX = concat_schema(
@@ -107,38 +141,29 @@ MATRIX = (
 
 
 def document_terms(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source", shard_bytes: int = SHARD_BYTES
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source", shard_bytes: int = SHARD_BYTES,
+    code: Callable[[Column], Column] = word_code,
+) -> DataFrame:
     """The document-term matrix, a row per shard: ``starts, terms, counts`` are compressed sparse rows over
-    the dictionary of the whole table, one for each of ``docs``, beside ``parts, texts`` (digests),
-    ``marked, shouted`` (filters D and C).
-
-    Only the distinct words of each shard are shuffled to be numbered, not those of each document; a
-    word that every shard has is one row per shard, which a join may split.
-    """
-    named = matrix_shards(docs, id_col, text_col, part_col, shard_bytes).withColumn("shard", F.monotonically_increasing_id())
-    shards = stored(named)
-    local = shards.select("shard", F.posexplode("words").alias("place", "word"))
-    known = stored(dictionary(local))
-    codes = (
-        local.join(known, "word").groupBy("shard")
-        .agg(F.sort_array(F.collect_list(F.struct("place", "term"))).alias("coded"))
-        .select("shard", F.col("coded.term").alias("codes"))
-    )
+    the :func:`dictionary` of the whole table, one for each of ``docs``, beside ``parts, texts``
+    (digests), ``marked, shouted`` (filters D and C)."""
+    shards = stored(matrix_shards(docs, id_col, text_col, part_col, shard_bytes))
+    number = dictionary(shards.select(F.explode("words").alias("word")), code)
     kept = [f.name for f in _MATRIX]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for i in range(rows.num_rows):
-                starts, terms, counts = (np.asarray(rows.column(c)[i].values, np.int64) for c in ("starts", "terms", "counts"))
-                codes = rows.column("codes")[i].values
-                codes = np.zeros(0, np.int64) if codes is None else np.asarray(codes, np.int64)[terms]
+                starts, terms, counts, codes = (
+                    np.asarray(rows.column(c)[i].values, np.int64) for c in ("starts", "terms", "counts", "codes")
+                )
+                codes = codes[terms]
                 order = np.lexsort((codes, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
                 lists = [rows.column(c)[i].values for c in kept[:5]] + [starts, codes[order], counts[order]]
                 yield batch(_MATRIX, *(_many(x, t.value_type) for x, t in zip(lists, _MATRIX.types)))
 
-    joined = shards.drop("words").join(codes, "shard", "left")
-    return map_arrow(joined.select(*kept, "codes"), encode, MATRIX)
+    coded = shards.select(*kept, F.transform("words", number).alias("codes"))
+    return map_arrow(coded, encode, MATRIX)
 
 
 _FLAGS = concat_schema(id=pa.int64(), part=pa.string(), text=pa.binary(), mask=pa.int32())

@@ -11,6 +11,7 @@ from prefdeck.llm.common import stored
 from prefdeck.operators.skew import dense_index, running_total
 
 CHUNK_ROWS = 100_000  # rows of one source that are sorted together, about
+LEAST_STEPS = 16  # chunks per doubling of the keys at least
 HEX_DIGITS = 13  # of a digest: 52 bits, which a double holds
 
 
@@ -110,7 +111,7 @@ def mix(
     aims = stored(targets(sizes.select("key", "source_size"), weights, most_epochs))
     # Whatever the weights, at most 0.26 / steps of a source's draws fall between neighbours of this
     # grid, as an exponential variable is nowhere denser than 1 / e per unit of its logarithm.
-    steps = F.ceil(F.col("n") / CHUNK_ROWS).alias("steps")
+    steps = (LEAST_STEPS + F.ceil(F.col("n") / CHUNK_ROWS)).alias("steps")
     cut = rows.join(sizes.select("key", steps), "key").withColumn("chunk", F.floor(F.log2("draw") * F.col("steps")))
     summed = running_total(
         cut.drop("steps"), F.col("size"), "before", order=["draw", "id", "size"], chunk=["chunk"], keys=["key"]
