@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from prefdeck.llm.bytewords import NOT_SPACE, find_words
 from prefdeck.llm.common import batch, concat_schema, flat_bytes, map_arrow, stored, text_column, text_slices
 
-SHARD_BYTES = 4 << 20  # text of a shard, or one longer text
+SHARD_BYTES = 1 << 20  # text of a shard, or one longer text
 FILTERS = "ABCDE"
 MIN_WORDS, DISTINCT_PERCENT, UPPER_PERCENT = 50, 65, 5
 SIGNS = b"#$%&*|"
@@ -140,6 +140,26 @@ MATRIX = (
 )
 
 
+def _coded_shards(
+    docs: DataFrame, id_col: str, text_col: str, part_col: str, shard_bytes: int, code: Callable[[Column], Column]
+) -> DataFrame:
+    """The shards with the dictionary's ``codes`` of their words instead of the words."""
+    shards = stored(matrix_shards(docs, id_col, text_col, part_col, shard_bytes))
+    number = dictionary(shards.select(F.explode("words").alias("word")), code)
+    return shards.select(*[f.name for f in _MATRIX], F.transform("words", number).alias("codes"))
+
+
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places in the shard's words become codes, ascending in each row of the matrix."""
+    for rows in batches:
+        for i in range(rows.num_rows):
+            *known, starts, terms, counts, codes = (column[i].values for column in rows.columns)
+            codes = np.asarray(codes, np.int64)[np.asarray(terms)]
+            order = np.lexsort((codes, np.repeat(np.arange(len(starts) - 1), np.diff(np.asarray(starts)))))
+            lists = [*known, starts, codes[order], np.asarray(counts)[order]]
+            yield batch(_MATRIX, *(_many(x, t.value_type) for x, t in zip(lists, _MATRIX.types)))
+
+
 def document_terms(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source", shard_bytes: int = SHARD_BYTES,
     code: Callable[[Column], Column] = word_code,
@@ -147,48 +167,36 @@ def document_terms(
     """The document-term matrix, a row per shard: ``starts, terms, counts`` are compressed sparse rows over
     the :func:`dictionary` of the whole table, one for each of ``docs``, beside ``parts, texts``
     (digests), ``marked, shouted`` (filters D and C)."""
-    shards = stored(matrix_shards(docs, id_col, text_col, part_col, shard_bytes))
-    number = dictionary(shards.select(F.explode("words").alias("word")), code)
-    kept = [f.name for f in _MATRIX]
+    return map_arrow(_coded_shards(docs, id_col, text_col, part_col, shard_bytes, code), _encode, MATRIX)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for i in range(rows.num_rows):
-                starts, terms, counts, codes = (
-                    np.asarray(rows.column(c)[i].values, np.int64) for c in ("starts", "terms", "counts", "codes")
-                )
-                codes = codes[terms]
-                order = np.lexsort((codes, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
-                lists = [rows.column(c)[i].values for c in kept[:5]] + [starts, codes[order], counts[order]]
-                yield batch(_MATRIX, *(_many(x, t.value_type) for x, t in zip(lists, _MATRIX.types)))
 
-    coded = shards.select(*kept, F.transform("words", number).alias("codes"))
-    return map_arrow(coded, encode, MATRIX)
+_FLAGS = concat_schema(id=pa.int64(), part=pa.string(), text=pa.binary(), mask=pa.int32())
 
 
-_FLAGS = concat_schema(id=pa.int64(), part=pa.string(), text=pa.binary(), mask=pa.int32())
+def _flags(matrix: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Filters A to D per document. Row sums of the matrix are the words, its nonzeros the distinct ones."""
+    for shard in matrix:
+        docs, parts, texts, marked, shouted, starts, _, counts = (column[0].values for column in shard.columns)
+        starts = np.asarray(starts, np.int64)
+        total = np.append(0, np.cumsum(np.asarray(counts, np.int64)))
+        n_words, n_terms = total[starts[1:]] - total[starts[:-1]], np.diff(starts)
+        mask = (
+            (n_words < MIN_WORDS).astype(np.int32)
+            | (100 * n_terms < DISTINCT_PERCENT * n_words).astype(np.int32) << 1
+            | shouted.to_numpy(zero_copy_only=False).astype(np.int32) << 2
+            | marked.to_numpy(zero_copy_only=False).astype(np.int32) << 3
+        )
+        yield batch(_FLAGS, docs, parts, texts, mask)
 
 
-def failed_filters(matrix: DataFrame) -> DataFrame:
-    """``id, part, text, mask`` per document of :func:`document_terms`: bit k of ``mask`` says that filter k
-    of FILTERS fails. Row sums of the matrix are the words, its nonzeros the distinct ones."""
-    def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for i in range(rows.num_rows):
-                docs, parts, texts, marked, shouted, starts, _, counts = (c[i].values for c in rows.columns)
-                starts = np.asarray(starts, np.int64)
-                total = np.append(0, np.cumsum(np.asarray(counts, np.int64)))
-                n_words, n_terms = total[starts[1:]] - total[starts[:-1]], np.diff(starts)
-                mask = (
-                    (n_words < MIN_WORDS).astype(np.int32)
-                    | (100 * n_terms < DISTINCT_PERCENT * n_words).astype(np.int32) << 1
-                    | shouted.to_numpy(zero_copy_only=False).astype(np.int32) << 2
-                    | marked.to_numpy(zero_copy_only=False).astype(np.int32) << 3
-                )
-                yield batch(_FLAGS, docs, parts, texts, mask)
-
-    every_text = map_arrow(matrix, flags, "id long, part string, text binary, mask int")
-    rows = stored(every_text)
+def failed_filters(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source", shard_bytes: int = SHARD_BYTES,
+    code: Callable[[Column], Column] = word_code,
+) -> DataFrame:
+    """``id, part, text, mask`` per row of ``docs``: bit k of ``mask`` says that filter k of FILTERS fails. A to
+    D follow from the matrix of :func:`document_terms`, a shard at a time, E from all ids of a text."""
+    shards = _coded_shards(docs, id_col, text_col, part_col, shard_bytes, code)
+    rows = stored(map_arrow(shards, lambda batches: _flags(_encode(batches)), "id long, part string, text binary, mask int"))
     # E: equal to the text of a smaller id. NULL is no smaller and has no smaller.
     first = rows.groupBy("text").agg(F.min("id").alias("first"))
     again = F.when(F.col("id") > F.col("first"), 1 << FILTERS.index("E")).otherwise(0)
@@ -222,7 +230,7 @@ def filter_audit(
     NULL ids have none. Other columns are ignored; no rows give none. Texts are told apart by a
     sha256. All of it follows from counts per part and set of failed filters, 32 at most.
     """
-    failed = failed_filters(document_terms(docs, id_col, text_col, part_col, shard_bytes))
+    failed = failed_filters(docs, id_col, text_col, part_col, shard_bytes)
     known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(
         F.max("quality").alias("quality"), F.max("toxic").alias("toxic")
     )
