@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 # Odd multipliers of the word hash and of its finishing steps (fixed values).
@@ -70,6 +71,27 @@ def find_words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words
     return Words(start, end, np.searchsorted(start, offsets))
 
 
+def tokens_of(data: np.ndarray, words: Words) -> pa.DictionaryArray:
+    """The words as codes into their distinct values, compared byte by byte. ``words``: all runs of bytes
+    outside white space."""
+    ends = np.append(0, np.cumsum(words.end - words.start)).astype(np.int64)
+    packed = data[NOT_SPACE[data]]  # the words without what stands between them
+    column = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(packed)])
+    return column.dictionary_encode()
+
+
+def lanes_of(data: np.ndarray, words: Words, n: int) -> np.ndarray:
+    """The first 8 n bytes of each word as ``n`` numbers, zeros behind its end. Words of no more bytes are
+    equal exactly if their numbers and sizes are."""
+    padded = np.concatenate([data, np.zeros(8 * n + 8, np.uint8)])
+    view = np.ndarray((len(data) + 8 * n,), "<u8", padded, strides=(1,))
+    size = words.end - words.start
+    out = np.empty((len(size), n), U)
+    for k in range(n):
+        out[:, k] = view[words.start + 8 * k] & KEEP[np.clip(size - 8 * k, 0, 8)]
+    return out
+
+
 def hash_words(data: np.ndarray, words: Words) -> np.ndarray:
     """64 bits for each word. Words of up to 8 bytes never collide with one another before mixing;
     longer ones are folded in steps of 8 bytes."""

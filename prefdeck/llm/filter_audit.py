@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefdeck.llm.bytewords import NOT_SPACE, find_words
+from prefdeck.llm.bytewords import NOT_SPACE, find_words, tokens_of
 from prefdeck.llm.common import batch, concat_schema, flat_bytes, map_arrow, stored, text_column, text_slices
 
 SHARD_BYTES = 1 << 20  # text of a shard, or one longer text
@@ -34,11 +34,7 @@ def count_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.nda
     """``words, starts, terms, counts``: distinct words, and the matrix of documents by words as
     compressed sparse rows whose columns are places in ``words``. Words are compared byte by byte."""
     found = find_words(data, offsets, NOT_SPACE)
-    ends = np.append(0, np.cumsum(found.end - found.start))
-    packed = data[NOT_SPACE[data]]  # the words without what stands between them
-    tokens = pa.Array.from_buffers(
-        pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(packed)]
-    ).dictionary_encode()
+    tokens = tokens_of(data, found)
     n_words, n_docs = max(len(tokens.dictionary), 1), len(offsets) - 1
     cells = found.text * n_words + np.asarray(tokens.indices, np.int64)
     cells, counts = np.unique(cells, return_counts=True)

@@ -13,15 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefdeck.llm.common import concat_schema, batch, map_arrow, stored, text_column
-from prefdeck.llm.tokenizer import TokenizerFile
+from prefdeck.llm.common import batch, concat_schema, flat_bytes, map_arrow, stored, text_column, text_slices
+from prefdeck.llm.tokenizer import SLICE_BYTES, TokenizerFile
 
 NORM, DOT = "norm", "dot"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES = concat_schema(
     doc_id=pa.int64(), piece=pa.int32(), start=pa.int64(), length=pa.int64(), ids_crc32=pa.int64()
 )
-SLICE_BYTES = 1 << 20
 CHUNK_ROWS = 250_000  # pieces of one length that are numbered together
 
 
@@ -140,27 +139,23 @@ def cut_pieces(
 ) -> DataFrame:
     """A row per piece: a document's ids with ``end_id`` behind them, cut every ``most`` tokens."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = tokenizer.encoder()
         for rows in batches:
-            ids, texts = rows.column(0).to_pylist(), rows.column(1).cast(pa.large_binary()).to_pylist()
-            low = 0
-            while low < len(texts):
-                high, size = low, 0
-                while high < len(texts) and (high == low or size + len(texts[high]) <= SLICE_BYTES):
-                    size += len(texts[high])
-                    high += 1
+            doc_ids = rows.column(0).to_pylist()
+            data, offsets = flat_bytes(rows.column(1))
+            for low, high in text_slices(offsets, SLICE_BYTES):
+                ids, at = encoder.encode_all(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+                raw = np.insert(ids, at[1:], end_id).astype("<u4").tobytes()
+                edges = (4 * (at + np.arange(len(at)))).tolist()
                 out = []
-                for doc_id, packed in zip(ids[low:high], encoder.encode(texts[low:high])):
-                    packed += end
-                    for piece, at in enumerate(range(0, len(packed), 4 * most)):
-                        part = packed[at : at + 4 * most]
-                        out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+                for doc_id, begin, end in zip(doc_ids[low:high], edges[:-1], edges[1:]):
+                    for piece, start in enumerate(range(begin, end, 4 * most)):
+                        part = raw[start : min(start + 4 * most, end)]
+                        out.append((doc_id, piece, (start - begin) // 4, len(part) // 4, zlib.crc32(part)))
                 yield batch(_PIECES, *map(list, zip(*out)))
-                low = high
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(docs, text_col).alias("text"))
     return map_arrow(rows, cut, PIECES)

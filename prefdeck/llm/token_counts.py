@@ -8,12 +8,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefdeck.llm.common import concat_schema, map_arrow, batch, shared_folder, text_column
-from prefdeck.llm.tokenizer import TokenizerFile
+from prefdeck.llm.common import batch, concat_schema, flat_bytes, map_arrow, shared_folder, text_column, text_slices
+from prefdeck.llm.tokenizer import SLICE_BYTES, TokenizerFile
 
 CACHE_SCHEMA = "content binary, version string, n_tokens long"
 _COUNTED = concat_schema(content=pa.binary(), n_tokens=pa.int64())
-SLICE_BYTES = 1 << 20
 
 
 def content_digest(text, words_alone: bool):
@@ -37,17 +36,10 @@ def encode_misses(misses: DataFrame, tokenizer: TokenizerFile) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = tokenizer.encoder()
         for rows in batches:
-            digests = rows.column(0).to_pylist()
-            texts = rows.column(1).cast(pa.large_binary()).to_pylist()
-            low = 0
-            while low < len(texts):
-                high, size = low, 0
-                while high < len(texts) and (high == low or size + len(texts[high]) <= SLICE_BYTES):
-                    size += len(texts[high])
-                    high += 1
-                ids = encoder.encode(texts[low:high])
-                yield batch(_COUNTED, digests[low:high], [len(x) // 4 for x in ids])
-                low = high
+            data, offsets = flat_bytes(rows.column(1))
+            for low, high in text_slices(offsets, SLICE_BYTES):
+                counts = encoder.count(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+                yield batch(_COUNTED, rows.column(0)[low:high], counts)
 
     return map_arrow(misses.select("content", "text"), count, "content binary, n_tokens long")
 
