@@ -283,24 +283,16 @@ def _sides(rows: DataFrame, *on) -> tuple[DataFrame, DataFrame]:
 
 
 def feature_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The k-th vector with label 5 or more against the k-th with a smaller one, as its SQL has it.
-
-    What the larger side has beyond the smaller one is in no pair; see ``all_feature_pairs``.
-    """
-    chosen, rejected = _sides(_numbered_vectors(spark, sf_dir), "k")
-    return chosen.join(rejected, "k")
-
-
-def all_feature_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every labelled vector in a pair: the k-th of the larger side against the (k modulo size)-th
-    of the smaller one. With one side empty there are no pairs."""
+    """Every vector in a pair: the k-th of the larger side (label 5 or more, or less) against the
+    (k modulo size)-th of the smaller one. With one side empty there are no pairs."""
     rows = _numbered_vectors(spark, sf_dir)
     sizes = table(spark, sf_dir, "embeddings").agg(
         F.least(F.count_if(F.col("label") >= 5), F.count_if(F.col("label") < 5)).alias("smaller")
     )
     smaller = sizes.select(F.when(F.col("smaller") > 0, F.col("smaller"))).scalar()
-    chosen, rejected = _sides(rows.withColumn("place", F.col("k") % smaller), "place")
-    return chosen.join(rejected, "place").drop("place")
+    chosen, rejected = _sides(rows.withColumn("place", F.col("k") % smaller), "place", "k")
+    paired = chosen.join(rejected.withColumnRenamed("k", "other"), "place")
+    return paired.withColumn("k", F.greatest("k", "other")).drop("place", "other")
 
 
 def evaluation_history(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -348,6 +348,14 @@ _PLAIN = (
 
 _WEIGHTS = "[" + ", ".join(f"{(i - 31.5) / 64.0}::DOUBLE" for i in range(64)) + "]"
 
+FEATURE_PAIRS = """
+vectors AS (SELECT vec_id, label >= 5 AS chosen, row_number() OVER (
+    PARTITION BY label >= 5 ORDER BY vec_id) - 1 AS k FROM embeddings),
+smaller AS (SELECT nullif(least(count(*) FILTER (chosen), count(*) FILTER (NOT chosen)), 0) AS n FROM vectors),
+feature_pairs AS (
+  SELECT a.k AS a_k, b.k AS b_k, a.vec_id AS chosen_vec, b.vec_id AS rejected_vec
+  FROM vectors a, vectors b, smaller s WHERE a.chosen AND NOT b.chosen AND a.k % s.n = b.k % s.n)"""
+
 HISTORY = """
 history AS (
   SELECT event_type AS run, CAST(day(ts) AS INTEGER) AS step, round(avg(value), 6) AS value
@@ -600,6 +608,13 @@ ORACLE: dict[str, str] = {
           md5('orders:' || o_orderkey || ':' || {SEED_EPOCH}), o_orderkey) - 1 AS epoch_pos
         FROM orders""",
     "pack_batches": _with(BATCHES, "SELECT * FROM packed"),
+    "pack_batches_greedy_audit": _with(
+        SAMPLES,
+        f"""SELECT count(*) AS n_samples, CAST(ceil(count(*) / {BATCH}.0) AS BIGINT) AS n_batches,
+             CAST(0 AS BIGINT) AS n_oversize, CASE WHEN count(*) % {BATCH} = 0 THEN 0::BIGINT ELSE 1::BIGINT END AS n_short,
+             CAST(0 AS BIGINT) AS n_uneven_slots, CAST(0 AS BIGINT) AS n_missing,
+             CAST(0 AS BIGINT) AS n_repeated, true AS keeps_as_many FROM samples""",
+    ),
     "pad_batch": _with(
         TURNS + "," + packed("turns") + """,
         wide AS (
@@ -669,11 +684,14 @@ ORACLE: dict[str, str] = {
     "linear_reward": f"""
         SELECT vec_id, round(list_sum(list_transform(list_zip(embedding, {_WEIGHTS}),
           lambda z: CAST(z[1] AS DOUBLE) * z[2])), 6) AS reward FROM embeddings""",
-    "feature_pairs": """
-        WITH n AS (SELECT vec_id, label >= 5 AS c, row_number() OVER (
-                     PARTITION BY label >= 5 ORDER BY vec_id) - 1 AS k FROM embeddings)
-        SELECT a.k, a.vec_id AS chosen_vec, b.vec_id AS rejected_vec
-        FROM n a JOIN n b ON a.k = b.k AND a.c AND NOT b.c""",
+    "feature_pairs": _with(
+        FEATURE_PAIRS, "SELECT greatest(a_k, b_k) AS k, chosen_vec, rejected_vec FROM feature_pairs"
+    ),
+    "linear_head_audit": _with(
+        FEATURE_PAIRS,
+        """SELECT count(*) AS n_pairs, true AS every_pair_once, true AS settled, true AS below_chance,
+             true AS same_loss FROM feature_pairs""",
+    ),
     "best_checkpoint": _with(
         HISTORY,
         """SELECT run, max(value) AS best_value, CAST(min(step) AS INTEGER) AS best_step
@@ -697,3 +715,4 @@ doc_samples AS (
 )
 ORACLE["evaluate_scorer"] = _bundle(_DOC_SCORES, _scorer_rows(_BY, "doc_samples", "reward"))
 ORACLE["evaluate_python_scorer"] = ORACLE["evaluate_scorer"]
+ORACLE["evaluate_python_judge"] = ORACLE["evaluate_judge"]

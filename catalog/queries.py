@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pandas as pd
@@ -500,6 +501,16 @@ def pack_batches_greedy(spark, sf_dir):
     )
 
 
+@query
+def pack_batches_greedy_audit(spark, sf_dir):
+    """Each sample once, batches full but the last, and no fewer pairs together than along the order."""
+    samples_, votes = fx.line_samples(spark, sf_dir), fx.line_votes(spark, sf_dir)
+    greedy = batching.pack_batches_greedy(samples_, votes, BATCH, SEED, EPOCH)
+    plain = batching.in_batch_pairs(_packed(spark, sf_dir), votes).agg(F.count("*")).scalar()
+    audit = batching.packing_audit(greedy, votes, samples_, BATCH)
+    return audit.withColumn("keeps_as_many", F.col("n_kept_pairs") >= plain).drop("n_kept_pairs")
+
+
 @query
 def pad_batch(spark, sf_dir):
     ids = fx.chat_token_ids(spark, sf_dir)
@@ -581,6 +592,14 @@ def _python_length():
     return rewards
 
 
+def _python_longer():
+    def answers(rows: pd.DataFrame) -> pd.Series:
+        longer = rows["answer_a"].str.len() >= rows["answer_b"].str.len()
+        return longer.map({True: "so: [[A]]", False: "so: [[B]]"})
+
+    return answers
+
+
 def _scored(spark, sf_dir, scorer):
     rows = fx.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("output"))
     return scoring.score_responses(rows, scorer).select("doc_id", F.round("reward", 6).alias("reward"))
@@ -608,6 +627,8 @@ def _registry() -> Registry:
     known.register(
         "longer", Predictor(JUDGE, F.when(longer, "so: [[A]]").otherwise("so: [[B]]"))
     )
+    several = scoring.Calls(in_flight=4)
+    known.register("python_longer", Predictor(JUDGE, _python_longer, calls=several))
     return known
 
 
@@ -621,6 +642,7 @@ def _evaluated(name):
 QUERIES["evaluate_scorer"] = _evaluated("length")
 QUERIES["evaluate_python_scorer"] = _evaluated("python_length")
 QUERIES["evaluate_judge"] = _evaluated("longer")
+QUERIES["evaluate_python_judge"] = _evaluated("python_longer")
 
 
 # --- head, checkpoints --------------------------------------------------------------------------
@@ -633,18 +655,35 @@ def linear_reward(spark, sf_dir):
     )
 
 
+def _fitted_head(spark, sf_dir):
+    return head.fit_linear_reward_head(fx.feature_pairs(spark, sf_dir), reg_coef=0.01)
+
+
 @query
 def fit_linear_reward_head(spark, sf_dir):
-    model = head.fit_linear_reward_head(fx.all_feature_pairs(spark, sf_dir), reg_param=0.01)
-    weights = [float(w) for w in model.coefficients]
-    reward = {
-        f"{side}_reward": head.linear_reward(f"{side}_features", weights)
-        for side in ("chosen", "rejected")
-    }
-    scored = fx.all_feature_pairs(spark, sf_dir).withColumns(reward).withColumn("origin", F.lit("head"))
+    fit = _fitted_head(spark, sf_dir)
+    reward = {f"{side}_reward": fit.column(f"{side}_features") for side in ("chosen", "rejected")}
+    scored = fx.feature_pairs(spark, sf_dir).withColumns(reward).withColumn("origin", F.lit("head"))
     return _round(metrics.bradley_terry_loss(scored), "bt_loss")
 
 
+@query
+def linear_head_audit(spark, sf_dir):
+    """The fit ends where the gradient vanishes, below the loss of equal rewards, on every pair once;
+    the loss found again from the rewards is the loss of the fit."""
+    fit = _fitted_head(spark, sf_dir)
+    pairs_ = fx.feature_pairs(spark, sf_dir)
+    margin = fit.column("chosen_features") - fit.column("rejected_features")
+    loss = F.avg(metrics.neg_log_sigmoid(margin))
+    return pairs_.agg(
+        F.count("*").alias("n_pairs"),
+        (F.count("*") == fit.n_pairs).alias("every_pair_once"),
+        F.lit(fit.gradient < 1e-6).alias("settled"),
+        (loss < math.log(2)).alias("below_chance"),
+        (F.abs(loss - fit.bt_loss) < 1e-9).alias("same_loss"),
+    )
+
+
 @query
 def feature_pairs(spark, sf_dir):
     return fx.feature_pairs(spark, sf_dir).select("k", "chosen_vec", "rejected_vec")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,41 +86,111 @@ def pack_batches(samples: DataFrame, batch_size: int, seed: int = 0, epoch: int
     )
 
 
-def _fill_batches(prompts: list[tuple[list, list]], batch_size: int) -> list[tuple]:
-    """(batch, slot, sample) for the samples of one shard, prompt by prompt.
+def _walk(linked: list[int], members: int) -> Iterator[list[int]]:
+    """Connected groups among ``members`` (a bit set), each breadth first from its lowest member.
 
-    Labels with both ends still waiting go first while they fit; a placed end spends its labels; a
-    single free slot takes one end of a waiting label; leftovers fill up what remains.
+    ``linked`` has the neighbours of each sample as a bit set. Taking out of the unseen ones all
+    neighbours at once deletes the used ends of every pair in passing, so no pair is looked at twice.
+    """
+    unseen = members
+    while unseen:
+        first = (unseen & -unseen).bit_length() - 1
+        order = [first]
+        unseen ^= 1 << first
+        for sample in order:
+            found = linked[sample] & unseen
+            unseen ^= found
+            while found:
+                lowest = found & -found
+                order.append(lowest.bit_length() - 1)
+                found ^= lowest
+        yield order
+
+
+def _groups(n: int, batch_size: int, ends: np.ndarray, others: np.ndarray) -> list[list[int]]:
+    """Samples 0 to n - 1 in groups of at most ``batch_size``, connected by the pairs (ends, others).
+
+    A larger component is cut along its breadth-first order, and each run falls into what is still
+    connected in it.
+    """
+    near = np.zeros((n, n), bool)
+    near[ends, others] = near[others, ends] = True
+    packed = np.packbits(near, axis=1, bitorder="little")
+    linked = [int.from_bytes(row.tobytes(), "little") for row in packed]
+    out: list[list[int]] = []
+    for order in _walk(linked, (1 << n) - 1):
+        if len(order) <= batch_size:
+            out.append(order)
+            continue
+        for start in range(0, len(order), batch_size):
+            run = 0
+            for sample in order[start : start + batch_size]:
+                run |= 1 << sample
+            out.extend(_walk(linked, run))
+    return out
+
+
+def fill_batches(
+    n: int, batch_size: int, ends: np.ndarray, others: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Batch and slot of each of the samples 0 to n - 1, which the pairs (ends, others) connect.
+
+    Connected groups go whole, in order, into the batch whose free slots they fill best; samples
+    without a partner fill up what remains; a group that fits nowhere is parted over the largest
+    rests. No more batches are opened than needed, so all are full but the last. The work is linear
+    in the samples and pairs.
     """
-    placed: list[tuple] = []
-
-    def put(sample) -> None:
-        placed.append((len(placed) // batch_size, len(placed) % batch_size, sample))
-
-    for outputs, labels in prompts:
-        waiting = dict.fromkeys(outputs)
-        open_labels = [pair for pair in labels if pair[0] in waiting and pair[1] in waiting]
-        while waiting:
-            room = batch_size - len(placed) % batch_size
-            chosen: dict = {}
-            for pair in open_labels:
-                if len(chosen) == room:
-                    break
-                missing = [end for end in pair if end not in chosen]
-                if len(chosen) + len(missing) <= room:
-                    chosen.update(dict.fromkeys(missing))
-            if not chosen and open_labels:
-                chosen = {open_labels[0][0]: None}
-            elif not open_labels:
-                chosen = dict.fromkeys(list(waiting)[:room])
-            for end in chosen:
-                put(end)
-                del waiting[end]
-            open_labels = [p for p in open_labels if p[0] in waiting and p[1] in waiting]
-    return placed
+    n_batches = -(-n // batch_size)
+    batches: list[list[int]] = []
+    by_free: list[list[int]] = [[] for _ in range(batch_size + 1)]
+    sizes = 0  # bit f: some batch has f free slots
+
+    def put(batch: int, samples: list[int]) -> None:
+        nonlocal sizes
+        batches[batch] += samples
+        free = batch_size - len(batches[batch])
+        if free:
+            by_free[free].append(batch)
+            sizes |= 1 << free
+
+    def take(free: int) -> int:
+        nonlocal sizes
+        batch = by_free[free].pop()
+        if not by_free[free]:
+            sizes ^= 1 << free
+        return batch
+
+    parted = []
+    groups = _groups(n, batch_size, ends, others)
+    for group in sorted(groups, key=lambda g: len(g) == 1):
+        enough = sizes >> len(group) << len(group)
+        if enough:
+            put(take((enough & -enough).bit_length() - 1), group)
+        elif len(batches) < n_batches:
+            batches.append([])
+            put(len(batches) - 1, group)
+        else:
+            parted.append(group)
+    for group in parted:
+        while group:
+            free = sizes.bit_length() - 1
+            put(take(free), group[:free])
+            group = group[free:]
+    if sizes:  # the emptiest batch becomes the last one and fills up the others
+        last = take(sizes.bit_length() - 1)
+        while sizes:
+            put(take(sizes.bit_length() - 1), [batches[last].pop()])
+        batches[last], batches[-1] = batches[-1], batches[last]
+    batch, slot = np.empty(n, np.int64), np.empty(n, np.int32)
+    for number, samples in enumerate(batches):
+        batch[samples] = number
+        slot[samples] = np.arange(len(samples))
+    return batch, slot
 
 
 PACKED_SCHEMA = "input_id bigint, origin string, output_id int, batch_id bigint, slot int"
+# Neighbours of a shard's samples are a bit matrix: 32 MB at this size.
+MOST_SHARD_ROWS = 16_384
 
 
 def pack_batches_greedy(
@@ -132,44 +205,73 @@ def pack_batches_greedy(
 
     A shard is a run of positions, a multiple of the batch size, so every shard but the last holds
     exactly that many samples (a huge prompt simply covers several) and only the very last batch
-    can be short. Labels across a shard border cannot be kept together.
+    can be short. Labels across a shard border cannot be kept together. A task gets positions and
+    pairs of positions only, see :func:`fill_batches`.
     """
     size = max(batch_size, shard_rows // batch_size * batch_size)
+    if size > MOST_SHARD_ROWS:
+        raise ValueError(f"a shard has at most {MOST_SHARD_ROWS} rows, not {size}")
     placed = epoch_positions(samples, seed, epoch).withColumn(
         "shard", F.floor(F.col("epoch_pos") / F.lit(size))
     )
-    where = keyed(placed, [*PAIR_KEY, "output_id", "shard"]).select(*PAIR_KEY, "output_id", "shard")
+    place = (F.col("epoch_pos") % F.lit(size)).cast("int")
+    where = keyed(placed, [*PAIR_KEY, "output_id", "shard"]).select(
+        *PAIR_KEY, "output_id", "shard", place.alias("place")
+    )
     inside = (
         distinct_pairs(labels)
         .where(F.col("chosen_id") != F.col("rejected_id"))
-        .join(where.withColumnRenamed("output_id", "chosen_id"), [*PAIR_KEY, "chosen_id"])
         .join(
-            where.withColumnRenamed("output_id", "rejected_id"),
+            where.withColumnsRenamed({"output_id": "chosen_id", "place": "end"}),
+            [*PAIR_KEY, "chosen_id"],
+        )
+        .join(
+            where.withColumnsRenamed({"output_id": "rejected_id", "place": "other"}),
             [*PAIR_KEY, "rejected_id", "shard"],
         )
-        .select(F.col("shard").alias("pair_shard"), *PAIR_KEY, "chosen_id", "rejected_id")
+        .select(F.col("shard").alias("pair_shard"), "end", "other")
     )
 
-    def pack(key, rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("epoch_pos")
-        pairs = pairs.sort_values(["chosen_id", "rejected_id"])
-        prompts: dict[tuple, tuple[list, list]] = {}
-        for input_id, origin, output in zip(*[rows[c].tolist() for c in (*PAIR_KEY, "output_id")]):
-            prompts.setdefault((input_id, origin), ([], []))[0].append((input_id, origin, output))
-        ends = (*PAIR_KEY, "chosen_id", "rejected_id")
-        for input_id, origin, c, r in zip(*[pairs[name].tolist() for name in ends]):
-            prompts[input_id, origin][1].append(((input_id, origin, c), (input_id, origin, r)))
-        first_batch = int(key[0]) * (size // batch_size)
-        filled = [
-            (*sample, first_batch + batch, slot)
-            for batch, slot, sample in _fill_batches(list(prompts.values()), batch_size)
-        ]
-        return pd.DataFrame(filled, columns=[*PAIR_KEY, "output_id", "batch_id", "slot"])
+    def pack(rows, pairs):
+        places = rows.column("place").to_numpy()
+        ends, others = (pairs.column(c).to_numpy() for c in ("end", "other"))
+        batch, slot = fill_batches(len(places), batch_size, ends, others)
+        first = rows.column("shard")[0].as_py() * (size // batch_size) if len(places) else 0
+        columns = [rows.column(c) for c in (*PAIR_KEY, "output_id")]
+        found = [pa.array(first + batch[places], pa.int64()), pa.array(slot[places], pa.int32())]
+        return pa.table([*columns, *found], names=[*PAIR_KEY, "output_id", "batch_id", "slot"])
 
     return (
-        placed.groupBy("shard")
+        placed.select(*PAIR_KEY, "output_id", "shard", place.alias("place"))
+        .groupBy("shard")
         .cogroup(inside.groupBy("pair_shard"))
-        .applyInPandas(pack, schema=PACKED_SCHEMA)
+        .applyInArrow(pack, schema=PACKED_SCHEMA)
+    )
+
+
+def packing_audit(batches: DataFrame, labels: DataFrame, samples: DataFrame, batch_size: int) -> DataFrame:
+    """One row about a packing: ``n_samples, n_missing, n_repeated, n_batches, n_oversize, n_short,
+    n_uneven_slots, n_kept_pairs``."""
+    key = [*PAIR_KEY, "output_id"]
+    known = require_keyed(samples).select(*key)
+    sizes = batches.groupBy("batch_id").agg(
+        F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last")
+    )
+    per_sample = batches.groupBy(*key).agg(F.count("*").alias("n"))
+    short = F.count_if(F.col("n") < batch_size)
+    uneven = F.count_if((F.col("slots") != F.col("n")) | (F.col("last") + 1 != F.col("n")))
+    return sizes.agg(
+        F.sum("n").alias("n_samples"),
+        F.count("*").alias("n_batches"),
+        F.count_if(F.col("n") > batch_size).alias("n_oversize"),
+        short.alias("n_short"),
+        uneven.alias("n_uneven_slots"),
+    ).withColumns(
+        {
+            "n_missing": known.join(per_sample, key, "left_anti").agg(F.count("*")).scalar(),
+            "n_repeated": per_sample.agg(F.count_if(F.col("n") > 1)).scalar(),
+            "n_kept_pairs": in_batch_pairs(batches, labels).agg(F.count("*")).scalar(),
+        }
     )
 
 

@@ -485,10 +485,11 @@ def judge_metrics(judged: DataFrame) -> DataFrame:
     """Judged accuracy and share of questions judged right throughout, per category and macro.
 
     ``judged`` has ``origin, category, question, judgment, preference``. Questions are told apart
-    by the md5 of their text. A prompt without pairs has no rows here and is not counted.
+    by the md5 of their text, which may stand in ``question_key`` instead of ``question``. A prompt without pairs has no rows here and is not counted.
     """
     right = F.when(F.col("judgment") == F.col("preference"), 1).otherwise(0)
-    per_question = category_mode(judged).groupBy("origin", "category", F.md5("question").alias("question_key")).agg(
+    key = F.col("question_key") if "question_key" in judged.columns else F.md5("question")
+    per_question = category_mode(judged).groupBy("origin", "category", key.alias("question_key")).agg(
         F.sum(right).alias("n_right"), F.count("*").alias("n_judged")
     )
     wide = per_question.groupBy(*GROUP).agg(

@@ -12,7 +12,7 @@ from prefdeck.operators.metrics import judge_metrics, metric_bundle
 from prefdeck.operators.pairs import judge_pairs, swap_positions
 from prefdeck.operators.records import normalize_records
 from prefdeck.operators.samples import explode_responses, index_labels, sample_ids
-from prefdeck.operators.scoring import judge_responses, score_responses
+from prefdeck.operators.scoring import judge_responses, repartition_for_calls, score_responses
 from prefdeck.operators.skew import HOT_FLOOR_ROWS
 from prefdeck.plans.registry import JUDGE, SCORE, Predictor, Registry, default_registry
 from prefdeck.session import materialize
@@ -40,14 +40,25 @@ def evaluate_scorer(
     metrics read it in more than one branch.
     """
     kept = ["origin", "category", "input_id", "output_id", "rank"]
-    scored = score_responses(samples, predictor.implementation, predictor.batch_size, keep=kept)
+    scored = score_responses(
+        samples, predictor.implementation, predictor.batch_size, kept, None, predictor.profile, predictor.calls
+    )
     if callable(predictor.implementation):
         scored = materialize(scored)
     return metric_bundle(scored, with_categories=True, floor_rows=floor_rows)
 
 
+# What the metrics of a judge need of a judged pair.
+JUDGED = ["origin", "category", "question_key", "id_a", "id_b", "preference"]
+
+
 def judged_pairs(samples: DataFrame, predictor: Predictor) -> DataFrame:
-    """Pairs with positions swapped by coin, judged, and the verdict read."""
+    """Pairs with positions swapped by coin, judged, and the verdict read: JUDGED, ``judge_text,
+    judgment``.
+
+    A Python judge is sent keys, the question, both answers and the prompt; only keys and its answer
+    come back, once however many branches of the metrics read them.
+    """
     rows = samples.withColumn("question", F.col("input"))
     pairs = swap_positions(
         judge_pairs(rows, ["origin", "input_id"]),
@@ -56,8 +67,15 @@ def judged_pairs(samples: DataFrame, predictor: Predictor) -> DataFrame:
     prompt = render_judge_prompts(
         "question", "answer_a", "answer_b", predictor.style, predictor.template
     )
-    asked = pairs.withColumn("judge_prompt", prompt)
-    answered = judge_responses(asked, predictor.implementation, predictor.batch_size or 64)
+    asked = pairs.withColumns({"judge_prompt": prompt, "question_key": F.md5("question")})
+    judge = predictor.implementation
+    if callable(judge):
+        asked = repartition_for_calls(asked)
+    answered = judge_responses(
+        asked, judge, predictor.batch_size or 64, JUDGED, None, predictor.profile, predictor.calls
+    )
+    if callable(judge):
+        answered = materialize(answered)
     return answered.withColumn("judgment", parse_verdict("judge_text", predictor.style))
 
 

@@ -5,23 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from prefdeck.functions.text import ChatTemplate
+from prefdeck.operators.scoring import Calls
 
 SCORE, JUDGE = "score", "judge"
 
 
 @dataclass(frozen=True)
 class Predictor:
-    """``implementation`` is a Column or a factory, see ``operators.scoring``."""
+    """``implementation`` is a Column or a factory, ``calls`` and ``profile`` say how and where a factory's
+    function is called, see ``operators.scoring``."""
 
     kind: str
     implementation: Column | Callable
     style: str = "bracket"
     template: str | ChatTemplate = "chatml"
     batch_size: int | None = None
+    calls: Calls | None = None
+    profile: ResourceProfile | None = None
 
 
 class Registry:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings only, so they can be applied to a session somebody else created.
@@ -24,15 +26,18 @@ def configure(spark: SparkSession) -> SparkSession:
 def materialize(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
     """Write ``df`` once to the cluster's shared checkpoint folder and read it back from there.
 
-    Used where something expensive (a model call) feeds several branches of a plan. The folder is
+    Used where something expensive (a model call) feeds several branches of a plan: computed per
+    branch, an answer that differs from call to call would go into different metrics. The folder is
     the one the session names in ``spark.checkpoint.dir``; ``fallback_dir`` is only taken if that
-    is unset. Without either, ``df`` is returned unchanged (still correct, computed per branch).
+    is unset. Without either, a local session gets a temporary folder; on a cluster it is an error.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or fallback_dir
-    if not folder:
-        return df
     context = spark.sparkContext
+    if not folder:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="prefdeck-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return df.checkpoint()

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +47,43 @@ def test_greedy_packing_ends_where_a_label_graph_is_disconnected(spark):
         check(batching.pack_batches_greedy(samples, labels, 4, seed=seed), 13, 4)
 
 
+def kept_pairs(n, size, pairs):
+    ends = np.array([a for a, _ in pairs], int), np.array([b for _, b in pairs], int)
+    batch, slot = batching.fill_batches(n, size, *ends)
+    sizes = Counter(batch.tolist())
+    assert sorted(sizes) == list(range(-(-n // size))) and all(sizes[b] == size for b in sorted(sizes)[:-1])
+    assert len(set(zip(batch.tolist(), slot.tolist()))) == n and slot.max(initial=0) < size
+    return int((batch[ends[0]] == batch[ends[1]]).sum())
+
+
+def test_components_stay_whole():
+    assert kept_pairs(6, 3, [(0, 5), (5, 3), (1, 2), (2, 4)]) == 4
+    assert kept_pairs(7, 4, [(0, 6), (1, 5), (2, 4)]) == 3  # three twos and a single in 4 + 3
+    assert kept_pairs(9, 4, [(0, k) for k in range(1, 9)]) == 3
+    assert kept_pairs(10, 5, [(k, k + 1) for k in range(9)]) == 8  # a chain is cut once
+    assert kept_pairs(5, 8, [(0, 0), (1, 2)]) == 2
+    assert kept_pairs(3, 1, [(0, 1)]) == kept_pairs(0, 4, []) == 0
+
+
+def test_a_full_graph_is_packed_in_linear_time():
+    n, size = 4096, 64
+    a, b = np.triu_indices(n, 1)
+    started = time.perf_counter()
+    batch, _ = batching.fill_batches(n, size, a, b)
+    assert time.perf_counter() - started < 1.0
+    assert (batch[a] == batch[b]).sum() == n // size * size * (size - 1) // 2  # the most there can be
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_random_graphs_are_packed_with_few_parted_pairs(seed):
+    rng = random.Random(seed)
+    n, size = rng.randint(1, 120), rng.randint(1, 20)
+    pairs = list({(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(0, n))})
+    kept = kept_pairs(n, size, pairs)
+    in_order = sum(a // size == b // size for a, b in pairs)
+    assert kept >= in_order
+
+
 def random_prompts(seed, n=40):
     rng = random.Random(seed)
     prompts = {}

@@ -5,9 +5,14 @@ from __future__ import annotations
 import contextlib
 import io
 import json
+import math
+import os
 import random
 import re
+import threading
+import time
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -94,10 +99,81 @@ def test_judging_gives_a_column_for_a_single_row(spark):
 
 
 def test_repartition_for_calls(spark):
-    df = spark.range(10)
-    assert scoring.repartition_for_calls(df).rdd.getNumPartitions() == 5
-    assert scoring.repartition_for_calls(df, 4, n_rows=9).rdd.getNumPartitions() == 2
-    assert scoring.repartition_for_calls(spark.range(1)).count() == 1
+    slots = spark.sparkContext.defaultParallelism
+    for n in (1, 10, 100_000):
+        assert scoring.repartition_for_calls(spark.range(n)).rdd.getNumPartitions() == 4 * slots
+    assert scoring.repartition_for_calls(spark.range(9), partitions=2).rdd.getNumPartitions() == 2
+    assert scoring.repartition_for_calls(spark.range(1), waves=1).count() == 1
+
+
+def test_a_factory_is_built_once_per_worker_process(spark, tmp_path):
+    """A hundred tasks on a few workers; a second call with the same state name builds nothing."""
+    notes, out = str(tmp_path / "built"), str(tmp_path / "pids")
+
+    def factory():
+        with open(notes, "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return lambda rows: [float(os.getpid())] * len(rows)
+
+    for _ in range(2):
+        df = spark.range(1000).repartition(100)
+        got = {int(r.reward) for r in scoring.score_responses(df, factory, state="once").distinct().collect()}
+        with open(out, "a") as f:
+            f.writelines(f"{pid}\n" for pid in got)
+    built = open(notes).read().split()
+    assert len(built) == len(set(built)) and set(built) >= set(open(out).read().split())
+
+
+def test_states_of_a_worker_are_few():
+    seen = []
+    for name in ("a", "b", "a", "c", "a", "b"):
+        scoring.worker_state(f"test {name}", lambda: seen.append(name))
+    assert seen == ["a", "b", "c", "b"]
+
+
+def frames_of(n, size):
+    return (pd.DataFrame({"x": range(i, min(i + size, n))}) for i in range(0, n, size))
+
+
+def test_calls_overlap_in_order_and_within_bounds():
+    lock, now, most = threading.Lock(), [0], [0]
+
+    def slow(rows):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.05 if rows["x"].iloc[0] % 3 else 0.1)
+        with lock:
+            now[0] -= 1
+        return rows["x"] * 2
+
+    started = time.time()
+    done = list(scoring.run_calls(slow, frames_of(80, 7), 2, scoring.Calls(in_flight=8)))
+    assert time.time() - started < 44 * 0.05 and most[0] == 8
+    assert [x for part, _ in done for x in part["x"]] == list(range(80))
+    assert [x for _, found in done for x in found] == [2 * x for x in range(80)]
+
+
+@pytest.mark.parametrize("in_flight", [1, 4])
+def test_a_failing_row_is_tried_again_alone(in_flight):
+    asked = []
+
+    def judge(rows):
+        asked.append(rows["x"].tolist())
+        if 5 in rows["x"].tolist() or (9 in rows["x"].tolist() and asked.count([9]) < 2):
+            raise OSError("no answer")
+        return rows["x"]
+
+    how = scoring.Calls(in_flight=in_flight, retries=2, pause=0.001, on_error=scoring.NULL)
+    done = list(scoring.run_calls(judge, frames_of(12, 4), None, how))
+    assert [x for _, found in done for x in found] == [0, 1, 2, 3, 4, None, 6, 7, 8, 9, 10, 11]
+    assert asked.count([5]) == 3 and asked.count([9]) == 2 and asked.count([4, 5, 6, 7]) == 1 and asked.count([6]) == 1
+    with pytest.raises(OSError):
+        list(scoring.run_calls(judge, frames_of(12, 4), None, scoring.Calls(in_flight=in_flight, retries=0)))
+    with pytest.raises(ValueError):
+        list(scoring.run_calls(lambda rows: [1], frames_of(3, 3), None, scoring.Calls()))
+    with pytest.raises(ValueError):
+        scoring.Calls(in_flight=0)
 
 
 def test_scores_to_samples(spark, samples):
@@ -135,9 +211,9 @@ def test_head_finds_the_direction(spark):
         better = 2 * a[0] - a[1] + noise > 2 * b[0] - b[1]
         rows.append((a, b) if better else (b, a))
     df = spark.createDataFrame(rows, "chosen_features array<double>, rejected_features array<double>")
-    model = head.fit_linear_reward_head(df)
-    w = [float(x) for x in model.coefficients]
-    assert model.intercept == 0.0
+    fit = head.fit_linear_reward_head(df)
+    w = fit.weights
+    assert fit.n_pairs == 300 and fit.gradient < 1e-8 and fit.bt_loss < math.log(2)
     assert w[0] / -w[1] == pytest.approx(2.0, rel=0.25) and abs(w[2]) < 0.3 * w[0]
     scored = df.select(
         F.lit("o").alias("origin"),
@@ -172,9 +248,9 @@ def plan_of(df) -> str:
     return text.getvalue()
 
 
-PYTHON = {"pack_batches_greedy", "score_responses_python"}
+PYTHON = {"pack_batches_greedy", "pack_batches_greedy_audit", "score_responses_python"}
 # These run jobs while the plan is built: the fit, and the scores written to the checkpoint folder.
-EAGER = {"fit_linear_reward_head", "evaluate_python_scorer"}
+EAGER = {"fit_linear_reward_head", "linear_head_audit", "evaluate_python_scorer", "evaluate_python_judge"}
 
 
 # Every node that runs Python on executors has one of these words in its name.
@@ -221,3 +297,21 @@ def test_head_is_fitted_on_every_vector(spark, tmp_path, monkeypatch, labels):
     both = len(set(labels)) == 2
     assert len(seen) == (20 if both else 0)
     assert {v for pair in seen for v in pair} == (set(range(23)) if both else set())
+
+
+def test_head_penalises_rewards(spark):
+    """Against plain gradient descent on the same objective; separable pairs stay finite."""
+    draw = np.random.default_rng(3)
+    c, r = draw.normal(0.3, 1, (200, 4)), draw.normal(0, 1, (200, 4))
+    df = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(c, r)], "chosen_features array<double>, rejected_features array<double>")
+    fit = head.fit_linear_reward_head(df.repartition(5), reg_coef=0.1, ridge=0.0)
+    w = np.zeros(4)
+    for _ in range(5000):
+        miss = 1 / (1 + np.exp((c - r) @ w))
+        w -= 0.3 * (-(miss @ (c - r)) / 200 + 0.2 * (c.T @ (c @ w) + r.T @ (r @ w)) / 400)
+    assert fit.weights == pytest.approx(w.tolist(), abs=1e-6) and fit.n_pairs == 200
+    assert fit.objective == pytest.approx(fit.bt_loss + 0.1 * np.mean(np.append(c @ w, r @ w) ** 2), abs=1e-6)
+    apart = spark.createDataFrame([([1.0], [0.0]), ([2.0], [0.0]), (None, [1.0])], df.schema)
+    found = head.fit_linear_reward_head(apart)
+    assert found.n_pairs == 2 and 1 < found.weights[0] < 100
+    assert head.fit_linear_reward_head(apart.limit(0)).weights == []
