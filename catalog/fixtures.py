@@ -6,7 +6,7 @@ because there is more data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefdeck.functions.text import content_id, tokens
@@ -169,6 +169,29 @@ def ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("batch").join(placed, "doc_id").withColumnRenamed("doc_id", "output_id")
 
 
+# --- F2b: documents as lines of JSON -------------------------------------------------------------
+
+
+def preference_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a line of JSON ``value``. Some lines are cut off, have annotations that are no
+    list, ranks that are no integer or name no response, or no prompt."""
+    doc = F.col("doc_id")
+
+    def quoted(value) -> Column:
+        return F.concat(F.lit('"'), value, F.lit('"'))
+
+    text_id = doc.cast("string")
+    prompt = F.concat(F.when(doc % 17 == 0, F.lit('"other"')).otherwise(F.lit('"input"')), F.lit(": "), quoted(F.concat_ws("/", "lang", "source")))
+    response = F.concat(F.lit('"responses": [{"id": '), quoted(text_id), F.lit(', "content": '), quoted(F.md5("text")), F.lit("}]"))
+    number = F.when(doc % 5 == 0, F.lit('"x"')).otherwise((doc % 3 + 1).cast("string"))
+    ghost = F.when(doc % 13 == 0, F.lit(', "ghost": 1')).otherwise(F.lit(""))
+    rank = F.concat(F.lit('"rank": {'), quoted(text_id), F.lit(": "), number, ghost, F.lit("}"))
+    notes = F.when(doc % 11 == 0, F.lit('"annotations": {"answer1": "x"}')).otherwise(F.lit('"annotations": [["a", "b", "1"]]'))
+    line = F.concat(F.lit("{"), F.concat_ws(", ", prompt, response, rank, notes), F.lit("}"))
+    cut = F.when(doc % 7 == 0, F.substring(line, 1, 10)).otherwise(line)
+    return table(spark, sf_dir, "documents").select("doc_id", cut.alias("value"))
+
+
 # --- F3: conversations --------------------------------------------------------------------------
 
 

@@ -348,6 +348,11 @@ _PLAIN = (
 
 _WEIGHTS = "[" + ", ".join(f"{(i - 31.5) / 64.0}::DOUBLE" for i in range(64)) + "]"
 
+LINE_DOCS = """
+line_docs AS (
+  SELECT doc_id, lang || '/' || source AS prompt, doc_id % 7 <> 0 AND doc_id % 11 <> 0 AS whole,
+         CASE WHEN doc_id % 13 = 0 THEN 2 ELSE 1 END AS n_ranks FROM documents)"""
+
 FEATURE_PAIRS = """
 vectors AS (SELECT vec_id, label >= 5 AS chosen, row_number() OVER (
     PARTITION BY label >= 5 ORDER BY vec_id) - 1 AS k FROM embeddings),
@@ -602,6 +607,38 @@ ORACLE: dict[str, str] = {
            FROM judged""",
     ),
     "judge_metrics": _bundle(JUDGE_TEXTS + "," + _per_question("judged"), _JUDGE_ROWS),
+    # lines of JSON
+    "records_from_lines": _with(
+        LINE_DOCS,
+        """SELECT doc_id, whole, CASE WHEN whole AND doc_id % 17 <> 0 THEN prompt END AS input,
+             CASE WHEN whole THEN 1 END AS n_responses, CASE WHEN whole THEN n_ranks END AS n_ranks,
+             CASE WHEN whole THEN '["a","b","1"]' END AS annotation FROM line_docs""",
+    ),
+    "invalid_lines": _with(
+        LINE_DOCS,
+        """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'not a record of the expected shape'
+             ELSE 'annotations is not a list' END AS reason FROM line_docs WHERE NOT whole""",
+    ),
+    "records_without_prompt": _with(LINE_DOCS, "SELECT doc_id FROM line_docs WHERE whole AND doc_id % 17 = 0"),
+    "invalid_ranks": _with(
+        LINE_DOCS,
+        """SELECT md5(prompt) AS input_key, CAST(doc_id AS VARCHAR) AS response_id, 'x' AS rank_text
+           FROM line_docs WHERE whole AND doc_id % 17 <> 0 AND doc_id % 5 = 0""",
+    ),
+    "unknown_rank_ids": _with(
+        LINE_DOCS,
+        """SELECT DISTINCT md5(prompt) AS input_key, 'ghost' AS response_id
+           FROM line_docs WHERE whole AND doc_id % 17 <> 0 AND doc_id % 13 = 0""",
+    ),
+    "scores_to_samples": _with(
+        SAMPLES,
+        """SELECT origin, input_id, output_id, CASE WHEN output_id % 2 = 0 THEN round(reward, 6) END AS reward
+           FROM samples""",
+    ),
+    "question_answer": """
+        SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer FROM conversations u
+        JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+        WHERE u.role = 'user' AND a.role = 'assistant'""",
     # batches
     "epoch_order": f"""
         SELECT o_orderkey AS input_id, row_number() OVER (ORDER BY

@@ -15,6 +15,8 @@ from prefdeck.functions.prompts import JUDGE_STYLES, render_judge_prompts
 from prefdeck.operators import batching, fuse, lengths, metrics, pairs, records, samples, scoring
 from prefdeck.plans import evaluate as evaluation
 from prefdeck.plans import head
+from prefdeck.schema import CORRUPT
+from prefdeck.sources import jsonl
 from prefdeck.plans.registry import JUDGE, SCORE, Predictor, Registry
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -402,6 +404,67 @@ def orphan_output_filter(spark, sf_dir):
     return kept.select("input_id", "output_id", "n_tokens")
 
 
+# --- lines of JSON ------------------------------------------------------------------------------
+
+
+def _line_records(spark, sf_dir):
+    """Records of the lines that are whole, each with its document's id as its place."""
+    read = jsonl.records_from_lines(fx.preference_lines(spark, sf_dir)).where(F.col(CORRUPT).isNull())
+    place = F.struct(F.lit(0).alias("path"), F.lit(0).cast("long").alias("block"), F.col("doc_id").alias("row"))
+    return read.withColumns({"origin": F.lit("lines"), "ord": place})
+
+
+@query
+def records_from_lines(spark, sf_dir):
+    read = jsonl.records_from_lines(fx.preference_lines(spark, sf_dir))
+    whole = F.col(CORRUPT).isNull()
+    return read.select(
+        "doc_id",
+        whole.alias("whole"),
+        F.when(whole, F.col("input")).alias("input"),
+        F.when(whole, F.size("responses")).alias("n_responses"),
+        F.when(whole, F.size("rank")).alias("n_ranks"),
+        F.when(whole, F.element_at("annotations", 1)).alias("annotation"),
+    )
+
+
+@query
+def invalid_lines(spark, sf_dir):
+    return jsonl.invalid_records(fx.preference_lines(spark, sf_dir)).select("doc_id", "reason")
+
+
+@query
+def records_without_prompt(spark, sf_dir):
+    return records.records_without_prompt(_line_records(spark, sf_dir)).select("doc_id")
+
+
+@query
+def invalid_ranks(spark, sf_dir):
+    found = records.invalid_ranks(records.normalize_records(_line_records(spark, sf_dir)))
+    return found.select("input_key", "response_id", "rank_text")
+
+
+@query
+def unknown_rank_ids(spark, sf_dir):
+    normalized = records.normalize_records(_line_records(spark, sf_dir))
+    fused = fuse.fuse_by_prompt(normalized)
+    return fuse.unknown_rank_ids(fused.ranks, fused.responses).select("input_key", "response_id")
+
+
+@query
+def scores_to_samples(spark, sf_dir):
+    every = fx.line_samples(spark, sf_dir)
+    scores = every.where("output_id % 2 = 0").select("origin", "input_id", "output_id", "reward")
+    joined = scoring.scores_to_samples(every.drop("reward"), scores)
+    return _round(joined.select("origin", "input_id", "output_id", "reward"), "reward")
+
+
+@query
+def question_answer(spark, sf_dir):
+    question, answer = text.question_answer("question", "answer")
+    return fx.chat_turns(spark, sf_dir).select("conv_id", "turn", question, answer)
+
+
 # --- judge path ---------------------------------------------------------------------------------
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,12 +43,33 @@ def write_metrics_document(metrics: DataFrame, path: str, mode: str = "error") -
     document.coalesce(1).write.mode(mode).text(path)
 
 
-def export_training_batches(batches: DataFrame, path: str, epoch: int, mode: str = "error") -> None:
+def export_training_batches(batches: DataFrame, path: str, epoch: int, mode: str = "error", n_files: int | None = None) -> None:
     """Write packed and padded batches to parquet in the folder ``epoch=<epoch>`` below ``path``.
 
-    ``mode`` concerns that folder alone: no epoch can touch another. A batch is in one file, its rows
-    in a row, batches in order inside each file.
+    ``mode`` concerns that folder alone: no epoch can touch another. Files in the order of their
+    names hold batches in order, a batch lies in one file, and its rows follow their slots: batches
+    are range-partitioned by number, into ``n_files`` or as many as Spark finds fit. A manifest beside the data (``_manifest/epoch=<epoch>``) has a
+    row per file: ``file, first_batch, last_batch, n_rows``; :func:`read_training_batches` uses it.
     """
+    root, spark = path.rstrip("/"), batches.sparkSession
     order = [c for c in ("batch_id", "slot") if c in batches.columns]
-    kept_together = batches.repartition("batch_id").sortWithinPartitions(*order)
-    kept_together.write.mode(mode).parquet(f"{path.rstrip('/')}/epoch={epoch}")
+    ranged = batches.repartitionByRange(*([n_files] if n_files else []), "batch_id").sortWithinPartitions(*order)
+    ranged.write.mode(mode).parquet(f"{root}/epoch={epoch}")
+    written = spark.read.parquet(f"{root}/epoch={epoch}")
+    manifest = written.groupBy(F.col("_metadata.file_name").alias("file")).agg(
+        F.min("batch_id").alias("first_batch"), F.max("batch_id").alias("last_batch"), F.count("*").alias("n_rows")
+    )
+    manifest.write.mode("overwrite").parquet(f"{root}/_manifest/epoch={epoch}")
+
+
+def read_training_batches(spark: SparkSession, path: str, epoch: int, from_batch: int = 0) -> DataFrame:
+    """The exported batches of an epoch from ``from_batch`` on, as after a stop: only the files that hold
+    such batches are opened."""
+    root = path.rstrip("/")
+    manifest = spark.read.parquet(f"{root}/_manifest/epoch={epoch}")
+    files = [r["file"] for r in manifest.where(F.col("last_batch") >= from_batch).orderBy("first_batch").select("file").collect()]
+    every = spark.read.parquet(f"{root}/epoch={epoch}")
+    if not files:
+        return every.limit(0)
+    chosen = spark.read.schema(every.schema).parquet(*[f"{root}/epoch={epoch}/{unquote(f)}" for f in files])
+    return chosen.where(F.col("batch_id") >= from_batch)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from prefdeck.functions.arrays import expand_label_rows, pad_batch
 from prefdeck.operators import batching, lengths
 from prefdeck.operators.pairs import PAIR_KEY
-from prefdeck.sources.sinks import export_training_batches
+from prefdeck.sources.sinks import export_training_batches, read_training_batches
 
 SAMPLES = "origin string, input_id bigint, output_id int, n_tokens int, reward double"
 LABELS = "origin string, input_id bigint, chosen_id int, rejected_id int"
@@ -183,3 +183,24 @@ def test_export_round_trip(spark, tmp_path):
     expanded = {(r.input_id, r.chosen_id, r.rejected_id) for r in expand_label_rows(back).collect()}
     inside = batching.in_batch_pairs(batches, labels).collect()
     assert expanded == {(r.input_id, r.chosen_id, r.rejected_id) for r in inside}
+
+
+def test_exported_batches_are_in_order_and_an_epoch_resumes(spark, tmp_path):
+    samples, labels = frames(spark, random_prompts(4, n=300))
+    batches = batching.pack_batches_greedy(samples, labels, 8).repartition(9)
+    path = str(tmp_path / "run")
+    export_training_batches(batches, path, epoch=1, n_files=5)
+    read = spark.read.parquet(f"{path}/epoch=1")
+    rows = read.select("batch_id", "slot", "_metadata.file_name", F.monotonically_increasing_id().alias("at")).collect()
+    in_files = [(r.batch_id, r.slot) for r in sorted(rows, key=lambda r: (r.file_name, r.at))]
+    assert in_files == sorted(in_files)
+    last = max(b for b, _ in in_files)
+    manifest = spark.read.parquet(f"{path}/_manifest/epoch=1").orderBy("file").collect()
+    assert sum(m.n_rows for m in manifest) == len(rows) and len(manifest) > 1
+    assert all(a.last_batch < b.first_batch for a, b in zip(manifest, manifest[1:]))
+    for k in (0, 1, last // 2, last, last + 1):
+        found = read_training_batches(spark, path, 1, k)
+        assert sorted((r.batch_id, r.slot) for r in found.collect()) == [x for x in in_files if x[0] >= k]
+        opened = found.select("_metadata.file_name").distinct().count()
+        assert opened == sum(m.last_batch >= k for m in manifest)
+    assert spark.read.parquet(path).count() == len(rows)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -248,3 +250,48 @@ def test_files_of_a_glob_are_numbered_apart_and_in_name_order(spark, tmp_path):
     assert chunks.count() == 5
     ids = samples.assign_input_ids(fused.inputs).select("input", "input_id").collect()
     assert {r["input"]: r["input_id"] for r in ids} == {f"q{i}": i for i in range(5)}
+
+
+def test_thousands_of_listed_paths_are_one_scan(spark, tmp_path):
+    """Order follows the list, a path listed twice counts twice, names need no quoting."""
+    names = [f"part {k % 7}-{k}.jsonl" for k in range(2000)]
+    for k, name in enumerate(names):
+        (tmp_path / name).write_text(json.dumps({"input": f"q{k}"}) + "\n\n")
+    draw = random.Random(1)
+    listed = [str(tmp_path / n) for n in names]
+    draw.shuffle(listed)
+    listed.append(listed[0])
+    started = time.time()
+    df = jsonl.read_preferences(spark, listed, "o")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert time.time() - started < 30
+    assert plan.count("FileScan text") == 1 and "Union" not in plan
+    got = [r.input for r in df.select("input", "ord.path").orderBy("path").collect()]
+    assert got == ["q" + name.rpartition("-")[2].removesuffix(".jsonl") for name in listed]
+
+
+def test_sets_folders_and_globs_share_one_scan(spark, tmp_path):
+    for folder in ("a.jsonl", "b.jsonl"):
+        (tmp_path / folder).mkdir()
+        for k in range(2):
+            (tmp_path / folder / f"{k}.jsonl").write_text(json.dumps({"input": f"{folder[0]}{k}"}) + "\n")
+    one, both = str(tmp_path / "a.jsonl" / "1.jsonl"), str(tmp_path / "*" / "*.jsonl")
+    df = jsonl.read_named_sets(spark, {"first": [one, str(tmp_path / "b.jsonl")], "all": both, "uri": f"file://{one}"})
+    got = sorted((r.origin, r.path, r.input) for r in df.select("origin", "ord.path", "input").collect())
+    assert got == [
+        ("all", 0, "a0"), ("all", 0, "a1"), ("all", 0, "b0"), ("all", 0, "b1"),
+        ("first", 0, "a1"), ("first", 1, "b0"), ("first", 1, "b1"), ("uri", 0, "a1"),
+    ]
+
+
+def test_broken_lines_are_found_whatever_is_read(spark):
+    lines = ['{"input": "a", "rank": {"1": 2}}', '{"input": "b"', "", '{"input": "c", "annotations": {"x": 1}}', "[1]", '{"input": 5}']
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "n int, line string")
+    read = jsonl.records_from_lines(df, "line")
+    assert [r.n for r in read.where("_corrupt_record IS NOT NULL").select("n").orderBy("n").collect()][0] == 1
+    assert {r.n: r.reason for r in jsonl.invalid_records(df, "line").collect()} == {
+        1: "not a record of the expected shape", 3: "annotations is not a list", 4: "not a record of the expected shape"
+    }
+    assert read.where("n = 0").first().rank == {"1": "2"} and read.where("n = 5").first().input == "5"
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        jsonl.records_from_lines(df.where("n = 1"), "line", strict=True).collect()
