@@ -53,36 +53,12 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def pagerank(
-    edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, name: str
-) -> DataFrame:
-    """Personalised PageRank ``node, <name>`` from weighted ``seeds (node, seed)`` over weighted
-    edges ``(u, v, weight)``.
-
-    Rank of nodes without out-links returns to the seeds. A round joins ranks to edges on the
-    source and sums by target, map-side first; it is written to the shared folder, which keeps the
-    plan short. Nodes without rank have no row. Without seeds there are no rows.
-    """
-    total = seeds.agg(F.sum("seed").alias("t")).scalar()
-    start = stored(seeds.where("seed > 0").select("node", (F.col("seed") / total).alias("seed")))
-    out = edges.groupBy("u").agg(F.sum("weight").alias("out"))
-    shares = stored(edges.join(out, "u").select("u", "v", (F.col("weight") / F.col("out")).alias("share")))
-    ranks = start.select("node", F.col("seed").alias("rank"))
-    for _ in range(rounds):
-        moved = (
-            ranks.join(shares, ranks["node"] == shares["u"])
-            .select(F.col("v").alias("node"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        )
-        kept = F.coalesce(moved.agg(F.sum("rank").alias("k")).scalar(), F.lit(0.0))
-        back = start.select("node", (F.col("seed") * (F.lit(1.0) - kept)).alias("rank"))
-        ranks = stored(moved.unionByName(back).groupBy("node").agg(F.sum("rank").alias("rank")))
-    return ranks.select("node", F.col("rank").alias(name))
-
-
 def settled_pagerank(edges: DataFrame, seeds: DataFrame, damping: float, name: str, settled: float = SETTLED) -> DataFrame:
-    """The ranks that ``pagerank`` comes to with ever more rounds, on the same tables.
+    """Personalised PageRank ``node, <name>`` from weighted ``seeds (node, seed)`` over weighted ``edges (u,
+    v, weight)``. Rank of nodes without out-links returns to the seeds. Nodes that seeds don't reach
+    have no row; without seeds there are none.
 
-    They are the sum of what the seeds pass on over 0, 1, 2... links, scaled to 1. A round adds one
+    Ranks are the sum of what the seeds pass on over 0, 1, 2... links, scaled to 1. A round adds one
     link, so links without cycles are done after the longest path. Otherwise rounds follow until the
     ranks change by less than ``settled`` in sum (of 1) and no node gains its first rank: each node
     that seeds reach has one, however far.

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefdeck.llm.common import stored
-from prefdeck.llm.graph import pagerank, settled_pagerank
+from prefdeck.llm.graph import settled_pagerank
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -72,7 +72,6 @@ def judge_urls(
     pages: DataFrame,
     rules: Sequence[Rule],
     damping: float = 0.85,
-    rounds: int | None = None,
     tolerance: float = 1.0,
     id_col: str = "page_id",
     url_col: str = "url",
@@ -84,8 +83,8 @@ def judge_urls(
     fits, along links; distrust is PageRank from hosts with blocked pages, against links (who links
     to bad hosts is doubtful). Each seed weighs as many pages as its rules fit. A host is blocked if
     its distrust exceeds ``tolerance`` times its trust; hosts that neither reaches are allowed.
-    Distrust alone is thus enough to block a host without trust. Ranks are settled (see ``settled_pagerank``)
-    unless ``rounds`` bounds them: then neither reaches a host that is more links away.
+    Distrust alone is thus enough to block a host without trust. Ranks are settled, see
+    ``settled_pagerank``.
 
     A NULL url, or one without '://', has an empty host and path and is allowed unless a rule fits.
     NULL html has no links. Repeated rows (NULL ids too) each give a row; other columns are ignored;
@@ -106,9 +105,7 @@ def judge_urls(
         return seeds.where(F.col("verdict") == verdict).select(F.col("host").alias("node"), "seed")
 
     def ranks(edges: DataFrame, verdict: str, name: str) -> DataFrame:
-        if rounds is None:
-            return settled_pagerank(edges, seeded(verdict), damping, name)
-        return pagerank(edges, seeded(verdict), damping, rounds, name)
+        return settled_pagerank(edges, seeded(verdict), damping, name)
 
     trust = ranks(links, "allow", "trust")
     back = links.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight")

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from prefdeck.llm.url_filters import host_of
 CRLF = "\r\n"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 MERGE_ROWS = 100_000  # index entries that a merging task holds
+READ_AHEAD = 64  # entries of a run that are Python objects at a time
 RECORD = "urn:prefdeck:page:"
 _HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -183,8 +185,10 @@ def merge_runs(entries: DataFrame) -> DataFrame:
     """Index entries in the order of (url key, capture time, id), over the whole result.
 
     Each task sorts its entries: a run, stored with its number. Ranges of the order are then dealt
-    out, each small enough for a task, also inside one url key; a task merges its parts of all runs
-    in a loser tree and streams the result.
+    out, each small enough for a task, also inside one url key; Spark hands a task its slices of the
+    runs one behind the other, each in order, by an external sort. The slices stay in Arrow columns;
+    a loser tree merges them through iterators, which hold a few entries of each run, and streams the
+    result.
     """
     key = ["url_key", "captured_s", "id", "payload_digest"]
     runs = stored(
@@ -192,17 +196,23 @@ def merge_runs(entries: DataFrame) -> DataFrame:
     )
     n = max(1, -(-runs.count() // MERGE_ROWS), int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
+    def entries_of(slices: list[pa.RecordBatch]) -> Iterator[tuple[Any, tuple]]:
+        for rows in slices:
+            for at in range(0, rows.num_rows, READ_AHEAD):
+                part = rows.slice(at, READ_AHEAD)
+                for e in zip(*(column.to_pylist() for column in part.columns)):
+                    yield (e[0], e[1], e[2] is not None, e[2] or 0, e[6]), e
+
     def merge(batches):
-        parts: dict[int, list[tuple]] = {}
+        slices: dict[int, list[pa.RecordBatch]] = {}
         for rows in batches:
-            columns = [rows.column(i).to_pylist() for i in range(len(_ENTRY))]
-            for entry in zip(*columns):
-                parts.setdefault(entry[-1], []).append(entry)
-        order = lambda e: (e[0], e[1], e[2] is not None, e[2] or 0, e[6])
-        # A run comes in its order; sorting it again costs one pass and makes that certain.
-        tree = LoserTree(((order(e), e) for e in sorted(parts[r], key=order)) for r in sorted(parts))
+            run = rows.column(len(_ENTRY) - 1).to_numpy()
+            edges = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(run)]
+            for low, high in zip(edges[:-1], edges[1:]):
+                if high > low:
+                    slices.setdefault(int(run[low]), []).append(rows.slice(low, high - low))
         held = []
-        for entry in tree:
+        for entry in LoserTree(entries_of(slices[r]) for r in sorted(slices)):
             held.append(entry)
             if len(held) == 10_000:
                 yield batch(_ENTRY, *map(list, zip(*held)))
@@ -210,7 +220,8 @@ def merge_runs(entries: DataFrame) -> DataFrame:
         if held:
             yield batch(_ENTRY, *map(list, zip(*held)))
 
-    return map_arrow(runs.repartitionByRange(n, *key), merge, ENTRY)
+    ranged = runs.repartitionByRange(n, *key).sortWithinPartitions("run", *key)
+    return map_arrow(ranged, merge, ENTRY)
 
 
 def archive_pages(
