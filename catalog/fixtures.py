@@ -255,7 +255,8 @@ def judge_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number, value in enumerate(plain):
         text = F.when(kind == number, value).otherwise(text)
     digit = (F.col("user_id") % 4).cast("string")
-    json_kind = F.col("event_id") % 9
+    json_kind = F.col("event_id") % 12
+    wide_digit = F.translate(digit, "0123", "０１２３")
     forms = [
         F.col("props"),
         F.concat(F.lit('{"k": "'), digit, F.lit('"}')),
@@ -266,6 +267,9 @@ def judge_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"k": true}'),
         F.concat(F.lit('[{"k": '), digit, F.lit("}]")),
         F.concat(F.lit('{"k": "'), digit, F.lit('.0"}')),
+        F.concat(F.lit('{"k": 3, "k": '), digit, F.lit("}")),
+        F.concat(F.lit('{"k": '), digit, F.lit('}{"k": '), digit, F.lit("}")),
+        F.concat(F.lit('{"k": "'), wide_digit, F.lit('"}')),
     ]
     json_text = F.lit(None).cast("string")
     for number, form in enumerate(forms):

@@ -598,8 +598,8 @@ ORACLE: dict[str, str] = {
         JUDGE_TEXTS,
         """SELECT event_id, CASE
              WHEN n = 1 THEN 'A' WHEN n = 2 THEN 'B' ELSE 'error' END AS judgment
-           FROM (SELECT event_id, CASE event_id % 9 WHEN 0 THEN k WHEN 1 THEN digit WHEN 2 THEN digit
-                   WHEN 5 THEN digit WHEN 6 THEN 1 END AS n FROM judged)""",
+           FROM (SELECT event_id, CASE event_id % 12 WHEN 0 THEN k WHEN 1 THEN digit WHEN 2 THEN digit
+                   WHEN 5 THEN digit WHEN 6 THEN 1 WHEN 9 THEN digit WHEN 11 THEN digit END AS n FROM judged)""",
     ),
     "score_judgments": _with(
         JUDGE_TEXTS,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -16,6 +18,11 @@ JSON_REASON_KEY = "原因"
 JSON_CHOICE_KEY = "更好的回答"
 
 
+# All decimal digits beyond ASCII, in the order of their code points, and the ASCII digits they stand for.
+OTHER_DIGITS = "".join(c for c in map(chr, range(128, sys.maxunicode)) if unicodedata.category(c) == "Nd")
+SAME_DIGITS = "".join(str(unicodedata.decimal(c)) for c in OTHER_DIGITS)
+
+
 def _verdict(is_a: Column, is_b: Column) -> Column:
     """A wins over B when both hold; NULL text is an error."""
     return F.when(is_a, F.lit("A")).when(is_b, F.lit("B")).otherwise(F.lit("error"))
@@ -41,9 +48,10 @@ def _once(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def _chosen_number(found: Column) -> Column:
     """The integer a JSON value of ``(kind, as_text)`` stands for: numbers are cut towards zero,
-    booleans are 0 or 1, strings must be integer literals; NULL otherwise."""
+    booleans are 0 or 1, strings must be integer literals in decimal digits of any script; NULL otherwise."""
     kind, as_text = found["kind"], found["as_text"]
-    literal = F.regexp_extract(strip(as_text), r"^(?:[+-]?[0-9]+(?:_[0-9]+)*)$", 0)
+    ascii_text = F.translate(strip(as_text), OTHER_DIGITS, SAME_DIGITS)
+    literal = F.regexp_extract(ascii_text, r"^(?:[+-]?[0-9]+(?:_[0-9]+)*)$", 0)
     number = as_text.try_cast("double")
     return (
         F.when(kind == "BOOLEAN", F.when(as_text == "true", 1).otherwise(0))
@@ -89,7 +97,11 @@ VERDICT_STYLES = ("bracket", "bracket_explain", "json_choice", "exact_choice", "
 def parse_verdict(
     text: Column | str, style: str = "bracket", choice_key: str = JSON_CHOICE_KEY
 ) -> Column:
-    """The verdict in ``text`` under the answer format ``style``."""
+    """The verdict in ``text`` under the answer format ``style``.
+
+    ``json_choice`` wants one JSON object and nothing else. Of equal keys the last one counts, in a
+    session that :func:`prefdeck.configure` has set up; without its settings they are an error.
+    """
     column = F.col(text) if isinstance(text, str) else text
     if style in ("bracket", "bracket_explain"):
         return _bracket(column)

@@ -7,13 +7,15 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings only, so they can be applied to a session somebody else created.
-# forceOptimizeSkewedJoin lets AQE split a hot join key even where that costs one more shuffle.
+# forceOptimizeSkewedJoin lets AQE split a hot join key even where that costs one more shuffle;
+# with allowDuplicateKeys the last of equal keys of a JSON object counts.
 SQL_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

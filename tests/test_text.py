@@ -32,6 +32,9 @@ def test_strip_removes_all_unicode_whitespace(spark):
         ('{"k": 1}{"k": 2}', "error"), ('{"k": 1},{"k": 2}', "error"), ('{"j": 1}', "error"),
         ('{"k": {"k": 1}}', "error"), ('{"k": false}', "error"), ('{"k": "+1"}', "A"),
         ('{"k": -1}', "error"), ('{"k": 1e400}', "error"), ("", "error"), (None, "error"), ("1", "error"),
+        ('{"k": 2, "k": 1}', "A"), ('{"k": 1, "k": 3}', "error"), ('{"r": {"x": 1, "x": 2}, "k": 2}', "B"),
+        ('{"k": "１"}', "A"), ('{"k": "٢"}', "B"), ('{"k": "𝟐"}', "B"), ('{"k": １}', "error"), ('{"k": "²"}', "error"),
+        ('{"k": 1}}, {"k": 2}', "error"), ('{"k": 1}],[{}', "error"),
         ('{"k": 99999999999999999999}', "error"), ('{"k": "99999999999999999999"}', "error"),
     ],
 )
