@@ -518,19 +518,25 @@ ORACLE: dict[str, str] = {
         RECORDS, "SELECT md5(p) AS input_key, rid AS response_id, output_id FROM outid"
     ),
     "category_dictionary": _with(RECORDS, "SELECT category, category_id FROM cats"),
-    "explode_responses": _with(
-        RECORDS,
-        """SELECT input_id, output_id, r.p AS input, output, i.category, category_id, rank, sys_prompt
+    **dict.fromkeys(
+        ["explode_responses", "stored_samples"],
+        _with(
+            RECORDS,
+            """SELECT input_id, output_id, r.p AS input, output, i.category, category_id, rank, sys_prompt
            FROM resp r JOIN outid o ON o.p = r.p AND o.rid = r.rid
            JOIN inid n ON n.p = r.p JOIN inputs i ON i.p = r.p
            LEFT JOIN cats c ON c.category = i.category
            LEFT JOIN ranks k ON k.p = r.p AND k.rid = r.rid""",
+        ),
     ),
-    "index_labels": _with(
-        RECORDS,
-        """SELECT md5(a.p) AS input_key, c.output_id AS chosen_id, r.output_id AS rejected_id
+    **dict.fromkeys(
+        ["index_labels", "stored_labels"],
+        _with(
+            RECORDS,
+            """SELECT md5(a.p) AS input_key, c.output_id AS chosen_id, r.output_id AS rejected_id
            FROM ann a JOIN outid c ON c.p = a.p AND c.rid = a.id_1
            JOIN outid r ON r.p = a.p AND r.rid = a.id_2 WHERE a.preference = '1'""",
+        ),
     ),
     "unknown_label_ids": _with(
         RECORDS,
@@ -581,6 +587,23 @@ ORACLE: dict[str, str] = {
              SELECT 1 FROM usable u WHERE u.input_id = k.input_id
                AND (u.chosen_id = k.output_id OR u.rejected_id = k.output_id))""",
     ),
+    **dict.fromkeys(
+        ["length_path_truncated", "length_path_truncated_column"],
+        f"""WITH {TURNS}
+            SELECT input_id, output_id, CAST(least(n_tokens, {MAX_TOKENS}) AS INTEGER) AS n_tokens,
+              array_to_string(ids[greatest(n_tokens - {MAX_TOKENS} + 1, 1):], ' ') AS ids
+            FROM turns""",
+    ),
+    "length_path_dropped": _with(
+        CHAT_LABELS,
+        """SELECT input_id, output_id, n_tokens,
+             array_to_string(ids, ' ') AS ids FROM kept k WHERE EXISTS (
+             SELECT 1 FROM usable u WHERE u.input_id = k.input_id
+               AND (u.chosen_id = k.output_id OR u.rejected_id = k.output_id))""",
+    ),
+    "length_path_dropped_labels": _with(
+        CHAT_LABELS, "SELECT input_id, chosen_id, rejected_id FROM usable"
+    ),
     # judge path
     "judge_pairs": _with(RANKED_DOCS, "SELECT * FROM dpairs"),
     "swap_positions": _with(

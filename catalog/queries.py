@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -16,8 +18,9 @@ from prefdeck.operators import batching, fuse, lengths, metrics, pairs, records,
 from prefdeck.plans import evaluate as evaluation
 from prefdeck.plans import head
 from prefdeck.schema import CORRUPT
-from prefdeck.sources import jsonl
 from prefdeck.plans.registry import JUDGE, SCORE, Predictor, Registry
+from prefdeck.session import shared_folder
+from prefdeck.sources import jsonl, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -160,8 +163,8 @@ def calibration_curve(spark, sf_dir):
 def expected_calibration_error(spark, sf_dir):
     by = ["origin", "category"]
     rows = _pairs(spark, sf_dir)
-    curve = metrics.calibration_curve(rows, by)
-    return _round(metrics.expected_calibration_error(curve, by, pairs=rows), "ece")
+    curve = metrics.calibration_curve(rows, by, outside=True)
+    return _round(metrics.expected_calibration_error(curve, by), "ece")
 
 
 @query
@@ -300,6 +303,25 @@ def explode_responses(spark, sf_dir):
     )
 
 
+def _stored(spark, sf_dir):
+    fused = fuse.fuse_by_prompt(fx.normalized_documents(spark, sf_dir))
+    return store.write_fused(fused, f"{shared_folder(spark)}/fused-{uuid.uuid4().hex}", buckets=8)
+
+
+@query
+def stored_samples(spark, sf_dir):
+    return _stored(spark, sf_dir).samples.select(
+        "input_id", "output_id", "input", "output", "category", "category_id", "rank", "sys_prompt"
+    )
+
+
+@query
+def stored_labels(spark, sf_dir):
+    kept = _stored(spark, sf_dir)
+    keys = kept.samples.select("input_id", "input_key").distinct()
+    return kept.labels.join(keys, "input_id").select("input_key", "chosen_id", "rejected_id")
+
+
 @query
 def index_labels(spark, sf_dir):
     annotations = records.all_annotations(fx.normalized_documents(spark, sf_dir))
@@ -404,6 +426,54 @@ def orphan_output_filter(spark, sf_dir):
     return kept.select("input_id", "output_id", "n_tokens")
 
 
+def _word_sizes():
+    """A tokenizer in Python: the id of a word is its length less two."""
+    return lambda texts: [[len(word) - 2 for word in re.split("[\t-\r ]+", text) if word] for text in texts]
+
+
+def _length_path(spark, sf_dir, tokenizer, truncation):
+    return lengths.apply_length_path(
+        fx.chat_samples(spark, sf_dir),
+        fx.chat_labels(spark, sf_dir),
+        MAX_TOKENS,
+        pairs.PAIR_KEY,
+        truncation,
+        tokenizer,
+    )
+
+
+def _word_sizes_column():
+    return F.transform(text.tokens("text"), lambda word: F.length(word) - 2)
+
+
+def _with_ids(kept):
+    return kept.select("input_id", "output_id", "n_tokens", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("ids"))
+
+
+@query
+def length_path_truncated(spark, sf_dir):
+    kept, _ = _length_path(spark, sf_dir, _word_sizes, True)
+    return _with_ids(kept)
+
+
+@query
+def length_path_truncated_column(spark, sf_dir):
+    kept, _ = _length_path(spark, sf_dir, _word_sizes_column(), True)
+    return _with_ids(kept)
+
+
+@query
+def length_path_dropped(spark, sf_dir):
+    kept, _ = _length_path(spark, sf_dir, _word_sizes, False)
+    return _with_ids(kept)
+
+
+@query
+def length_path_dropped_labels(spark, sf_dir):
+    _, usable = _length_path(spark, sf_dir, _word_sizes, False)
+    return usable.drop("origin")
+
+
 # --- lines of JSON ------------------------------------------------------------------------------
 
 

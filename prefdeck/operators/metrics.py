@@ -259,15 +259,17 @@ def calibration_curve(
     by: Sequence[str] = ("origin",),
     n_bins: int = 5,
     max_diff: float | None = None,
+    outside: bool = False,
 ) -> DataFrame:
     """Per equal-width bin of ``|chosen - rejected|``: accuracy, mean difference and count.
 
-    Empty bins are left out; pairs are folded to one row per (group, bin) on the map side.
+    Empty bins are left out; pairs are folded to one row per (group, bin) on the map side. With
+    ``outside`` a row with a NULL bin holds the pairs outside all bins, so every group has a row.
     """
     by = list(by)
+    binned = _binned(pairs, by, n_bins, max_diff)
     return (
-        _binned(pairs, by, n_bins, max_diff)
-        .where(F.col("bin").isNotNull())
+        (binned if outside else binned.where(F.col("bin").isNotNull()))
         .groupBy(*by, "bin")
         .agg(
             F.avg("right").alias("accuracy"),
@@ -281,23 +283,15 @@ def _sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
-def expected_calibration_error(
-    curve: DataFrame, by: Sequence[str] = ("origin",), pairs: DataFrame | None = None
-) -> DataFrame:
-    """Count-weighted mean of |accuracy - sigmoid(mean difference)|.
+def expected_calibration_error(curve: DataFrame, by: Sequence[str] = ("origin",)) -> DataFrame:
+    """Count-weighted mean of |accuracy - sigmoid(mean difference)| over the bins.
 
-    A group whose differences are all 0 has no bins and so no row in ``curve``; with ``pairs`` it
-    gets its row here, with an error of 0.
+    A group whose differences are all 0 has no bins and so no row in a plain curve; in one made with
+    ``outside=True`` it has, and its error is 0. Pairs outside all bins have no weight.
     """
     gap = F.abs(F.col("accuracy") - _sigmoid(F.col("mean_diff")))
-    errors = curve.groupBy(*by).agg(
-        (F.sum(gap * F.col("n_pairs")) / F.sum("n_pairs")).alias("ece")
-    )
-    if pairs is None:
-        return errors
-    return _for_groups(pairs.select(*by).distinct(), errors, by).withColumn(
-        "ece", F.coalesce("ece", F.lit(0.0))
-    )
+    inside = F.when(F.col("bin").isNotNull(), F.col("n_pairs"))
+    return curve.groupBy(*by).agg(F.coalesce(F.sum(gap * inside) / F.sum(inside), F.lit(0.0)).alias("ece"))
 
 
 def _for_groups(groups: DataFrame, facts: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -363,14 +357,18 @@ def metric_rows(
     by: Sequence[str] = ("origin",),
     n_bins: int = 5,
     floor_rows: int = HOT_FLOOR_ROWS,
+    ranked_origins: DataFrame | None = None,
 ) -> DataFrame:
     """All metrics that apply, long, one set per group of ``by``. A group without usable pairs has
-    NULL for the metrics of pairs."""
+    NULL for the metrics of pairs; with ``ranked_origins`` only these origins have metrics of ranks."""
     by = list(by)
     stats = reward_stats(scores, by)
     parts = [_long(stats, by)]
     if with_ranks:
-        parts.append(_long(rank_metrics(rank_counts(scores, floor_rows), by), by))
+        ranked = rank_metrics(rank_counts(scores, floor_rows), by)
+        if ranked_origins is not None:
+            ranked = ranked.join(ranked_origins, "origin", "left_semi")
+        parts.append(_long(ranked, by))
     if labels is not None:
         summary = pair_summary(build_pairs(labels, scores), by, n_bins)
         parts.append(_long(_for_groups(stats.select(*by), summary, by), by))
@@ -431,10 +429,13 @@ def metric_bundle(
     skip_undefined: bool = False,
     n_bins: int = 5,
     floor_rows: int = HOT_FLOOR_ROWS,
+    ranked_origins: DataFrame | None = None,
 ) -> DataFrame:
     """The whole bag. With categories the un-suffixed metrics are the category means; origins that
     lack categories have their plain metrics instead."""
-    options = dict(labels=labels, with_ranks=with_ranks, n_bins=n_bins, floor_rows=floor_rows)
+    options = dict(
+        labels=labels, with_ranks=with_ranks, n_bins=n_bins, floor_rows=floor_rows, ranked_origins=ranked_origins
+    )
     if not with_categories:
         return metric_rows(scores, by=["origin"], **options).select(
             "origin", F.lit(None).cast("string").alias("category"), "metric", "value"
@@ -460,13 +461,9 @@ def train_eval_metrics(
         .where(~F.col("_lacks"))
         .select("origin")
     )
-    plain = metric_bundle(
-        scores, labels, with_ranks=False, with_categories=with_categories, floor_rows=floor_rows
+    return metric_bundle(
+        scores, labels, with_categories=with_categories, floor_rows=floor_rows, ranked_origins=complete
     )
-    ranked = metric_bundle(
-        scores, with_ranks=True, with_categories=with_categories, floor_rows=floor_rows
-    ).where(F.col("metric").endswith("-rank"))
-    return plain.unionByName(ranked.join(complete, "origin", "left_semi"))
 
 
 def overall_score(metrics: DataFrame) -> DataFrame:

@@ -121,7 +121,7 @@ def run_calls(
             yield done, future.result()
 
 
-def _map_batches(
+def map_batches(
     df: DataFrame,
     column: str,
     kind: T.DataType,
@@ -132,6 +132,7 @@ def _map_batches(
     profile: ResourceProfile | None,
     calls: Calls | None,
 ) -> DataFrame:
+    """The columns ``keep`` and, as ``column``, what the state that ``factory`` builds answers per row."""
     kept = df.columns if keep is None else list(keep)
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(column, kind)])
     name, how = state or uuid.uuid4().hex, calls or Calls()
@@ -174,7 +175,7 @@ def score_responses(
     """
     if isinstance(scorer, Column):
         return samples.select(*(samples.columns if keep is None else keep), scorer.cast("double").alias("reward"))
-    return _map_batches(samples, "reward", T.DoubleType(), scorer, batch_size, keep, state, profile, calls)
+    return map_batches(samples, "reward", T.DoubleType(), scorer, batch_size, keep, state, profile, calls)
 
 
 def judge_responses(
@@ -190,7 +191,7 @@ def judge_responses(
     :func:`score_responses`."""
     if isinstance(judge, Column):
         return pairs.select(*(pairs.columns if keep is None else keep), judge.cast("string").alias("judge_text"))
-    return _map_batches(pairs, "judge_text", T.StringType(), judge, batch_size, keep, state, profile, calls)
+    return map_batches(pairs, "judge_text", T.StringType(), judge, batch_size, keep, state, profile, calls)
 
 
 def scores_to_samples(samples: DataFrame, scores: DataFrame) -> DataFrame:

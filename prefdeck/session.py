@@ -25,21 +25,26 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession, fallback_dir: str | None = None) -> str:
+    """The folder that all executors share: the one in ``spark.checkpoint.dir``, else ``fallback_dir``.
+    Without either, a local session gets a temporary folder; on a cluster it is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or fallback_dir
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="prefdeck-")
+
+
 def materialize(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
     """Write ``df`` once to the cluster's shared checkpoint folder and read it back from there.
 
     Used where something expensive (a model call) feeds several branches of a plan: computed per
     branch, an answer that differs from call to call would go into different metrics. The folder is
-    the one the session names in ``spark.checkpoint.dir``; ``fallback_dir`` is only taken if that
-    is unset. Without either, a local session gets a temporary folder; on a cluster it is an error.
+    that of :func:`shared_folder`.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or fallback_dir
-    context = spark.sparkContext
-    if not folder:
-        if not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="prefdeck-")
+    folder = shared_folder(df.sparkSession, fallback_dir)
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return df.checkpoint()

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prefdeck.functions.arrays import expand_label_rows, pad_batch
+from prefdeck.functions.text import tokens
 from prefdeck.operators import batching, lengths
 from prefdeck.operators.pairs import PAIR_KEY
 from prefdeck.sources.sinks import export_training_batches, read_training_batches
@@ -153,6 +154,37 @@ def test_length_path(spark):
     assert same.count() == 6
 
 
+def words_as_lengths():
+    return lambda texts: [[len(word) for word in value.split()] for value in texts]
+
+
+@pytest.mark.parametrize("tokenizer", [words_as_lengths, "column"])
+def test_length_path_with_a_tokenizer(spark, tokenizer):
+    """Output 1 has three tokens, output 2 none, output 3 no text."""
+    if tokenizer == "column":
+        tokenizer = F.transform(tokens("text"), F.length)
+    rows = [("o", 1, 0, "a bb"), ("o", 1, 1, "a bb ccc"), ("o", 1, 2, ""), ("o", 1, 3, None)]
+    samples = spark.createDataFrame(rows, "origin string, input_id bigint, output_id int, text string")
+    _, labels = frames(spark, {1: (4, [(0, 1), (0, 2), (2, 3)])})
+
+    def ids(df):
+        return {r.output_id: (r.input_ids, r.n_tokens) for r in df.collect()}
+
+    cut, same = lengths.apply_length_path(samples, labels, 2, PAIR_KEY, True, tokenizer)
+    assert ids(cut) == {0: ([1, 2], 2), 1: ([2, 3], 2), 2: ([], 0), 3: (None, None)}
+    assert cut.columns == ["origin", "input_id", "output_id", "input_ids", "n_tokens"] and same.count() == 3
+    again, _ = lengths.apply_length_path(cut, labels, 1, PAIR_KEY, truncation=True)
+    assert ids(again) == {0: ([2], 1), 1: ([3], 1), 2: ([], 0), 3: (None, None)}
+    kept, usable = lengths.apply_length_path(samples, labels, 2, PAIR_KEY, False, tokenizer)
+    assert ids(kept) == {0: ([1, 2], 2), 2: ([], 0)}
+    assert [(r.chosen_id, r.rejected_id) for r in usable.collect()] == [(0, 2)]
+    whole, _ = lengths.apply_length_path(samples, labels, None, PAIR_KEY, False, tokenizer)
+    assert ids(whole)[1] == ([1, 2, 3], 3)
+    assert ids(lengths.apply_length_path(samples.limit(0), labels, 2, PAIR_KEY, False, tokenizer)[0]) == {}
+    with pytest.raises(ValueError):
+        lengths.tokenize(samples, tokenizer, max_length=0)
+
+
 def test_batch_loss_of_a_batch_without_pairs_is_undefined(spark):
     samples, labels = frames(spark, {1: (2, [(0, 1)]), 2: (2, [])})
     batches = samples.select(*PAIR_KEY, "output_id", F.col("input_id").alias("batch_id"))

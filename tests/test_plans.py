@@ -18,13 +18,15 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from catalog import fixtures as fx
 from catalog import queries
-from prefdeck.operators import metrics, scoring
+from prefdeck.operators import fuse, metrics, scoring
+from prefdeck.operators import samples as samples_of
 from prefdeck.plans import head
-from prefdeck.plans.evaluate import evaluate, prepare
+from prefdeck.plans.evaluate import evaluate, prepare, sample_labels
 from prefdeck.plans.registry import JUDGE, SCORE, Predictor, Registry, default_registry
 from prefdeck.session import materialize
-from prefdeck.sources import jsonl, sinks
+from prefdeck.sources import jsonl, sinks, store
 
 
 @pytest.fixture(scope="module")
@@ -248,9 +250,13 @@ def plan_of(df) -> str:
     return text.getvalue()
 
 
-PYTHON = {"pack_batches_greedy", "pack_batches_greedy_audit", "score_responses_python"}
-# These run jobs while the plan is built: the fit, and the scores written to the checkpoint folder.
-EAGER = {"fit_linear_reward_head", "linear_head_audit", "evaluate_python_scorer", "evaluate_python_judge"}
+PYTHON = {"pack_batches_greedy", "pack_batches_greedy_audit", "score_responses_python", "length_path_truncated"}
+# These run jobs while the plan is built: the fit, stored tables, and scores and token ids written to
+# the checkpoint folder.
+EAGER = {
+    "fit_linear_reward_head", "linear_head_audit", "evaluate_python_scorer", "evaluate_python_judge",
+    "stored_samples", "stored_labels", "length_path_dropped", "length_path_dropped_labels",
+}
 
 
 # Every node that runs Python on executors has one of these words in its name.
@@ -278,6 +284,26 @@ def test_metrics_do_not_join_a_prompt_with_itself(spark, sf_dir):
     assert not [j for j in joins if "input_id" in j and "hot_key" not in j and "_fact_" not in j]
 
 
+def test_stored_samples_need_no_exchange_and_no_record(spark, sf_dir, tmp_path):
+    """Not even to meet other rows by sample key, whichever session declared the table."""
+    fused = fuse.fuse_by_prompt(fx.normalized_documents(spark, sf_dir))
+    written = store.write_fused(fused, f"{tmp_path}/it's", buckets=8)
+    expected = sorted(map(str, samples_of.explode_responses(fused).collect()))
+    with pytest.raises(Exception, match="(?i)exist"):
+        store.write_fused(fused, f"{tmp_path}/it's", buckets=8)
+    for kept in (written, None):
+        if kept is None:  # as a new session, which knows the folder alone
+            spark.sql("DROP TABLE " + store._table_name(f"{tmp_path}/it's"))
+            kept = store.read_fused(spark, f"{tmp_path}/it's/")
+        plan = plan_of(kept.samples)
+        assert "Exchange" not in plan and "Join" not in plan and "Generate" not in plan
+        assert sorted(map(str, kept.samples.collect())) == expected
+        sizes = kept.samples.select(*store.SAMPLE_KEY, F.length("output").alias("n"))
+        joined = kept.samples.join(sizes.hint("merge"), store.SAMPLE_KEY)
+        assert "Exchange" not in plan_of(joined) and joined.count() == len(expected)
+        assert sorted(map(str, kept.labels.collect())) == sorted(map(str, sample_labels(fused).collect()))
+
+
 @pytest.mark.parametrize("labels", [[7] * 3 + [1] * 20, [7] * 20 + [1] * 3, [7] * 5])
 def test_head_is_fitted_on_every_vector(spark, tmp_path, monkeypatch, labels):
     rows = [(i, [float(i % 5), float(label)], label) for i, label in enumerate(labels)]

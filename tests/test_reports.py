@@ -106,7 +106,8 @@ def test_calibration_error_is_zero_without_differences(spark):
     rows = spark.createDataFrame([("o", 1.0, 1.0)], "origin string, chosen_reward double, rejected_reward double")
     curve = metrics.calibration_curve(rows)
     assert metrics.expected_calibration_error(curve).count() == 0
-    assert [r.ece for r in metrics.expected_calibration_error(curve, pairs=rows).collect()] == [0.0]
+    curve = metrics.calibration_curve(rows, outside=True)
+    assert [r.ece for r in metrics.expected_calibration_error(curve).collect()] == [0.0]
 
 
 def test_samples_without_key_are_reported(spark):
