@@ -414,6 +414,11 @@ ORACLE: dict[str, str] = {
         + f", m AS ({_scorer_rows('origin', 'samples', 'reward')}{_PAIR_ROWS.format(by='origin')})",
         "SELECT origin, metric, round(value, 6) AS value FROM m",
     ),
+    "metric_documents": _with(
+        TIED + f", m AS ({_scorer_rows(_BY, 'lines', 'reward_tied')}), n AS ({_macro('m')})",
+        """SELECT origin, metric || '-' || category AS name, round(value, 6) AS value FROM m
+           UNION ALL SELECT origin, metric, round(value, 6) FROM n""",
+    ),
     "overall_score": _with(
         TIED + f", m AS ({_scorer_rows(_BY, 'lines', 'reward_tied')}), n AS ({_macro('m')})",
         """SELECT round(avg(score), 6) AS overall FROM (
@@ -529,6 +534,21 @@ ORACLE: dict[str, str] = {
            LEFT JOIN ranks k ON k.p = r.p AND k.rid = r.rid""",
         ),
     ),
+    "sequential_order": _with(
+        SAMPLES,
+        """SELECT origin, input_id, output_id,
+             row_number() OVER (ORDER BY origin, input_id, output_id) - 1 AS position FROM samples""",
+    ),
+    "null_uncommon_keys": _with(
+        RECORDS,
+        """SELECT input_id, output_id, r.p AS input,
+             CASE WHEN (SELECT count(*) = count(category) FROM inputs) THEN i.category END AS category,
+             CASE WHEN (SELECT count(*) = count(category) FROM inputs) THEN category_id END AS category_id,
+             CASE WHEN (SELECT count(*) = count(sys_prompt) FROM inputs) THEN sys_prompt END AS sys_prompt
+           FROM resp r JOIN outid o ON o.p = r.p AND o.rid = r.rid
+           JOIN inid n ON n.p = r.p JOIN inputs i ON i.p = r.p
+           LEFT JOIN cats c ON c.category = i.category""",
+    ),
     **dict.fromkeys(
         ["index_labels", "stored_labels"],
         _with(

@@ -20,7 +20,7 @@ from prefdeck.plans import head
 from prefdeck.schema import CORRUPT
 from prefdeck.plans.registry import JUDGE, SCORE, Predictor, Registry
 from prefdeck.session import shared_folder
-from prefdeck.sources import jsonl, store
+from prefdeck.sources import jsonl, sinks, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -113,6 +113,13 @@ def train_eval_metrics(spark, sf_dir):
     return _round(bag.select("origin", "metric", "value"), "value")
 
 
+@query
+def metric_documents(spark, sf_dir):
+    bag = metrics.metric_bundle(_tied(spark, sf_dir))
+    documents = sinks.metric_documents(bag).select("origin", F.explode("metrics").alias("name", "value"))
+    return _round(documents, "value")
+
+
 @query
 def overall_score(spark, sf_dir):
     return _round(metrics.overall_score(metrics.metric_bundle(_tied(spark, sf_dir))), "overall")
@@ -303,6 +310,18 @@ def explode_responses(spark, sf_dir):
     )
 
 
+@query
+def sequential_order(spark, sf_dir):
+    keys = fx.line_samples(spark, sf_dir).select("origin", "input_id", "output_id")
+    return samples.sequential_positions(keys)
+
+
+@query
+def null_uncommon_keys(spark, sf_dir):
+    _, flat = evaluation.prepare(fx.document_records(spark, sf_dir), common_only=True)
+    return flat.select("input_id", "output_id", "input", "category", "category_id", "sys_prompt")
+
+
 def _stored(spark, sf_dir):
     fused = fuse.fuse_by_prompt(fx.normalized_documents(spark, sf_dir))
     return store.write_fused(fused, f"{shared_folder(spark)}/fused-{uuid.uuid4().hex}", buckets=8)

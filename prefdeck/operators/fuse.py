@@ -135,6 +135,20 @@ def keep_common_keys(fused: DataFrame, columns: list[str]) -> DataFrame:
     return fused.drop(*[c for c in columns if not flags[c]])
 
 
+def null_uncommon_keys(inputs: DataFrame, columns: list[str]) -> DataFrame:
+    """``inputs`` with each of ``columns`` NULL throughout an origin where some prompt lacks it.
+
+    The names of such origins come as one row of lists, folded on the map side; origins are data sets. The
+    schema stays, so nothing runs while the plan is built.
+    """
+    lacking = inputs.agg(
+        F.struct(*[F.collect_set(F.when(F.col(c).isNull(), F.col("origin"))).alias(c) for c in columns])
+    ).scalar()
+    return inputs.withColumns(
+        {c: F.when(~F.array_contains(lacking.getField(c), F.col("origin")), F.col(c)) for c in columns}
+    )
+
+
 @dataclass(frozen=True)
 class Fused:
     """The long tables of a fused load."""

@@ -137,3 +137,11 @@ def explode_responses(fused: Fused, compat_ranks: bool = False) -> DataFrame:
 def sequential_order(samples: DataFrame) -> DataFrame:
     """Stored order, as evaluation reads it."""
     return samples.orderBy("origin", "input_id", "output_id")
+
+
+def sequential_positions(samples: DataFrame) -> DataFrame:
+    """Samples with their ``position`` (from 0) in the stored order. Chunks are 4,096 prompts of an origin;
+    ``input_id`` is a number and the key unique."""
+    cut = samples.withColumn("_chunk", F.shiftright("input_id", 12))
+    order = ["input_id", "output_id"]
+    return dense_index(cut, "position", order=["origin", *order], chunk=["origin", "_chunk"]).drop("_chunk")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefdeck.functions.prompts import render_judge_prompts
 from prefdeck.functions.verdict import parse_verdict
-from prefdeck.operators.fuse import Fused, fuse_by_prompt
+from prefdeck.operators.fuse import Fused, fuse_by_prompt, null_uncommon_keys
 from prefdeck.operators.metrics import judge_metrics, metric_bundle
 from prefdeck.operators.pairs import judge_pairs, swap_positions
 from prefdeck.operators.records import normalize_records
@@ -18,9 +20,16 @@ from prefdeck.plans.registry import JUDGE, SCORE, Predictor, Registry, default_r
 from prefdeck.session import materialize
 
 
-def prepare(records: DataFrame, compat_ranks: bool = False) -> tuple[Fused, DataFrame]:
-    """Fused tables and flat samples of a set of records."""
+def prepare(
+    records: DataFrame, compat_ranks: bool = False, common_only: bool = False
+) -> tuple[Fused, DataFrame]:
+    """Fused tables and flat samples of a set of records.
+
+    With ``common_only`` the category or system prompt counts in an origin only if all its prompts have one.
+    """
     fused = fuse_by_prompt(normalize_records(records))
+    if common_only:
+        fused = replace(fused, inputs=null_uncommon_keys(fused.inputs, ["category", "sys_prompt"]))
     return fused, explode_responses(fused, compat_ranks)
 
 

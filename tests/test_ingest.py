@@ -295,3 +295,11 @@ def test_broken_lines_are_found_whatever_is_read(spark):
     assert read.where("n = 0").first().rank == {"1": "2"} and read.where("n = 5").first().input == "5"
     with pytest.raises(Exception, match="(?i)malformed|parse"):
         jsonl.records_from_lines(df.where("n = 1"), "line", strict=True).collect()
+
+
+def test_fields_that_some_prompt_of_an_origin_lacks(spark):
+    rows = [("a", "p", "x", None), ("a", "q", None, None), ("b", "p", "x", "s"), ("b", "q", "y", "t")]
+    inputs = spark.createDataFrame(rows, "origin string, input_key string, category string, sys_prompt string")
+    found = fuse.null_uncommon_keys(inputs, ["category", "sys_prompt"]).orderBy("origin", "input_key").collect()
+    assert [tuple(r)[2:] for r in found] == [(None, None), (None, None), ("x", "s"), ("y", "t")]
+    assert fuse.null_uncommon_keys(inputs.limit(0), ["category"]).count() == 0
