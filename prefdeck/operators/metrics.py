@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from prefdeck.operators.pairs import build_pairs
 from prefdeck.operators.skew import (
     HOT_FLOOR_ROWS,
-    attach_per_group,
+    RANGE_ROWS,
     hot_groups,
+    in_ranges,
     with_groups,
     without_groups,
 )
@@ -25,9 +26,6 @@ from prefdeck.operators.skew import (
 PROMPT = ["input_id", "origin", "category"]
 GROUP = ["origin", "category"]
 
-# A hot prompt is cut into this many reward ranges (a power of two, for the lower-bound search).
-REWARD_RANGES = 512
-
 
 # ---------------------------------------------------------------------------------------------
 # Counting concordant and discordant pairs without forming pairs
@@ -90,7 +88,9 @@ def _count_in_order(points: DataFrame, segment: Sequence[str], order: str, tied:
     )
 
 
-def rank_counts(scores: DataFrame, floor_rows: int = HOT_FLOOR_ROWS) -> DataFrame:
+def rank_counts(
+    scores: DataFrame, floor_rows: int = HOT_FLOOR_ROWS, range_rows: int = RANGE_ROWS
+) -> DataFrame:
     """Per prompt: responses, comparable pairs, concordant and discordant pairs.
 
     Comparable means different ranks (lower is better); concordant means the better-ranked response
@@ -98,8 +98,9 @@ def rank_counts(scores: DataFrame, floor_rows: int = HOT_FLOOR_ROWS) -> DataFram
     form no pair. Counts are DOUBLE: exact up to 2**53.
 
     A prompt that is not hot is counted inside one shuffle on the prompt. A hot prompt is first cut
-    into reward ranges at its own quantiles; each range is counted on its own and one row per range
-    then gives the pairs across ranges, so no task sees the whole prompt and nothing is left out.
+    into reward ranges of about ``range_rows`` rows at its own quantiles; each range is counted on its
+    own and one row per range then gives the pairs across ranges, so no task sees the whole prompt and
+    nothing is left out.
     """
     rows = scores.select(
         *PROMPT,
@@ -108,7 +109,9 @@ def rank_counts(scores: DataFrame, floor_rows: int = HOT_FLOOR_ROWS) -> DataFram
     )
     pairable = F.col("rank").isNotNull() & F.col("reward").isNotNull()
     hot = hot_groups(rows, PROMPT, counted=pairable, floor_rows=floor_rows)
-    return _cold_counts(without_groups(rows, hot, PROMPT)).unionByName(_hot_counts(with_groups(rows, hot, PROMPT)))
+    return _cold_counts(without_groups(rows, hot, PROMPT)).unionByName(
+        _hot_counts(with_groups(rows, hot, PROMPT), range_rows)
+    )
 
 
 def _cold_counts(rows: DataFrame) -> DataFrame:
@@ -125,35 +128,12 @@ def _cold_counts(rows: DataFrame) -> DataFrame:
     return counted.groupBy(*PROMPT).agg(*[F.sum(c).alias(c) for c in _COUNTS])
 
 
-def _hot_counts(rows: DataFrame) -> DataFrame:
-    # One parsed expression: building 511 literals one by one costs seconds.
-    quantiles = F.expr(
-        "array(" + ", ".join(f"{i / REWARD_RANGES}D" for i in range(1, REWARD_RANGES)) + ")"
-    )
-    # Fewer than MAX_HOT_GROUPS rows of REWARD_RANGES doubles: under 17 MB whatever the data.
-    facts = rows.groupBy(*PROMPT).agg(
-        F.min("rank").alias("low"),
-        F.max("rank").alias("high"),
-        F.percentile_approx("reward", quantiles).alias("cuts"),
+def _hot_counts(rows: DataFrame, range_rows: int) -> DataFrame:
+    facts = [F.min("rank").alias("low"), F.max("rank").alias("high")]
+    ranked = F.col("rank").isNotNull()
+    numbered = in_ranges(rows, PROMPT, "reward", "range", ranked, facts, range_rows).withColumns(
+        {"rank_no": F.col("rank") - F.col("low"), "_top": F.col("high") - F.col("low")}
     )
-    placed = attach_per_group(rows, facts, PROMPT)
-    # Lower bound by halving: how many cuts lie below the reward. Monotone in the reward, so the
-    # result is exact wherever the quantiles fall.
-    steps = F.array(*[F.lit(REWARD_RANGES >> i) for i in range(1, REWARD_RANGES.bit_length())])
-    reward_range = F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, step: F.when(
-            F.get(F.col("cuts"), at + step - 1) < F.col("reward"), at + step
-        ).otherwise(at),
-    )
-    numbered = placed.withColumns(
-        {
-            "rank_no": F.col("rank") - F.col("low"),
-            "range": F.when(F.col("rank").isNotNull(), reward_range).otherwise(0),
-            "_top": F.col("high") - F.col("low"),
-        }
-    ).drop("cuts")
     segment = [*PROMPT, "bit", "segment"]
     points = _by_bit(numbered, F.col("_top")).groupBy(*segment, "range", "reward").agg(*_sides())
     tied = F.col("n_better") * F.col("n_worse")

@@ -7,11 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A group is hot when it holds more than 1/MAX_HOT_GROUPS of all rows, so there are always fewer
-# than MAX_HOT_GROUPS of them and a table of hot groups is safe to broadcast at any data size.
-MAX_HOT_GROUPS = 4096
 # Below this many rows a group is never worth splitting.
 HOT_FLOOR_ROWS = 100_000
+# A hot group also holds more than 1/MAX_HOT_GROUPS of all rows, so there are always fewer than
+# MAX_HOT_GROUPS of them and their keys (8 bytes each) are safe to broadcast at any data size. Up to
+# 2.6 * 10**10 rows the floor alone decides; a group of a million rows is hot up to 2.6 * 10**11.
+MAX_HOT_GROUPS = 2**18
+# A hot group is cut into ranges of about this many rows, in two steps of at most MAX_RANGES each.
+RANGE_ROWS = 16_384
+MAX_RANGES = 256
 
 
 def keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -35,10 +39,11 @@ def hot_groups(
     keys: Sequence[str],
     counted: Column | None = None,
     floor_rows: int = HOT_FLOOR_ROWS,
+    max_groups: int = MAX_HOT_GROUPS,
 ) -> DataFrame:
-    """Groups with more than ``max(floor_rows, all rows / MAX_HOT_GROUPS)`` rows.
+    """Groups with more than ``max(floor_rows, all rows / max_groups)`` rows.
 
-    One row ``(hot_key, n_rows)`` per group, fewer than MAX_HOT_GROUPS in all. ``hot_key`` is a
+    One row ``(hot_key, n_rows)`` per group, fewer than ``max_groups`` in all. ``hot_key`` is a
     64-bit hash of the keys, so counting is a map-side folded aggregate over one number; should two
     groups share a hash they are merely both treated as hot. ``counted`` (rows where it is true)
     can name the columns the caller reads anyway: the shuffles below are then the same in both
@@ -46,7 +51,7 @@ def hot_groups(
     """
     n_rows = F.count("*") if counted is None else F.count_if(counted)
     sizes = df.groupBy(_group_hash(keys).alias("hot_key")).agg(n_rows.alias("n_rows"))
-    fair_share = sizes.agg(F.sum("n_rows") / F.lit(MAX_HOT_GROUPS)).scalar()
+    fair_share = sizes.agg(F.sum("n_rows") / F.lit(max_groups)).scalar()
     return sizes.where((F.col("n_rows") > floor_rows) & (F.col("n_rows") > fair_share))
 
 
@@ -62,14 +67,68 @@ def with_groups(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame
     return df.join(small, _group_hash(keys) == F.col("hot_key"), "left_semi")
 
 
-def attach_per_group(df: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Attach the columns of ``facts``, a table with one row per *hot* group, to rows of these."""
-    condition = F.lit(True)
-    for key in keys:
-        facts = facts.withColumnRenamed(key, f"_fact_{key}")
-        condition = condition & F.col(key).eqNullSafe(F.col(f"_fact_{key}"))
-    joined = df.join(F.broadcast(facts), condition)
-    return joined.drop(*[f"_fact_{key}" for key in keys])
+def _quantile_cuts(
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    counted: Column,
+    range_rows: int,
+    max_ranges: int,
+    facts: Sequence[Column] = (),
+) -> DataFrame:
+    """Per group its ``_n`` counted rows, ``facts``, and ``_cuts``: as many quantiles of ``value`` as cut
+    it into ranges of ``range_rows``, fewer than ``max_ranges``. The sketch is folded before the shuffle."""
+    # One parsed expression: building hundreds of literals one by one costs seconds.
+    grid = ", ".join(f"{i / max_ranges}D" for i in range(1, max_ranges))
+    every = F.greatest(F.lit(1), F.floor(F.lit(max_ranges * range_rows) / F.greatest(F.col("_n"), F.lit(1))))
+    return (
+        df.groupBy(*by)
+        .agg(F.count_if(counted).alias("_n"), F.percentile_approx(value, F.expr(f"array({grid})")).alias("_cuts"), *facts)
+        .withColumn("_cuts", F.filter("_cuts", lambda _, i: (i + 1) % every == 0))
+    )
+
+
+def _cuts_below(value: Column, max_ranges: int) -> Column:
+    """How many of ``_cuts`` lie below ``value``, by halving; 0 for NULL. Monotone in the value."""
+    steps = F.array(*[F.lit(max_ranges >> i) for i in range(1, max_ranges.bit_length())])
+    return F.aggregate(
+        steps,
+        F.lit(0),
+        lambda at, step: F.when(F.get(F.col("_cuts"), at + step - 1) < value, at + step).otherwise(at),
+    )
+
+
+def in_ranges(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    name: str,
+    counted: Column,
+    facts: Sequence[Column] = (),
+    range_rows: int = RANGE_ROWS,
+    max_ranges: int = MAX_RANGES,
+) -> DataFrame:
+    """Rows of *hot* groups with the number ``name`` of their range of ``value``, and the aggregates ``facts``.
+
+    A group gets as many ranges as its counted rows need: about one for every ``range_rows``, cut at
+    quantiles of its own sketch. Ranges still crowded after ``max_ranges`` (a power of two) are cut once
+    more in the same way. Equal values share a range and larger ones never have a smaller range, wherever
+    the quantiles fall. Facts come back by joins without a hint: AQE broadcasts them if their measured
+    size allows and otherwise splits the hot keys. Groups are told apart by the hash of
+    :func:`hot_groups`; two with one hash share cuts and facts.
+    """
+    hashed = df.withColumn("_key", _group_hash(keys))
+    options = dict(value=value, counted=counted, range_rows=range_rows, max_ranges=max_ranges)
+    coarse = (
+        hashed.join(_quantile_cuts(hashed, ["_key"], facts=facts, **options).drop("_n"), "_key")
+        .withColumn("_coarse", _cuts_below(F.col(value), max_ranges))
+        .drop("_cuts")
+    )
+    crowded = _quantile_cuts(coarse, ["_key", "_coarse"], **options).where(F.col("_n") > 2 * range_rows).drop("_n")
+    number = F.col("_coarse") * F.lit(max_ranges) + _cuts_below(F.col(value), max_ranges)
+    return (
+        coarse.join(crowded, ["_key", "_coarse"], "left").withColumn(name, number).drop("_key", "_coarse", "_cuts")
+    )
 
 
 def running_total(

@@ -65,6 +65,52 @@ def test_rank_counts_use_ranges_of_a_large_hot_prompt(spark):
     rows = [("o", "c", 1, i, rng.randrange(40), rng.gauss(0, 1)) for i in range(1500)]
     df = spark.createDataFrame(rows, SCORES)
     assert counts(metrics.rank_counts(df, floor_rows=10)) == brute_counts(rows)
+    assert counts(metrics.rank_counts(df, floor_rows=10, range_rows=20)) == brute_counts(rows)
+
+
+def test_rank_counts_with_hot_prompts_of_all_sizes_and_equal_rewards(spark):
+    rng = random.Random(6)
+    sizes = {1: 700, 2: 120, 3: 11, 4: 2}
+    rows = [
+        ("o", None if q % 2 else "c", q, i, rng.randrange(9), float(min(rng.randrange(60), 20)))
+        for q, n in sizes.items()
+        for i in range(n)
+    ]
+    df = spark.createDataFrame(rows, SCORES)
+    assert counts(metrics.rank_counts(df, floor_rows=5, range_rows=4)) == brute_counts(rows)
+
+
+def ranges_of(df, **options):
+    counted = F.col("v").isNotNull()
+    return skew.in_ranges(df, ["k"], "v", "at", counted, **options)
+
+
+def test_a_group_is_cut_into_as_many_ranges_as_its_rows_need(spark):
+    """A million rows of one group make 61 ranges by the production figures, a tenth of it 6."""
+    df = spark.range(1_100_000).select(
+        (F.col("id") < 100_000).alias("k"), F.pmod(F.xxhash64("id"), F.lit(10**9)).cast("double").alias("v")
+    )
+    sizes = ranges_of(df).groupBy("k", "at").count().groupBy("k").agg(
+        F.count("*").alias("n"), F.max("count").alias("most"), F.sum("count").alias("rows")
+    )
+    found = {r.k: r for r in sizes.collect()}
+    assert 50 <= found[False].n <= 64 and 5 <= found[True].n <= 8
+    assert found[False].rows == 1_000_000 and found[True].rows == 100_000
+    assert max(r.most for r in found.values()) < 2 * skew.RANGE_ROWS
+
+
+def test_crowded_ranges_are_cut_again_and_keep_the_order_of_values(spark):
+    df = spark.range(20_000).select(
+        F.lit(1).alias("k"), F.when(F.col("id") % 10 > 6, 7.0).otherwise(F.pmod(F.xxhash64("id"), F.lit(5000))).alias("v")
+    ).unionByName(spark.sql("SELECT 1 k, CAST(NULL AS DOUBLE) v UNION ALL SELECT 1, double('NaN')"))
+    rows = ranges_of(df, range_rows=50, max_ranges=8).where("v IS NOT NULL").groupBy("at").agg(
+        F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n")
+    ).orderBy("at").collect()
+    assert len(rows) > 30  # one step alone gives 8
+    for a, b in zip(rows, rows[1:], strict=False):
+        assert a.high < b.low or math.isnan(b.low)
+    assert max(r.n for r in rows if not r.low <= 7.0 <= r.high) < 1500
+    assert sum(r.n for r in rows) == 20_001
 
 
 def test_nan_reward_is_comparable_but_on_neither_side(spark):
@@ -95,10 +141,16 @@ def test_ordered_pairs_in_blocks_of_any_size(spark, block_rows):
 
 def test_hot_groups_need_more_than_their_fair_share(spark):
     df = spark.range(10_000).withColumn("k", F.when(F.col("id") < 3000, -1).otherwise(F.col("id")))
-    assert [r.n_rows for r in skew.hot_groups(df, ["k"], floor_rows=0).collect()] == [3000]
+    assert [r.n_rows for r in skew.hot_groups(df, ["k"], floor_rows=0, max_groups=4096).collect()] == [3000]
     assert skew.hot_groups(df, ["k"], floor_rows=3000).count() == 0
     even = spark.range(5000)
-    assert skew.hot_groups(even, ["id"], floor_rows=0).count() == 0
+    assert skew.hot_groups(even, ["id"], floor_rows=0, max_groups=4096).count() == 0
+
+
+def test_a_group_of_a_million_rows_is_hot_in_a_table_of_many_small_ones(spark):
+    """One row stands for a thousand: 260 million groups of 1,000 rows and one of 1,000,000."""
+    groups = spark.range(260_000).withColumn("k", F.when(F.col("id") < 1000, -1).otherwise(F.col("id")))
+    assert [r.n_rows for r in skew.hot_groups(groups, ["k"], floor_rows=100).collect()] == [1000]
 
 
 @pytest.mark.parametrize("how", ["sum", "max", "min"])
