@@ -63,6 +63,19 @@ def _chosen_number(found: Column) -> Column:
     )
 
 
+def _finite(text: Column) -> Column:
+    """JSON text with 0 for NaN, Infinity and -Infinity outside of strings, so that a strict parser reads it;
+    none of the four is a choice. Escaped backslashes and quotes are spelled as code points first, after
+    which every other piece between quotes is outside."""
+    spelled = F.replace(F.replace(text, F.lit("\\\\"), F.lit("\\u005c")), F.lit('\\"'), F.lit("\\u0022"))
+    word = r"(?<![\w.+-])(?:NaN|-?Infinity)(?![\w.+-])"
+    pieces = F.transform(
+        F.split(spelled, '"', -1),
+        lambda piece, i: F.when(i % 2 == 0, F.regexp_replace(piece, word, "0")).otherwise(piece),
+    )
+    return F.when(text.rlike("NaN|Infinity"), F.array_join(pieces, '"')).otherwise(text)
+
+
 def _json_choice(text: Column, key: str) -> Column:
     path = f"$.v['{key}']"
 
@@ -88,7 +101,7 @@ def _json_choice(text: Column, key: str) -> Column:
         is_object = trimmed.startswith("{") & trimmed.endswith("}")
         return F.when(is_object, F.when(one_value, verdict))
 
-    return F.coalesce(_once(strip(text), read), F.lit("error"))
+    return F.coalesce(_once(_once(strip(text), _finite), read), F.lit("error"))
 
 
 VERDICT_STYLES = ("bracket", "bracket_explain", "json_choice", "exact_choice", "letter")

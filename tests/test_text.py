@@ -35,6 +35,10 @@ def test_strip_removes_all_unicode_whitespace(spark):
         ('{"k": 2, "k": 1}', "A"), ('{"k": 1, "k": 3}', "error"), ('{"r": {"x": 1, "x": 2}, "k": 2}', "B"),
         ('{"k": "１"}', "A"), ('{"k": "٢"}', "B"), ('{"k": "𝟐"}', "B"), ('{"k": １}', "error"), ('{"k": "²"}', "error"),
         ('{"k": 1}}, {"k": 2}', "error"), ('{"k": 1}],[{}', "error"),
+        ('{"x": NaN, "k": 1}', "A"), ('{"x": [-Infinity, Infinity], "k": 2}', "B"), ('{"k": NaN}', "error"),
+        ('{"k": 1, "k": Infinity}', "error"), ('{"k": -NaN}', "error"), ('{"k": 1NaN}', "error"), ('{"NaN": 0, "k": 1}', "A"),
+        ('{"x": "a \\" NaN \\\\", "y": NaN, "k": 2}', "B"), ('{"x": nan, "k": 1}', "error"), ('{NaN: 0, "k": 1}', "error"),
+        ('{"k": "1", "x": "Infinity"}', "A"), ('{"k": "NaN"}', "error"), ('{"x": NaNs, "k": 1}', "error"),
         ('{"k": 99999999999999999999}', "error"), ('{"k": "99999999999999999999"}', "error"),
     ],
 )
