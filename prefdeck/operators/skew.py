@@ -13,9 +13,10 @@ HOT_FLOOR_ROWS = 100_000
 # MAX_HOT_GROUPS of them and their keys (8 bytes each) are safe to broadcast at any data size. Up to
 # 2.6 * 10**10 rows the floor alone decides; a group of a million rows is hot up to 2.6 * 10**11.
 MAX_HOT_GROUPS = 2**18
-# A hot group is cut into ranges of about this many rows, in two steps of at most MAX_RANGES each.
+# A hot group is cut into ranges of about this many rows, or into MAX_RANGES larger ones if it has more
+# than 67 million (a power of two; the sketch knows ranks to a ten-thousandth).
 RANGE_ROWS = 16_384
-MAX_RANGES = 256
+MAX_RANGES = 4096
 
 
 def keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -67,37 +68,6 @@ def with_groups(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame
     return df.join(small, _group_hash(keys) == F.col("hot_key"), "left_semi")
 
 
-def _quantile_cuts(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    counted: Column,
-    range_rows: int,
-    max_ranges: int,
-    facts: Sequence[Column] = (),
-) -> DataFrame:
-    """Per group its ``_n`` counted rows, ``facts``, and ``_cuts``: as many quantiles of ``value`` as cut
-    it into ranges of ``range_rows``, fewer than ``max_ranges``. The sketch is folded before the shuffle."""
-    # One parsed expression: building hundreds of literals one by one costs seconds.
-    grid = ", ".join(f"{i / max_ranges}D" for i in range(1, max_ranges))
-    every = F.greatest(F.lit(1), F.floor(F.lit(max_ranges * range_rows) / F.greatest(F.col("_n"), F.lit(1))))
-    return (
-        df.groupBy(*by)
-        .agg(F.count_if(counted).alias("_n"), F.percentile_approx(value, F.expr(f"array({grid})")).alias("_cuts"), *facts)
-        .withColumn("_cuts", F.filter("_cuts", lambda _, i: (i + 1) % every == 0))
-    )
-
-
-def _cuts_below(value: Column, max_ranges: int) -> Column:
-    """How many of ``_cuts`` lie below ``value``, by halving; 0 for NULL. Monotone in the value."""
-    steps = F.array(*[F.lit(max_ranges >> i) for i in range(1, max_ranges.bit_length())])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, step: F.when(F.get(F.col("_cuts"), at + step - 1) < value, at + step).otherwise(at),
-    )
-
-
 def in_ranges(
     df: DataFrame,
     keys: Sequence[str],
@@ -111,24 +81,29 @@ def in_ranges(
     """Rows of *hot* groups with the number ``name`` of their range of ``value``, and the aggregates ``facts``.
 
     A group gets as many ranges as its counted rows need: about one for every ``range_rows``, cut at
-    quantiles of its own sketch. Ranges still crowded after ``max_ranges`` (a power of two) are cut once
-    more in the same way. Equal values share a range and larger ones never have a smaller range, wherever
-    the quantiles fall. Facts come back by joins without a hint: AQE broadcasts them if their measured
-    size allows and otherwise splits the hot keys. Groups are told apart by the hash of
-    :func:`hot_groups`; two with one hash share cuts and facts.
+    quantiles of its own sketch, which is folded before the shuffle. Equal values share a range and larger
+    ones never have a smaller range, wherever the quantiles fall. Cuts and facts come back by a join without
+    a hint: AQE broadcasts them if their measured size allows and otherwise splits the hot keys. Groups are
+    told apart by the hash of :func:`hot_groups`; two with one hash share cuts and facts.
     """
     hashed = df.withColumn("_key", _group_hash(keys))
-    options = dict(value=value, counted=counted, range_rows=range_rows, max_ranges=max_ranges)
-    coarse = (
-        hashed.join(_quantile_cuts(hashed, ["_key"], facts=facts, **options).drop("_n"), "_key")
-        .withColumn("_coarse", _cuts_below(F.col(value), max_ranges))
-        .drop("_cuts")
+    # One parsed expression: building thousands of literals one by one costs seconds.
+    grid = F.expr("array(" + ", ".join(f"{i / max_ranges}D" for i in range(1, max_ranges)) + ")")
+    every = F.greatest(F.lit(1), F.floor(F.lit(max_ranges * range_rows) / F.greatest(F.col("_n"), F.lit(1))))
+    cuts = (
+        hashed.groupBy("_key")
+        .agg(F.count_if(counted).alias("_n"), F.percentile_approx(value, grid).alias("_cuts"), *facts)
+        .withColumn("_cuts", F.filter("_cuts", lambda _, i: (i + 1) % every == 0))
+        .drop("_n")
     )
-    crowded = _quantile_cuts(coarse, ["_key", "_coarse"], **options).where(F.col("_n") > 2 * range_rows).drop("_n")
-    number = F.col("_coarse") * F.lit(max_ranges) + _cuts_below(F.col(value), max_ranges)
-    return (
-        coarse.join(crowded, ["_key", "_coarse"], "left").withColumn(name, number).drop("_key", "_coarse", "_cuts")
+    # How many cuts lie below the value, by halving; 0 for NULL.
+    steps = F.array(*[F.lit(max_ranges >> i) for i in range(1, max_ranges.bit_length())])
+    number = F.aggregate(
+        steps,
+        F.lit(0),
+        lambda at, step: F.when(F.get(F.col("_cuts"), at + step - 1) < F.col(value), at + step).otherwise(at),
     )
+    return hashed.join(cuts, "_key").withColumn(name, number).drop("_key", "_cuts")
 
 
 def running_total(
