@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,8 @@ PAIR_KEY = ["input_id", "origin"]
 # Rows of a prompt that are paired with as many others in one cell of the pair join: at most some
 # two million pairs each.
 PAIR_BLOCK_ROWS = 2_000
+# Pairs that one task of the pair join looks at, on average.
+PAIRS_PER_TASK = 10_000_000
 
 
 def distinct_pairs(labels: DataFrame) -> DataFrame:
@@ -75,6 +78,16 @@ def require_pairs(pairs: DataFrame, strict: bool = False) -> DataFrame:
     return status
 
 
+def pair_tasks(rows: DataFrame, keys: Sequence[str], pairs_per_task: int = PAIRS_PER_TASK) -> int:
+    """Tasks for :func:`ordered_pairs`: one for every ``pairs_per_task`` pairs, and no fewer than
+    ``spark.sql.shuffle.partitions``. Runs one folded count of the keys; other columns are not read."""
+    n_rows = F.col("_n").cast("double")
+    per_group = keyed(rows, keys).groupBy(*keys).agg(F.count("*").alias("_n"))
+    n_pairs = per_group.agg(F.sum(n_rows * (n_rows - 1) / 2)).first()[0] or 0.0
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, math.ceil(n_pairs / pairs_per_task))
+
+
 def ordered_pairs(
     rows: DataFrame,
     keys: Sequence[str],
@@ -82,6 +95,7 @@ def ordered_pairs(
     carry: Sequence[str],
     on: Column | None = None,
     block_rows: int = PAIR_BLOCK_ROWS,
+    n_tasks: int | None = None,
 ) -> DataFrame:
     """Every two rows of a group, the earlier by ``order`` as ``_a`` and the later as ``_b``.
 
@@ -89,7 +103,8 @@ def ordered_pairs(
     of the output, and a group of n rows gives n * n / 2 of them. Groups are dealt by hash into about
     n / ``block_rows`` blocks and joined block against block, each cell being its own join key: no
     key ever holds more than about ``block_rows`` rows a side, and a group of one block is one cell.
-    Group sizes come from one folded count of the keys. ``order`` must tell the rows of a group apart
+    Group sizes come from one folded count of the keys. The number of tasks has to stand in the plan: it
+    is ``n_tasks`` or else comes from :func:`pair_tasks`, a job that runs when the plan is made. ``order`` must tell the rows of a group apart
     and is never NULL in a pair. ``on`` is a condition over the ``_a`` / ``_b`` columns. Carry narrow columns
     only: a row is copied to every cell of its block.
     """
@@ -103,7 +118,7 @@ def ordered_pairs(
 
     # Cells are a few MB but may hold millions of pairs: a stated number of partitions keeps AQE from
     # putting them together, and a merge join from running where the rows of a prompt already are.
-    n_tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_tasks = n_tasks or pair_tasks(rows, keys)
 
     def side(df: DataFrame, suffix: str) -> DataFrame:
         renamed = [F.col(c).alias(f"{c}_{suffix}") for c in columns]
@@ -120,10 +135,13 @@ def ordered_pairs(
     return first.join(second.hint("merge"), [*keys, "_from", "_to"]).where(condition).drop("_from", "_to")
 
 
-def rank_pairs(scores: DataFrame, block_rows: int = PAIR_BLOCK_ROWS) -> DataFrame:
+def rank_pairs(
+    scores: DataFrame, block_rows: int = PAIR_BLOCK_ROWS, n_tasks: int | None = None
+) -> DataFrame:
     """Every pair of a prompt with different ranks, the better-ranked response as chosen.
 
-    For looking at pairs. The metrics count them without forming them (``rank_counts``).
+    For looking at pairs. The metrics count them without forming them (``rank_counts``). ``n_tasks``
+    as in :func:`ordered_pairs`.
     """
     pairs = ordered_pairs(
         scores,
@@ -132,6 +150,7 @@ def rank_pairs(scores: DataFrame, block_rows: int = PAIR_BLOCK_ROWS) -> DataFram
         ["category", "rank", "reward"],
         on=F.col("rank_a") != F.col("rank_b"),
         block_rows=block_rows,
+        n_tasks=n_tasks,
     )
     a_better = F.col("rank_a") < F.col("rank_b")
 
@@ -150,13 +169,16 @@ def rank_pairs(scores: DataFrame, block_rows: int = PAIR_BLOCK_ROWS) -> DataFram
 
 
 def judge_pairs(
-    responses: DataFrame, keys: Sequence[str], block_rows: int = PAIR_BLOCK_ROWS
+    responses: DataFrame,
+    keys: Sequence[str],
+    block_rows: int = PAIR_BLOCK_ROWS,
+    n_tasks: int | None = None,
 ) -> DataFrame:
     """Every pair of a prompt with different ranks, with both texts, in rank-map order.
 
     ``responses`` has ``keys, rank_pos, response_id, rank, output, category, question``; ids are
     unique in a prompt. Equal places (of merged rank maps) follow the ids. Ids and ranks are paired
-    first; the texts join afterwards, on (keys, id).
+    first; the texts join afterwards, on (keys, id). ``n_tasks`` as in :func:`ordered_pairs`.
     """
     ranked = responses.where(F.col("rank").isNotNull())
     pairs = ordered_pairs(
@@ -166,6 +188,7 @@ def judge_pairs(
         ["rank"],
         on=F.col("rank_a") != F.col("rank_b"),
         block_rows=block_rows,
+        n_tasks=n_tasks,
     ).select(
         *keys,
         F.col("response_id_a").alias("id_a"),

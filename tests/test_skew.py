@@ -138,6 +138,17 @@ def test_ordered_pairs_in_blocks_of_any_size(spark, block_rows):
     assert got == expected
 
 
+def test_tasks_of_a_pair_join_follow_the_pairs(spark):
+    rows = spark.createDataFrame([("o", "c", i % 4, i, i, 0.0) for i in range(400)], SCORES)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_pairs = 4 * 100 * 99 // 2
+    assert pairs.pair_tasks(rows, pairs.PAIR_KEY) == least
+    assert pairs.pair_tasks(rows, pairs.PAIR_KEY, pairs_per_task=100) == n_pairs // 100
+    assert pairs.pair_tasks(rows.limit(0), pairs.PAIR_KEY) == least
+    found = pairs.rank_pairs(rows, block_rows=10, n_tasks=150)
+    assert found.rdd.getNumPartitions() == 150 and found.count() == n_pairs
+
+
 def test_hot_groups_need_more_than_their_fair_share(spark):
     df = spark.range(10_000).withColumn("k", F.when(F.col("id") < 3000, -1).otherwise(F.col("id")))
     assert [r.n_rows for r in skew.hot_groups(df, ["k"], floor_rows=0, max_groups=4096).collect()] == [3000]
