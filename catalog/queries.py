@@ -719,11 +719,9 @@ def expand_label_rows(spark, sf_dir):
 @query
 def group_samples(spark, sf_dir):
     """Per (batch, prompt): its outputs and labels as lists, bounded by the batch size."""
-    rows = batching.batch_rows(_packed(spark, sf_dir), fx.line_votes(spark, sf_dir))
-    outputs = F.sort_array(F.collect_list("output_id")).cast("array<string>")
-    return rows.groupBy("batch_id", *pairs.PAIR_KEY).agg(
-        F.array_join(outputs, ",").alias("outputs"), F.max(F.size("labels")).alias("n_labels")
-    )
+    groups = batching.group_samples(_packed(spark, sf_dir), fx.line_votes(spark, sf_dir))
+    outputs = F.array_join(F.col("outputs").cast("array<string>"), ",")
+    return groups.select("batch_id", *pairs.PAIR_KEY, outputs.alias("outputs"), F.size("labels").alias("n_labels"))
 
 
 @query

@@ -321,6 +321,19 @@ def batch_rows(batches: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def group_samples(batches: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per (batch, prompt): its ``outputs`` as ascending ids and its in-batch ``labels`` (empty if none).
+
+    Both lists are bounded by the batch size, whatever the size of the prompt; a prompt that fills
+    several batches has a row in each.
+    """
+    rows = batch_rows(batches, labels)
+    # The labels are the same in every row of a group.
+    return rows.groupBy("batch_id", *PAIR_KEY).agg(
+        F.sort_array(F.collect_list("output_id")).alias("outputs"), F.first("labels").alias("labels")
+    )
+
+
 def batch_loss(
     batches: DataFrame, labels: DataFrame, scores: DataFrame, reg_coef: float = -1.0
 ) -> DataFrame:

@@ -193,6 +193,23 @@ def test_batch_loss_of_a_batch_without_pairs_is_undefined(spark):
     assert rows[2].bt_loss is None and rows[2].loss is None and rows[2].l2_penalty == 0.25
 
 
+def test_grouped_samples_of_a_prompt_over_batches(spark):
+    samples, labels = frames(spark, {1: (5, [(0, 1), (3, 2), (4, 0)]), 2: (2, [])})
+    batches = batching.pack_batches(samples, 3)
+    place = {(r.input_id, r.output_id): r.batch_id for r in batches.collect()}
+    outputs, pairs = {}, {}
+    for (prompt, output), batch in sorted(place.items()):
+        outputs.setdefault((batch, prompt), []).append(output)
+    for chosen, rejected in [(0, 1), (3, 2), (4, 0)]:
+        if place[1, chosen] == place[1, rejected]:
+            pairs.setdefault((place[1, chosen], 1), []).append((chosen, rejected))
+    rows = batching.group_samples(batches, labels).collect()
+    assert len(rows) == len(outputs)
+    for r in rows:
+        key = (r.batch_id, r.input_id)
+        assert list(r.outputs) == outputs[key] and sorted(map(tuple, r.labels)) == sorted(pairs.get(key, []))
+
+
 def test_export_round_trip(spark, tmp_path):
     samples, labels = frames(spark, STAR)
     batches = batching.batch_rows(batching.pack_batches(samples, 4), labels)
