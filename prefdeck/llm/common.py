@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
@@ -54,11 +55,26 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def map_arrow(
-    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType
-) -> DataFrame:
+Batches = Iterator[pa.RecordBatch]
+
+
+def released(function: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``function``, and behind it what it freed goes back to the system. Workers live on from task to task, and
+    the allocators would keep their largest need as long."""
+
+    def run(batches: Batches) -> Batches:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return run
+
+
+def map_arrow(df: DataFrame, function: Callable[[Batches], Batches], schema: str | StructType) -> DataFrame:
     bounded_batches(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(released(function), schema)
 
 
 def worker_state(key: str, make: Callable[[], Any]) -> Any:

@@ -16,7 +16,7 @@ from prefdeck.llm.common import flat_bytes, worker_state
 # Parts of words remembered by a worker, some 80 MB in all; the table starts anew beyond that.
 MEMO_PARTS, MEMO_IDS = 800_000, 8_000_000
 LANES = 3  # parts of up to 24 bytes are remembered
-SLICE_BYTES = 4 << 20  # text that is encoded together
+SLICE_BYTES = 1 << 20  # text that is encoded together
 JOINED = 2_000  # words encoded in one call
 _SIGN = np.zeros(256, bool)
 _SIGN[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True

@@ -21,7 +21,7 @@ from prefdeck.llm import (
     decontamination, graph, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, toxicity,
     url_filters, warc,
 )
-from prefdeck.llm.common import shared_folder
+from prefdeck.llm.common import released, shared_folder
 from prefdeck.llm.queries import RULES
 from prefdeck.llm.tokenizer import WORD_BPE, Encoder, TokenizerFile
 
@@ -34,6 +34,23 @@ def same(got, want):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
+def test_a_task_gives_freed_memory_back():
+    def resident():
+        return int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+
+    last = []
+
+    def grow(batches):
+        blocks = [bytearray(60_000) for _ in range(3_000)]
+        last.append(bytearray(60_000))  # above the freed ones
+        yield from batches
+        del blocks
+
+    before = resident()
+    assert list(released(grow)(iter([1, 2]))) == [1, 2]
+    assert resident() - before < 60
+
+
 # --- 1 and 4: tokens ------------------------------------------------------------------------------
 
 
