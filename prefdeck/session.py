@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 # Runtime SQL settings only, so they can be applied to a session somebody else created.
 # forceOptimizeSkewedJoin lets AQE split a hot join key even where that costs one more shuffle;
 # with allowDuplicateKeys the last of equal keys of a JSON object counts.
+# Tasks are dealt by bytes: rows that are narrow in a shuffle or a file take a hundred times their size
+# in the sorts and maps of a task, so small tasks keep its memory the same however large the tables are.
 SQL_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "400",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
+    "spark.sql.files.maxPartitionBytes": "16m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",

@@ -182,3 +182,13 @@ def test_dense_index_with_a_group_spanning_chunks(spark):
     df = spark.range(1000).withColumn("chunk", F.floor(F.col("id") / 64)).withColumn("k", F.lit(1))
     rows = skew.dense_index(df, "pos", ["id"], ["chunk"], ["k"]).collect()
     assert all(r.pos == r.id for r in rows) and len(rows) == 1000
+
+
+def test_tasks_are_dealt_by_bytes_whatever_the_number_of_shuffle_partitions(spark):
+    noise = F.concat(*[F.md5(F.concat_ws(":", "id", F.lit(i))) for i in range(32)])
+    rows = spark.range(100_000).withColumn("noise", noise)  # 100 MB
+    grouped = rows.groupBy("noise").agg(F.count("*").alias("n"))
+    tasks = grouped.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(t["count"] for t in tasks) == 100_000
+    assert len(tasks) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(t["count"] for t in tasks) < 100_000 / 8
