@@ -13,6 +13,7 @@ from prefdeck.functions.arrays import LABEL_TYPE
 from prefdeck.operators.metrics import neg_log_sigmoid
 from prefdeck.operators.pairs import PAIR_KEY, distinct_pairs
 from prefdeck.operators.skew import dense_index, keyed, running_total
+from prefdeck.session import materialize
 
 # Epoch order is by md5, so its first four hex digits cut the prompts into 65,536 even chunks.
 _PREFIX = 4
@@ -251,7 +252,9 @@ def pack_batches_greedy(
 
 def packing_audit(batches: DataFrame, labels: DataFrame, samples: DataFrame, batch_size: int) -> DataFrame:
     """One row about a packing: ``n_samples, n_missing, n_repeated, n_batches, n_oversize, n_short,
-    n_uneven_slots, n_kept_pairs``."""
+    n_uneven_slots, n_kept_pairs``. The packing is read five times and so stored first, see
+    :func:`~prefdeck.session.materialize`."""
+    batches = materialize(batches)
     key = [*PAIR_KEY, "output_id"]
     known = require_keyed(samples).select(*key)
     sizes = batches.groupBy("batch_id").agg(

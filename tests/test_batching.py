@@ -253,3 +253,20 @@ def test_exported_batches_are_in_order_and_an_epoch_resumes(spark, tmp_path):
         opened = found.select("_metadata.file_name").distinct().count()
         assert opened == sum(m.last_batch >= k for m in manifest)
     assert spark.read.parquet(path).count() == len(rows)
+
+
+def test_an_audit_runs_the_packing_once(spark, tmp_path):
+    samples, labels = frames(spark, {1: (5, [(0, 1), (2, 3)]), 2: (3, [(0, 2)])})
+    folder = str(tmp_path)
+
+    def noted(tables):
+        import uuid
+
+        for table in tables:
+            open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+            yield table
+
+    packed = batching.pack_batches(samples, 4).coalesce(1)
+    audit = batching.packing_audit(packed.mapInPandas(noted, packed.schema), labels, samples, 4).collect()
+    assert [(r["n_samples"], r["n_missing"], r["n_repeated"], r["n_batches"]) for r in audit] == [(8, 0, 0, 2)]
+    assert len(list(tmp_path.iterdir())) == 1
