@@ -6,7 +6,7 @@ because there is more data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prefdeck.functions.text import content_id, tokens
@@ -79,19 +79,48 @@ def _document_prompt():
     return F.concat_ws("/", "lang", "source", batch)
 
 
+# Document ids per chunk of _with_following.
+_CHUNK = 64
+
+
+def _with_following(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Every row beside each row whose ``doc_id`` is one more, with the columns ``names`` of that one under
+    new names, or NULLs if there is none: a left join of the table with itself, but texts are shuffled
+    once. Rows meet in chunks of ids; those that begin a chunk visit the one before as well."""
+    own = F.floor(F.col("doc_id") / _CHUNK)
+    begins = F.pmod("doc_id", F.lit(_CHUNK)) == 0
+    # Boxed before the shuffle, so that NULLs stay in the lists and no value is moved boxed and plain. A list
+    # per column, so that Spark moves only those that are used.
+    boxed = rows.withColumns({f"_box_{old}": F.struct(old) for old in names}).drop(*names)
+    chunked = boxed.withColumn("_chunk", F.explode(F.when(begins, F.array(own, own - 1)).otherwise(F.array(own))))
+    following = Window.partitionBy("_chunk").orderBy("doc_id").rangeBetween(1, 1)
+    lists = {f"_list_{new}": F.collect_list(f"_box_{old}").over(following) for old, new in names.items()}
+    n = F.when(F.col("doc_id").isNotNull(), F.count("*").over(following))
+    found = chunked.withColumns({**lists, "_n": n}).where(own.eqNullSafe(F.col("_chunk")))
+    each = found.withColumn("_at", F.explode_outer(F.when(F.col("_n") > 0, F.sequence(F.lit(1).cast("long"), "_n"))))
+    place = F.col("_at").cast("int") - 1
+    kept = [c for c in rows.columns if c not in names]
+    return each.select(
+        *kept,
+        *[F.col(f"_box_{old}")[old].alias(old) for old in names],
+        *[F.get(F.col(f"_list_{new}"), place)[old].alias(new) for old, new in names.items()],
+    )
+
+
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and its successor as one record, in four shapes by ``doc_id % 4``:
     flat pair, text-form annotation, full record with ids and ranks, flat pair under ``prompt``."""
     documents = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
     rank = 1 + (1 - F.coalesce("quality", F.lit(0))) + F.coalesce("toxic", F.lit(0))
-    ranked = documents.join(labels, "doc_id", "left").withColumn("rank_no", rank.cast("string"))
-    following = ranked.select(
-        (F.col("doc_id") - 1).alias("doc_id"),
-        F.col("text").alias("next_text"),
-        F.col("rank_no").alias("next_rank"),
+    # Ids come before the joins: what needs only them moves no text.
+    ranked = (
+        documents.withColumn("text_id", content_id("text"))
+        .join(labels, "doc_id", "left")
+        .withColumn("rank_no", rank.cast("string"))
     )
-    pairs = ranked.join(following, "doc_id", "left").select(
+    following = _with_following(ranked, {"text": "next_text", "text_id": "next_id", "rank_no": "next_rank"})
+    pairs = following.select(
         "doc_id",
         "lang",
         "source",
@@ -99,6 +128,8 @@ def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("doc_id") % 4).alias("shape"),
         F.col("text").alias("a"),
         F.coalesce("next_text", "text").alias("b"),
+        F.col("text_id").alias("id_a"),
+        F.coalesce("next_id", "text_id").alias("id_b"),
         F.col("rank_no").alias("rank_a"),
         F.coalesce("next_rank", "rank_no").alias("rank_b"),
         F.when(F.col("doc_id") % 50 == 0, "3")
@@ -108,7 +139,7 @@ def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     shape = F.col("shape")
     flat, texts, full = shape == 0, shape == 1, shape == 2
-    id_a, id_b = content_id("a"), content_id("b")
+    id_a, id_b = F.col("id_a"), F.col("id_b")
     text_form = F.to_json(
         F.struct(F.col("a").alias("answer1"), F.col("b").alias("answer2"), F.col("vote").alias("preference"))
     )

@@ -71,12 +71,16 @@ def records_without_prompt(records: DataFrame) -> DataFrame:
 
 def _normalized(records: DataFrame) -> DataFrame:
     flat = is_flat_pair()
+    # An origin that is the same literal in all records drops out of join keys but not of grouping keys, and
+    # texts grouped by both would be shuffled again for the join. Tied to a column it stays in both.
+    origin = F.coalesce(F.when(F.col("input_key").isNotNull(), F.col("origin")), F.col("origin"))
     items = F.when(
         flat, F.array(_item(FORM_TEXTS, F.col("answer1"), F.col("answer2"), F.col("preference")))
     ).otherwise(F.transform("annotations", _parse_annotation))
     return (
         records.withColumn("input_text", prompt_text())
         .withColumn("input_key", content_id("input_text"))
+        .withColumn("origin", origin)
         .withColumn("items", F.coalesce(items, F.array().cast(items_type())))
         .withColumn("is_flat", flat)
     )

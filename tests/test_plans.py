@@ -304,6 +304,38 @@ def test_stored_samples_need_no_exchange_and_no_record(spark, sf_dir, tmp_path):
         assert sorted(map(str, kept.labels.collect())) == sorted(map(str, sample_labels(fused).collect()))
 
 
+def test_texts_are_shuffled_once_for_records_and_once_for_responses(spark, tmp_path):
+    """Documents meet their successors in one shuffle, and responses of one data set (the same origin in all
+    records) join on the key they are grouped by without another."""
+    texts = [(i, f"text {i}", "en", "web", 6) for i in range(200)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        f"{tmp_path}/documents.parquet"
+    )
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    normalized = fx.normalized_documents(spark, str(tmp_path))
+    assert plan_of(normalized).count("Arguments: hashpartitioning") == 1
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        responses = fuse.dedup_responses(fuse.response_rows(normalized))
+        keys = spark.createDataFrame([("documents", "k", "r")], "origin string, input_key string, response_id string")
+        joined = responses.select(*samples_of.RESPONSE_KEY, "output").join(keys, samples_of.RESPONSE_KEY)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        grouped, below = plan.split("SortAggregate", 1)
+        assert "Exchange" not in grouped and "SortMergeJoin" in grouped and "Exchange" in below
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_rows_and_their_followers_are_those_of_a_self_join(spark):
+    rows = [(i, f"t{i}" if i % 7 else None) for i in [-129, -128, -65, -64, -1, 0, 1, 1, 2, 2, 2, 5, 62, 63, 63, 64, 64, 65, 127, 128, 300]]
+    df = spark.createDataFrame([*rows, (None, "x"), (None, "y")], "doc_id long, text string").withColumn("n", F.length("text"))
+    after = df.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next_text"), F.col("n").alias("next_n"))
+    expected = df.join(after, "doc_id", "left").select("doc_id", "text", "n", "next_text", "next_n")
+    found = fx._with_following(df, {"text": "next_text", "n": "next_n"}).select(*expected.columns)
+    assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
+
+
 @pytest.mark.parametrize("labels", [[7] * 3 + [1] * 20, [7] * 20 + [1] * 3, [7] * 5])
 def test_head_is_fitted_on_every_vector(spark, tmp_path, monkeypatch, labels):
     rows = [(i, [float(i % 5), float(label)], label) for i, label in enumerate(labels)]
