@@ -20,6 +20,11 @@ from pyspark.sql.types import StructType
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 # Arrow batches that Python workers receive: many short rows, or few long ones.
 BATCH_ROWS, BATCH_BYTES = 2_000, "8m"
+# Row groups of a stored table whose rows have a MB or so each. A reader unpacks up to 4,096 rows of a group
+# at once, and a writer looks at the sizes of groups and pages only after each 100 rows if not told otherwise.
+LONG_ROWS = {
+    "parquet.block.row.count.limit": "8", "parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,11 +46,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, **options: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder, and read back: cuts lineage and lets
-    several jobs read what was computed once. Survives the loss of executors."""
+    several jobs read what was computed once. Survives the loss of executors. ``options``: the writer's, such
+    as LONG_ROWS."""
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

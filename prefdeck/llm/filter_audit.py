@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefdeck.llm.bytewords import NOT_SPACE, find_words, tokens_of
-from prefdeck.llm.common import batch, concat_schema, flat_bytes, map_arrow, stored, text_column, text_slices
+from prefdeck.llm.common import LONG_ROWS, batch, concat_schema, flat_bytes, map_arrow, stored, text_column, text_slices
 
 SHARD_BYTES = 1 << 20  # text of a shard, or one longer text
 FILTERS = "ABCDE"
@@ -140,7 +140,7 @@ def _coded_shards(
     docs: DataFrame, id_col: str, text_col: str, part_col: str, shard_bytes: int, code: Callable[[Column], Column]
 ) -> DataFrame:
     """The shards with the dictionary's ``codes`` of their words instead of the words."""
-    shards = stored(matrix_shards(docs, id_col, text_col, part_col, shard_bytes))
+    shards = stored(matrix_shards(docs, id_col, text_col, part_col, shard_bytes), **LONG_ROWS)
     number = dictionary(shards.select(F.explode("words").alias("word")), code)
     return shards.select(*[f.name for f in _MATRIX], F.transform("words", number).alias("codes"))
 

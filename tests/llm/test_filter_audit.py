@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 from itertools import permutations
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,19 @@ def test_matrix_is_encoded_by_one_dictionary(mixed, code):
     assert len(codes[1] & codes[2]) == len(shared)
 
 
+def test_stored_shards_are_unpacked_a_few_at_a_time(spark):
+    numbers = F.transform(F.sequence(F.lit(1), F.lit(100_000)), lambda n: (n * 48 + F.col("doc_id")).cast("string"))
+    texts = spark.range(48).withColumnRenamed("id", "doc_id").withColumn("text", F.concat_ws(" ", numbers))
+    matrix = filter_audit.document_terms(texts.withColumn("source", F.lit("a")).coalesce(1))
+    (file,) = matrix.inputFiles()  # a task of 48 shards has written it
+    footer = pq.read_metadata(file.removeprefix("file:"))
+    groups = [footer.row_group(i) for i in range(footer.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 48
+    assert max(g.total_byte_size for g in groups) < 12 << 20
+    assert matrix.select(F.explode("docs"), F.size("terms")).distinct().count() == 48
+    assert matrix.where(F.size("terms") != 100_000).count() == 0
+
+
 def test_audit_of_odd_and_no_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     rows = [(r.doc_id, r.source, r.text) for r in odd_docs.collect()]
